@@ -6,13 +6,14 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from siloforge.llm import decontaminate, linededup, mixing, sharding
+from siloforge.llm import decontaminate, linededup, mixing, sharding, simhash
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op5_line_dedup": linededup.op5,
     "op6_decontaminate": decontaminate.op6,
     "op7_mix": mixing.op7,
     "op8_shard": sharding.op8,
+    "op9_simhash": simhash.op9,
 }
 
 ORACLE_SQL: dict[str, str] = {
