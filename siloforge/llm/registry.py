@@ -6,9 +6,10 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from siloforge.llm import decontaminate, linededup, mixing, sharding, simhash
+from siloforge.llm import decontaminate, linededup, mixing, quality, sharding, simhash
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
+    "op1_quality": quality.op1,
     "op5_line_dedup": linededup.op5,
     "op6_decontaminate": decontaminate.op6,
     "op7_mix": mixing.op7,
