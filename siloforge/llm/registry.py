@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from siloforge.llm import decontaminate, linededup, mixing, quality, sharding, simhash
+from siloforge.llm import decontaminate, linededup, mixing, quality, sharding, simhash, warc
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_quality": quality.op1,
@@ -15,10 +15,12 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op7_mix": mixing.op7,
     "op8_shard": sharding.op8,
     "op9_simhash": simhash.op9,
+    "op10_warc": warc.op10,
 }
 
 ORACLE_SQL: dict[str, str] = {
     "op5_line_dedup": linededup.ORACLE,
     "op6_decontaminate": decontaminate.ORACLE,
     "op7_mix": mixing.ORACLE,
+    "op10_warc": warc.ORACLE,
 }
