@@ -6,10 +6,11 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from siloforge.llm import decontaminate, linededup, mixing, quality, sharding, simhash, warc
+from siloforge.llm import chat, decontaminate, linededup, mixing, quality, sharding, simhash, warc
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_quality": quality.op1,
+    "op4_chat": chat.op4,
     "op5_line_dedup": linededup.op5,
     "op6_decontaminate": decontaminate.op6,
     "op7_mix": mixing.op7,
