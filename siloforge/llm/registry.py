@@ -6,10 +6,11 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from siloforge.llm import chat, decontaminate, linededup, mixing, neighbours, quality, sharding, simhash, warc
+from siloforge.llm import chat, decontaminate, linededup, mixing, neighbours, quality, sharding, simhash, urls, warc
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_quality": quality.op1,
+    "op2_urls": urls.op2,
     "op3_neighbours": neighbours.op3,
     "op4_chat": chat.op4,
     "op5_line_dedup": linededup.op5,
