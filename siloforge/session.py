@@ -63,7 +63,7 @@ def cut(df: DataFrame, name: str, partition_by: list[str] | None = None) -> Data
     path = fresh_path(df.sparkSession, name)
     w = df.write.mode("overwrite")
     (w.partitionBy(*partition_by) if partition_by else w).parquet(path)
-    out = df.sparkSession.read.schema(df.schema).parquet(path) if not partition_by else df.sparkSession.read.parquet(path)
+    out = df.sparkSession.read.schema(df.schema).parquet(path)
     out._siloforge_path = path
     return out
 
