@@ -5,9 +5,9 @@ from __future__ import annotations
 import pytest
 from harness import duck_table, spark_table
 
-from siloforge.plans import catalog, catalog_ranking
+from siloforge.plans import catalog, catalog_more, catalog_ranking
 
-assert catalog_ranking
+assert catalog_ranking and catalog_more
 
 
 @pytest.mark.parametrize("name", sorted(catalog.ORACLES))
