@@ -158,27 +158,20 @@ def near(n: int, both: np.ndarray, bits: list[int]) -> np.ndarray:
     return np.minimum(chance * min(scale, 1 / max(chance[0], 1e-12)), 1)
 
 
-def allotted(n: int, both: np.ndarray, tau: int) -> list[tuple[list[int], int]]:
-    """[(bits, threshold)] of least estimated cost, over partition counts from 2 to 8 and all thresholds that the principle allows. Never-probed partitions are left out."""
-    best: tuple[float, list] = (math.inf, [])
-    for parts in range(2, 9):
-        total = tau - parts + 1
-        groups = grouped(n, both, parts)
-        if total < -parts or max(map(len, groups)) > 32:
-            continue
-        table_: dict[int, tuple[float, list[int]]] = {0: (0.0, [])}
-        for bits in groups:
-            chance, new = np.cumsum(near(n, both, bits)), {}
-            for spent, (cost, chosen) in table_.items():
-                for t in range(-1, min(tau, len(bits), 4) + 1):
-                    rows = n * (1 + sum(math.comb(len(bits), x) for x in range(1, t + 1)) / 2) if t >= 0 else 0
-                    own = cost + ROW_COST * rows + (PAIR_COST * n * n / 2 * chance[t] if t >= 0 else 0)
-                    if spent + t not in new or own < new[spent + t][0]:
-                        new[spent + t] = (own, [*chosen, t])
-            table_ = new
-        if total in table_ and table_[total][0] < best[0]:
-            best = (table_[total][0], [(b, t) for b, t in zip(groups, table_[total][1], strict=True) if t >= 0])
-    return best[1]
+def allotted(n: int, both: np.ndarray, tau: int, parts: int) -> list[tuple[list[int], int]]:
+    """[(bits, threshold)] of least estimated cost among all thresholds that the principle allows for so many partitions. Never-probed partitions are left out."""
+    total, groups = tau - parts + 1, grouped(n, both, parts)
+    table_: dict[int, tuple[float, list[int]]] = {0: (0.0, [])}
+    for bits in groups:
+        chance, new = np.cumsum(near(n, both, bits)), {}
+        for spent, (cost, chosen) in table_.items():
+            for t in range(-1, min(tau, len(bits), 4) + 1):
+                rows = n * (1 + sum(math.comb(len(bits), x) for x in range(1, t + 1)) / 2) if t >= 0 else 0
+                own = cost + ROW_COST * rows + (PAIR_COST * n * n / 2 * chance[t] if t >= 0 else 0)
+                if spent + t not in new or own < new[spent + t][0]:
+                    new[spent + t] = (own, [*chosen, t])
+        table_ = new
+    return [(b, t) for b, t in zip(groups, table_[total][1], strict=True) if t >= 0]
 
 
 def project(x: np.ndarray, bits: list[int]) -> np.ndarray:
@@ -295,14 +288,19 @@ def linked(batches: Iterator[pa.RecordBatch], words: int, most: int) -> Iterator
         yield found
 
 
-def links(classes: DataFrame, words: int, probed: int, tau: int, most: int) -> DataFrame:
+def partitions_for(tau: int) -> int:
+    """Partitions of a word: the same at every size of corpus, so a class always has as many rows. Fewer and wider ones have fewer candidates a class and more rows."""
+    return tau // 2 + 2
+
+
+def links(classes: DataFrame, words: int, probed: int, tau: int, most: int, parts: int | None = None) -> DataFrame:
     """(a, b): links between nodes that connect the same classes as all pairs within tau bits in one of the first probed words and most bits in all."""
     spark = classes.sparkSession
     rows = spark.conf.get("spark.sql.execution.arrow.maxRecordsPerBatch")
     spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", str(BATCH))
     try:
         n, both = joint_counts(classes, words)
-        plans = [allotted(n, both[w], tau) for w in range(probed)]
+        plans = [allotted(n, both[w], tau, parts or partitions_for(tau)) for w in range(probed)]
         homes = bucketed(classes, words, plans, probes=False).groupBy("bucket").count().filter(F.col("count") > TILE)
         hot = cut(homes.select("bucket", F.ceil(F.col("count") / TILE).cast("int").alias("tiles")), "hot")
         rows_ = bucketed(classes, words, plans)

@@ -77,7 +77,7 @@ def test_thresholds_keep_the_principle(tau):
     bits = (rng.random((500, 64)) < 0.5).astype(float)
     bits[:, 10:20] = bits[:, :10]
     both = bits.T @ bits
-    plan = simhash.allotted(500, both, tau)
+    plan = simhash.allotted(500, both, tau, simhash.partitions_for(tau))
     used = [b for part, _ in plan for b in part]
     assert len(used) == len(set(used))
     for _ in range(300):
