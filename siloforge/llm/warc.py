@@ -1,8 +1,8 @@
 """WARC archives: a writer with revisit records, and a salvage reader.
 
 write() makes one WARC/1.1 record a page. Of the pages with equal payloads of at least REVISIT_BYTES bytes, those of the
-smallest page_id are responses and the others revisit it. Spark's own text writer writes the records (a record's
-end is its line separator), at most RECORDS to an archive, so a lost task leaves no half archive behind.
+smallest page_id are responses and the others revisit it. Each record is a gzip member of its own. Spark's own
+text writer writes the archives of about ARCHIVE_BYTES, so a lost task leaves no half archive behind.
 
 read() checks each record: version line, header, length, end, block and payload digest. After a failed check it searches
 for the next version line or gzip member at which a whole valid record starts, recovers from there, and logs the
@@ -21,55 +21,89 @@ import zlib
 from collections.abc import Iterator
 
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from siloforge.session import fresh_path, table
+from siloforge.session import arrow_limits, fresh_path, table
 
-REVISIT_BYTES, RECORDS, HEADER_BYTES = 100, 2000, 1 << 20
+REVISIT_BYTES, ARCHIVE_BYTES, HEADER_BYTES, LEVEL = 100, 8 << 20, 1 << 20, 6
+REVISIT = "http://netpreserve.org/warc/1.1/revisit/identical-payload-digest"
 END = "\r\n\r\n"
 DATE = "2024-01-01T00:00:00Z"
 ROWS = "archive string, offset long, length long, status string, reason string, page_id long, url string, payload_bytes long, payload_digest string, record_type string, refers_to long"
 FIELDS = ("page_id", "url", "payload_bytes", "payload_digest", "record_type", "refers_to")
 
 
-def record_id(c: Column) -> Column:
-    return F.concat(F.lit("<urn:page:"), F.coalesce(c.cast("string"), F.lit("null")), F.lit(">"))
+def record_id(page: int | None) -> str:
+    return f"<urn:page:{'null' if page is None else page}>"
 
 
-def records(pages: DataFrame, revisit_bytes: int = REVISIT_BYTES) -> DataFrame:
-    """(page_id, record): each page's record without its end."""
+def quoted(url: str) -> str:
+    return re.sub("[%\t\n\x0b\x0c\r \x7f]", lambda m: f"%{ord(m[0]):02X}", url)
+
+
+def digested(pages: DataFrame) -> DataFrame:
+    """(page_id, url, html, n, digest)."""
     html = F.coalesce("html", F.lit(""))
-    p = pages.select(F.col("page_id").cast("long").alias("page_id"), "url", html.alias("html"), F.octet_length(html).cast("long").alias("n"), F.sha2(F.encode(html, "UTF-8"), 256).alias("digest"))
-    first = p.filter(F.col("n") >= revisit_bytes).groupBy(F.col("digest").alias("d")).agg(F.min("page_id").alias("first"), F.count(F.lit(1)).alias("same")).filter("same > 1")
-    p = p.join(first, F.col("digest") == F.col("d"), "left")
-    again = F.col("first").isNotNull() & ~F.col("page_id").eqNullSafe(F.col("first"))
-    http = F.concat(F.lit("HTTP/1.1 200 OK\r\nContent-Type: text/html; charset=utf-8\r\nContent-Length: "), F.col("n").cast("string"), F.lit("\r\n\r\n"))
-    p = p.withColumn("again", again).withColumn("block", F.when(F.col("again"), http).otherwise(F.concat(http, "html")))
-    uri = F.regexp_replace("url", "%", "%25")
-    for code in (9, 10, 11, 12, 13, 32, 127):
-        uri = F.replace(uri, F.lit(chr(code)), F.lit(f"%{code:02X}"))
-    line = lambda name, value: F.concat(F.lit(f"{name}: "), value, F.lit("\r\n"))
-    revisit = F.concat(F.lit("WARC-Profile: http://netpreserve.org/warc/1.1/revisit/identical-payload-digest\r\n"), line("WARC-Refers-To", record_id(F.col("first"))))
-    head = F.concat(
-        F.lit("WARC/1.1\r\n"),
-        line("WARC-Type", F.when(F.col("again"), "revisit").otherwise("response")),
-        line("WARC-Record-ID", record_id(F.col("page_id"))),
-        F.lit(f"WARC-Date: {DATE}\r\n"),
-        F.when(F.col("url").isNotNull(), line("WARC-Target-URI", uri)).otherwise(""),
-        F.when(F.col("again"), revisit).otherwise(""),
-        F.lit("Content-Type: application/http;msgtype=response\r\n"),
-        line("WARC-Payload-Digest", F.concat(F.lit("sha256:"), "digest")),
-        line("WARC-Block-Digest", F.concat(F.lit("sha256:"), F.sha2(F.encode("block", "UTF-8"), 256))),
-        line("Content-Length", F.octet_length("block").cast("string")),
-        F.lit("\r\n"),
-    )
-    return p.select("page_id", F.concat(head, "block").alias("record"))
-
-
-def write(pages: DataFrame, path: str, revisit_bytes: int = REVISIT_BYTES, per_archive: int = RECORDS) -> None:
-    out = records(pages, revisit_bytes).select("record")
-    out.write.mode("overwrite").option("lineSep", END).option("maxRecordsPerFile", per_archive).text(path)
+    return pages.select(F.col("page_id").cast("long").alias("page_id"), F.col("url").cast("string").alias("url"), html.alias("html"), F.octet_length(html).cast("long").alias("n"), F.sha2(F.encode(html, "UTF-8"), 256).alias("digest"))
+
+
+def record(page: int | None, url: str | None, html: bytes, n: int, digest: str, first: int | None = None) -> bytes:
+    """A response record, or with first a revisit record that refers to that page."""
+    http = b"HTTP/1.1 200 OK\r\nContent-Type: text/html; charset=utf-8\r\nContent-Length: %d\r\n\r\n" % n
+    block = http if first is not None else http + html
+    head = ["WARC/1.1", f"WARC-Type: {'response' if first is None else 'revisit'}", f"WARC-Record-ID: {record_id(page)}", f"WARC-Date: {DATE}"]
+    if url is not None:
+        head.append(f"WARC-Target-URI: {quoted(url)}")
+    if first is not None:
+        head += [f"WARC-Profile: {REVISIT}", f"WARC-Refers-To: {record_id(first)}"]
+    head += ["Content-Type: application/http;msgtype=response", f"WARC-Payload-Digest: sha256:{digest}", f"WARC-Block-Digest: sha256:{hashlib.sha256(block).hexdigest()}", f"Content-Length: {len(block)}"]
+    return "\r\n".join(head).encode() + b"\r\n\r\n" + block + b"\r\n\r\n"
+
+
+def zipped(data: bytes) -> bytes:
+    z = zlib.compressobj(LEVEL, zlib.DEFLATED, 31)
+    return z.compress(data) + z.flush()
+
+
+def members(pages: DataFrame, revisit_bytes: int = REVISIT_BYTES) -> DataFrame:
+    """(member): each page's record as a gzip member. Pages are compressed before they are shuffled to find their first copy; those that turn out to be revisits get another record then."""
+
+    def compress(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            rows = zip(*(batch.column(c).to_pylist() for c in ("page_id", "url", "html", "n", "digest")), strict=True)
+            packed = [zipped(record(i, u, h.encode(), n, d)) for i, u, h, n, d in rows]
+            yield pa.RecordBatch.from_arrays([*(batch.column(c) for c in ("page_id", "url", "n", "digest")), pa.array(packed, pa.binary())], names=["page_id", "url", "n", "digest", "member"])
+
+    def settle(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            rows = zip(*(batch.column(c).to_pylist() for c in ("page_id", "url", "n", "digest", "member", "first")), strict=True)
+            yield pa.RecordBatch.from_arrays([pa.array([m if f is None or f == i else zipped(record(i, u, b"", n, d, f)) for i, u, n, d, m, f in rows], pa.binary())], names=["member"])
+
+    p = digested(pages)
+    first = p.filter(F.col("n") >= revisit_bytes).groupBy(F.col("digest").alias("d")).agg(F.min("page_id").alias("first"), F.count(F.lit(1)).alias("same")).filter("same > 1").drop("same")
+    p = p.mapInArrow(compress, "page_id long, url string, n long, digest string, member binary")
+    return p.join(first, F.col("digest") == F.col("d"), "left").drop("d").mapInArrow(settle, "member binary")
+
+
+def write(pages: DataFrame, path: str, revisit_bytes: int = REVISIT_BYTES, archive_bytes: int = ARCHIVE_BYTES) -> None:
+    """Archives of about archive_bytes: a task's members are put together in memory up to that size, a row an archive, and Spark's text writer writes a file a row; what it writes after each row is an empty gzip member, which ends the file."""
+    arrow_limits(pages.sparkSession)
+
+    def bundle(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held, size = [], 0
+        for batch in batches:
+            for m in batch.column("member"):
+                held.append(m.as_py())
+                size += len(held[-1])
+                if size >= archive_bytes:
+                    yield pa.RecordBatch.from_arrays([pa.array([b"".join(held)], pa.binary())], names=["archive"])
+                    held, size = [], 0
+        if held:
+            yield pa.RecordBatch.from_arrays([pa.array([b"".join(held)], pa.binary())], names=["archive"])
+
+    out = members(pages, revisit_bytes).mapInArrow(bundle, "archive binary").select(F.col("archive").cast("string").alias("value"))
+    out.write.mode("overwrite").option("encoding", "ISO-8859-1").option("lineSep", zipped(b"").decode("latin-1")).option("maxRecordsPerFile", 1).text(path)
 
 
 class Damaged(ValueError):
@@ -88,12 +122,14 @@ def parsed(data: bytes, at: int) -> tuple[int, dict]:
     if (cut := data.find(b"\r\n\r\n", at, at + HEADER_BYTES)) < 0:
         raise Damaged("no end of the header")
     lines = data[at:cut].decode("utf-8", "replace").split("\r\n")
-    head = {}
+    if not re.fullmatch(r"WARC/1\.\d", lines[0]):
+        raise Damaged("version line")
+    head: dict[str, str] = {}
     for x in lines[1:]:
         name, colon, value = x.partition(":")
-        if not colon:
-            raise Damaged("a header line has no colon")
-        head[name.strip().lower()] = value.strip()
+        if not colon or not re.fullmatch(r"[A-Za-z0-9-]+", name) or name.lower() in head:
+            raise Damaged("a header line is malformed or comes twice")
+        head[name.lower()] = value.strip()
     if not head.get("content-length", "").isdigit():
         raise Damaged("no content length")
     start = cut + 4
@@ -138,6 +174,8 @@ def member(data: bytes, at: int) -> tuple[int, bytes]:
 def record_at(data: bytes, at: int) -> tuple[int, dict]:
     if data[at : at + 2] == b"\x1f\x8b":
         end, plain = member(data, at)
+        if not plain:
+            return end, {}
         stop, got = parsed(plain, 0)
         if stop != len(plain):
             raise Damaged("a gzip member holds more than its record")
@@ -146,7 +184,7 @@ def record_at(data: bytes, at: int) -> tuple[int, dict]:
 
 
 def salvage(data: bytes) -> Iterator[tuple[int, int, str | None, dict]]:
-    """(offset, length, reason, record): the valid records in order, and the gaps between them, which have a reason."""
+    """(offset, length, reason, record): the valid records in order, and the gaps between them, which have a reason. An empty gzip member, which may end an archive, has an empty record."""
     at = 0
     while at < len(data):
         try:
@@ -173,7 +211,7 @@ def read(spark: SparkSession, path: str) -> DataFrame:
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for name, content in zip(batch.column("path"), batch.column("content"), strict=True):
-                rows = [(name.as_py(), a, n, "gap" if why else "ok", why, *(got.get(k) for k in FIELDS)) for a, n, why, got in salvage(content.as_py())]
+                rows = [(name.as_py(), a, n, "gap" if why else "ok", why, *(got.get(k) for k in FIELDS)) for a, n, why, got in salvage(content.as_py()) if why or got]
                 types = [pa.string(), pa.int64(), pa.int64(), pa.string(), pa.string(), pa.int64(), pa.string(), pa.int64(), pa.string(), pa.string(), pa.int64()]
                 cols = list(zip(*rows, strict=True)) or [()] * len(types)
                 yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(cols, types, strict=True)], names=["archive", "offset", "length", "status", "reason", *FIELDS])
