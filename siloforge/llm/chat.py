@@ -188,3 +188,18 @@ def op4(spark: SparkSession, sf_dir: str) -> DataFrame:
     said = "</s>[INST] ok [/INST]"
     more = spark.createDataFrame([(-7, 0, "user", said), (-7, 1, "assistant", said)], "conv_id long, turn long, role string, text string")
     return format_chats(own.unionByName(more)).mapInArrow(read_back, READ_BACK)
+
+
+def _marks_sql() -> str:
+    return " ".join(f"WHEN '{role}' THEN {len(head) + len(tail)}" for role, (head, tail) in MARKS.items())
+
+
+ORACLE = rf"""
+WITH t AS (SELECT conv_id, turn, coalesce(role, '') role, coalesce(text, '') text, role orole, text otext FROM conversations
+  UNION ALL SELECT -7, 0, 'user', '</s>[INST] ok [/INST]', 'user', '</s>[INST] ok [/INST]' UNION ALL SELECT -7, 1, 'assistant', '</s>[INST] ok [/INST]', 'assistant', '</s>[INST] ok [/INST]'),
+s AS (SELECT *, row_number() OVER (PARTITION BY conv_id ORDER BY turn NULLS FIRST, orole NULLS FIRST, otext NULLS FIRST) n,
+  length(regexp_replace(text, '{ESCAPE}', '\1\\\2\3', 'g')) + CASE role {_marks_sql()} ELSE 11 + 2 * octet_length(encode(role)) END chars FROM t)
+SELECT conv_id, count(*) n_turns, sha256(string_agg(role || chr(10) || text || chr(10), '' ORDER BY n)) turns_sha256,
+  CAST(coalesce(sum(length(text)) FILTER (WHERE role = 'assistant'), 0) AS BIGINT) loss_chars, sha256(coalesce(string_agg(text, '' ORDER BY n) FILTER (WHERE role = 'assistant'), '')) loss_sha256,
+  CAST(sum(chars) AS BIGINT) formatted_chars FROM s GROUP BY conv_id
+"""

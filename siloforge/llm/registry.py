@@ -22,6 +22,8 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
 }
 
 ORACLE_SQL: dict[str, str] = {
+    "op2_urls": urls.ORACLE,
+    "op4_chat": chat.ORACLE,
     "op5_line_dedup": linededup.ORACLE,
     "op6_decontaminate": decontaminate.ORACLE,
     "op7_mix": mixing.ORACLE,

@@ -100,3 +100,34 @@ def judged(pages: DataFrame, rules: tuple[tuple[str, str], ...] = RULES, thresho
 
 def op2(spark: SparkSession, sf_dir: str) -> DataFrame:
     return judged(table(spark, sf_dir, "pages")).select("page_id", "host", "path", "rule", "verdict")
+
+
+def oracle(rules: tuple[tuple[str, str], ...] = RULES, iterations: int = ITERATIONS) -> str:
+    """The judgement of all pages as SQL; the iterations stand one after the other."""
+    host = lambda u: f"translate(regexp_extract({u}, '(?s)^.*?://([^/?#]*)', 1), '{UPPER}', '{LOWER}')"
+    listed = ", ".join(f"('{r}', '{r.partition('/')[0]}', '/{r.partition('/')[2]}', '{v}')" for r, v in rules)
+    steps = "".join(
+        f""",
+m{i} AS MATERIALIZED (SELECT st.kind, b host, sum(share * rank) x FROM st JOIN r{i - 1} q ON st.kind = q.kind AND st.a = q.host GROUP BY st.kind, b),
+r{i} AS MATERIALIZED (SELECT k.kind, k.host, coalesce(s.seed, 0) seed, {DAMPING} * coalesce(m.x, 0) + coalesce(s.seed, 0) * (1 - {DAMPING} * coalesce((SELECT sum(x) FROM m{i} z WHERE z.kind = k.kind), 0) / coalesce((SELECT sum(seed) FROM s z WHERE z.kind = k.kind), 1)) rank
+  FROM (SELECT kind, host FROM r{i - 1} UNION SELECT kind, host FROM m{i}) k LEFT JOIN s ON s.kind = k.kind AND s.host = k.host LEFT JOIN m{i} m ON m.kind = k.kind AND m.host = k.host)"""
+        for i in range(1, iterations + 1)
+    )
+    return rf"""
+WITH p AS MATERIALIZED (SELECT row_number() OVER () r, page_id, coalesce({host("url")}, '') host, coalesce(regexp_extract(url, '(?s)^.*?://[^/?#]*([^?#]*)', 1), '') path, coalesce(html, '') html FROM pages),
+u(rule, own, start, verdict) AS (VALUES {listed}),
+f AS (SELECT r, rule, verdict, row_number() OVER (PARTITION BY r ORDER BY length(rule) DESC, length(own) DESC, verdict = 'block' DESC) k FROM p JOIN u ON (host = own OR ends_with(host, '.' || own)) AND starts_with(path, start)),
+j AS MATERIALIZED (SELECT p.*, rule, verdict FROM p LEFT JOIN (SELECT * FROM f WHERE k = 1) f USING (r)),
+sd AS (SELECT CASE WHEN verdict = 'allow' THEN 'trust' ELSE 'distrust' END kind, host, count(*) n FROM j WHERE verdict IS NOT NULL AND host <> '' GROUP BY ALL),
+s AS MATERIALIZED (SELECT kind, host, n / CAST((SELECT sum(n) FROM sd) AS DOUBLE) seed FROM sd),
+h AS (SELECT r, host, unnest(regexp_extract_all(html, '(?i)<[a-z][^>]*?\s(?:href|src)\s*=\s*["'']?\s*((?:[a-z][a-z0-9+.-]*:)?//[^\s"''>]+)', 1)) t FROM p WHERE host <> ''),
+l AS (SELECT a, b, CAST(count(*) AS DOUBLE) n FROM (SELECT DISTINCT r, host a, {host("regexp_replace(t, '^//', 'x://')")} b FROM h) WHERE a <> b AND b <> '' GROUP BY a, b),
+e AS (SELECT 'trust' kind, a, b, n FROM l UNION ALL SELECT 'distrust', b, a, n FROM l),
+st AS MATERIALIZED (SELECT kind, a, b, n / sum(n) OVER (PARTITION BY kind, a) share FROM e),
+r0 AS MATERIALIZED (SELECT kind, host, seed, seed AS rank FROM s){steps},
+z AS (SELECT host, sum(rank) FILTER (WHERE kind = 'trust') t, sum(rank) FILTER (WHERE kind = 'distrust') d FROM r{iterations} GROUP BY host)
+SELECT page_id, j.host, path, rule, coalesce(verdict, CASE WHEN coalesce(d, 0) > {THRESHOLD} * (coalesce(t, 0) + coalesce(d, 0)) THEN 'block' ELSE 'allow' END) verdict FROM j LEFT JOIN z ON j.host = z.host
+"""
+
+
+ORACLE = oracle()

@@ -3,7 +3,9 @@ from __future__ import annotations
 import hashlib
 import random
 
+import duckdb
 import pyarrow as pa
+from harness import duck_table, spark_table
 from hypothesis import given, settings
 from hypothesis import strategies as st
 
@@ -52,6 +54,9 @@ def test_query(spark, wide, tmp_path):
     rows += [(3, 0, "assistant", "b"), (3, 0, "assistant", "a"), (3, None, "user", "first"), (4, 0, "user", "y" * 9_000_000), (5, 0, "assistant", "same"), (5, 0, "assistant", "same")]
     rows += [(6, n, "assistant" if n % 2 else "user", f"turn {n} " * 3) for n in range(4000)]
     wide(rows, "conv_id long, turn long, role string, text string").write.parquet(str(tmp_path / "conversations.parquet"))
+    con = duckdb.connect()
+    con.sql(f"CREATE VIEW conversations AS SELECT * FROM '{tmp_path}/conversations.parquet/*.parquet'")
+    assert spark_table(chat.op4(spark, str(tmp_path))) == duck_table(con, chat.ORACLE)
     got = {r["conv_id"]: (r["n_turns"], r["turns_sha256"], r["loss_chars"], r["loss_sha256"]) for r in chat.op4(spark, str(tmp_path)).collect()}
     low = lambda x: (x is not None, x if x is not None else "")
     want = {}

@@ -82,6 +82,16 @@ def test_against_dictionaries(spark, wide):
         assert a[5:] == pytest.approx(b[5:], abs=1e-6)
 
 
+def test_against_sql(spark, wide, tmp_path):
+    import duckdb
+    from harness import duck_table, spark_table
+
+    wide(PAGES, "page_id long, url string, html string").write.parquet(str(tmp_path / "pages.parquet"))
+    con = duckdb.connect()
+    con.sql(f"CREATE VIEW pages AS SELECT * FROM '{tmp_path}/pages.parquet/*.parquet'")
+    assert spark_table(urls.op2(spark, str(tmp_path))) == duck_table(con, urls.ORACLE)
+
+
 def test_given_pages(spark, sf_dir):
     rows = urls.op2(spark, sf_dir).collect()
     pages = {r["page_id"]: r["url"] for r in spark.read.parquet(f"{sf_dir}/pages.parquet").collect()}
