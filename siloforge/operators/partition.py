@@ -10,14 +10,22 @@ from pyspark.sql import functions as F
 from siloforge.functions.columns import arithmetic_hash
 
 
+BUCKETS = 1 << 16
+
+
+def placed(rows: DataFrame, seed: int = 0) -> DataFrame:
+    """Adds place (from 1) in hash order over all rows, and total. Rows are ranked inside hash buckets, and a table of the buckets' counts gives each bucket's first place, so no task orders all rows."""
+    t = rows.withColumn("__h", arithmetic_hash(F.col("row_id"), seed))
+    t = t.withColumn("__b", F.floor(F.col("__h") / (4294967296 // BUCKETS)).cast("int"))
+    sizes = t.groupBy("__b").agg(F.count(F.lit(1)).alias("__c"))  # BUCKETS rows at most
+    sizes = sizes.select("__b", (F.sum("__c").over(W.orderBy("__b")) - F.col("__c")).alias("__before"), F.sum("__c").over(W.partitionBy(F.lit(0))).alias("total"))
+    place = F.row_number().over(W.partitionBy("__b").orderBy("__h", "row_id")) + F.col("__before")
+    return t.join(F.broadcast(sizes), "__b").withColumn("place", place).drop("__h", "__b", "__before")
+
+
 def natural_val_split(rows: DataFrame, share: float, seed: int = 0) -> DataFrame:
-    """split: int(share n) rows of all, in hash order, are val. One global order, as the split is not by silo: a row's place needs the counts below it, so rows are ranked in hash buckets."""
-    h = arithmetic_hash(F.col("row_id"), seed)
-    t = rows.withColumn("h", h).withColumn("bucket", F.floor(F.col("h") / (1 << 22)).cast("int"))  # at most 1,024 buckets
-    sizes = t.groupBy("bucket").agg(F.count(F.lit(1)).alias("c"))
-    sizes = sizes.withColumn("before", F.sum("c").over(W.orderBy("bucket")) - F.col("c")).withColumn("all", F.sum("c").over(W.partitionBy(F.lit(0))))
-    place = F.row_number().over(W.partitionBy("bucket").orderBy("h", "row_id")) + F.col("before")
-    return t.join(F.broadcast(sizes.drop("c")), "bucket").withColumn("split", F.when(place <= F.floor(F.col("all") * share), "val").otherwise("train")).drop("h", "bucket", "before", "all")
+    """split: int(share n) rows of all, in hash order, are val."""
+    return placed(rows, seed).withColumn("split", F.when(F.col("place") <= F.floor(F.col("total") * share), "val").otherwise("train")).drop("place", "total")
 
 
 def silo_val_split(rows: DataFrame, share: float, seed: int = 0, at_least: int = 1) -> DataFrame:
@@ -43,7 +51,11 @@ def held_out_silos(rows: DataFrame, share: float = 0.25) -> DataFrame:
 
 def iid(rows: DataFrame, k: int, seed: int = 0) -> DataFrame:
     """client: k chunks of hash order, equal but for one row; the larger come first."""
-    return rows.withColumn("client", F.ntile(k).over(W.orderBy(arithmetic_hash(F.col("row_id"), seed), "row_id")) - 1)
+    div = lambda a, b: F.call_function("div", a, b)
+    size, rest, at = div(F.col("total"), F.lit(k)), F.col("total") % k, F.col("place") - 1
+    large = rest * (size + 1)
+    client = F.when(at < large, div(at, size + 1)).otherwise(rest + div(at - large, F.greatest(size, F.lit(1))))
+    return placed(rows, seed).withColumn("client", client.cast("int")).drop("place", "total")
 
 
 def quantity_counts(weights: list[float], n: int) -> list[int]:
@@ -60,9 +72,8 @@ def quantity_skew(rows: DataFrame, weights: list[float], seed: int = 0) -> DataF
     """client: runs of hash order as long as the weights say."""
     counts = quantity_counts(weights, rows.count())
     bounds = np.cumsum(counts).tolist()
-    place = F.row_number().over(W.orderBy(arithmetic_hash(F.col("row_id"), seed), "row_id"))
-    client = F.size(F.filter(F.array(*map(F.lit, bounds)), lambda b: b < place))
-    return rows.withColumn("client", client)
+    client = F.size(F.filter(F.array(*map(F.lit, bounds)), lambda b: b < F.col("place")))
+    return placed(rows, seed).withColumn("client", client).drop("place", "total")
 
 
 def label_skew(rows: DataFrame, probability: list[list[float]], seed: int = 0) -> DataFrame:
