@@ -5,6 +5,8 @@ Ties are broken by similarity rounded to 9 digits, then by row id; a row is neve
 
 from __future__ import annotations
 
+import time
+
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
@@ -169,3 +171,20 @@ def fold_of(rows: DataFrame, folds: int) -> DataFrame:
     t = rows.withColumn("n", n).withColumn("i", i)
     f = F.when(F.col("n") < 4, 1).when(F.col("n") < 2 * folds, F.greatest(F.lit(2), F.floor(F.col("n") / 2))).otherwise(folds)
     return t.withColumn("folds", f.cast("long")).withColumn("fold", F.call_function("div", (F.col("i") + 1) * F.col("folds") - 1, F.col("n")).cast("int")).drop("i", "n")
+
+
+def silo_times(rows: DataFrame, masks: list[list[int]], k: int = K) -> DataFrame:
+    """(silo, size, seconds): how long the kernel takes for these masks in each silo, measured where it runs. Feeds the scheduling replay."""
+    held = rows.sparkSession.sparkContext.broadcast(masks)
+
+    def run(key: tuple, t: pa.Table) -> pa.Table:
+        began = time.perf_counter()
+        train = np.array(t.column("split").to_pylist()) == "train"
+        x, y = np.array(t.column("x").to_pylist(), float).reshape(len(train), -1), np.array(t.column("y").to_pylist(), int)
+        for sel in held.value:
+            if sel and train.sum() > 1 and not train.all():
+                mlknn(x[train][:, sel], y[train], x[~train][:, sel], np.arange(train.sum()), k, SMOOTH)
+        return pa.table({"silo": pa.array([key[0].as_py()], t.schema.field("silo").type), "size": pa.array([len(train)], pa.int64()), "seconds": [time.perf_counter() - began]})
+
+    kind = rows.schema["silo"].dataType.simpleString()
+    return rows.groupBy("silo").applyInArrow(run, f"silo {kind}, size long, seconds double")

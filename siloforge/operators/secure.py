@@ -9,6 +9,7 @@ from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from siloforge.functions.columns import arithmetic_hash, fixed_point
+from siloforge.operators.metrics import macro_f1
 
 RING = "18446744073709551616"
 
@@ -98,3 +99,10 @@ def groupwise(counters: DataFrame, groups: int, f: int) -> DataFrame:
 def payload(population: int, labels: int, silos: int) -> dict[str, int]:
     """Bytes of a generation's masked counters from one silo, and of one silo's set-up messages."""
     return {"payload": population * 3 * labels * 8, "setup": (silos - 1) * 32}
+
+
+def release_error(counters: DataFrame, epsilons: list[float], trials: int, delta: float, seed: int) -> DataFrame:
+    """(epsilon, error): mean absolute difference of macro-F1 from noisy and from true counters, over the trials."""
+    true = macro_f1(counters).select(F.col("macro_f1").alias("true"))
+    noisy = macro_f1(noisy_counters(counters, epsilons, trials, delta, seed), ["epsilon", "trial"])
+    return noisy.join(F.broadcast(true), F.lit(True)).groupBy("epsilon").agg(F.avg(F.abs(F.col("macro_f1") - F.col("true"))).alias("error"))

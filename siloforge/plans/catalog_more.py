@@ -8,12 +8,12 @@ from pyspark.sql import functions as F
 from siloforge.functions import columns as C
 from siloforge.operators import knn, metrics, pareto, partition, relevance, scheduling, secure, stats
 from siloforge.plans import fixtures as fx
-from siloforge.plans import runner
+from siloforge.plans import runner, search
 from siloforge.plans.catalog import A2, HAM, HASH, RANKED, SEL16, a2, a2_counters, bad_counters, folded, n_val, query, r6, scored
 from siloforge.plans.config import Settings
 from siloforge.plans.literals import literal, literal_sql
 from siloforge.session import fresh_path
-from siloforge.sources import arrays
+from siloforge.sources import arrays, synthetic
 
 
 @query("s03_prefold_scan", f"WITH {fx.FIXTURE_SQL['b']} SELECT split, count(*) n, count(DISTINCT silo) silos FROM b WHERE row_id % 5 = 2 GROUP BY split")
@@ -232,3 +232,43 @@ def r05(s, d):
 @query("g24_deadline_replay", f"WITH {literal_sql('silos')}, q AS (SELECT round, quantile_cont(latency, 0.6) m FROM silos GROUP BY round) SELECT round, max(latency) critical_path, count(*) n FROM silos JOIN q USING (round) WHERE latency <= m GROUP BY round")
 def g24(s, d):
     return scheduling.deadline(literal(s, "silos"), 0.6).groupBy("round").agg(F.max("latency").alias("critical_path"), F.count(F.lit(1)).alias("n"))
+
+
+@query("a38_release_error")
+def a38_error(s, d):
+    return secure.release_error(literal(s, "parts"), [0.5, 8.0, 1000.0], 20, 1e-5, 3)
+
+
+@query("g29_classifiers", A2 + "SELECT 'knn' classifier, round(avg(f1), 6) macro FROM lf")
+def g29(s, d):
+    return metrics.macro_f1(a2_counters(s, d)).select(F.lit("knn").alias("classifier"), F.round("macro_f1", 6).alias("macro"))
+
+
+@query("g29_classifier_matched")
+def g29_matched(s, d):
+    rows = fx.vectors_multi(s, d)
+    by = {"knn": knn.batch_counters(rows, [SEL16]).drop("mask_id", "n_val"), "logistic": search.logistic_counters(rows, SEL16)}
+    out = [metrics.macro_f1(c).select(F.lit(n).alias("classifier"), "macro_f1") for n, c in by.items()]
+    return out[0].unionByName(out[1])
+
+
+@query("g40_silo_times")
+def g40(s, d):
+    t = knn.silo_times(fx.vectors_multi(s, d), [SEL16])
+    silos = t.select(F.lit(0).alias("round"), "silo", "size", F.col("seconds").alias("latency"))
+    return scheduling.quorum(silos, 0.5).select("silo", "size")
+
+
+@query("g28_participation_sweep")
+def g28(s, d):
+    rows = fx.vectors_multi(s, d)
+    points = runner.sweep([{"share": x} for x in (0.25, 1.0)], lambda p: {"objective": search.Evaluator(rows, 59, participation=p["share"], seed=1)([tuple(SEL16)])[0][0]})
+    return s.createDataFrame([(p["share"], float(p["objective"])) for p in points], "share double, objective double")
+
+
+@query("g43_interaction")
+def g43(s, d):
+    data = synthetic.generate(600, 24, 4, 3, informative=6, interaction=0.5, seed=2)
+    rows = synthetic.as_rows(s, data)
+    masks = [list(map(int, data["informative"])), list(range(24))]
+    return metrics.macro_f1(knn.batch_counters(rows, masks), ["mask_id"])
