@@ -88,13 +88,23 @@ class LineRuns:
         return self.settled()
 
 
-def frequent_keys(docs: DataFrame, min_documents: int = MIN_DOCUMENTS, min_chars: int = MIN_CHARS, batches: int = BATCHES, fanout: int = FANOUT) -> DataFrame:
-    """Hashes of the keys of at least min_chars code points in at least min_documents of the documents, which come as so many batches by their text's hash."""
+def who() -> Column:
+    """Names a document by its id and text; equal rows are named alike."""
+    return F.xxhash64(F.struct("doc_id", F.xxhash64("text")))
+
+
+def keys_of(docs: DataFrame, min_chars: int = MIN_CHARS) -> DataFrame:
+    """(who, hash): the distinct keys of each document of at least min_chars code points. The lines are hashed once, here."""
     hashes = F.array_distinct(F.filter(F.transform(lines(F.col("text")), lambda x: key_hash(x, min_chars)), lambda x: x.isNotNull()))
-    batch = F.pmod(F.xxhash64("doc_id", "text"), F.lit(batches)).cast("int")
-    found = docs.select(batch.alias("batch"), F.explode(hashes).alias("hash")).groupBy("batch", "hash").agg(F.count(F.lit(1)).alias("documents"))
+    return docs.select(who().alias("who"), F.explode(hashes).alias("hash"))
+
+
+def frequent_keys(keys: DataFrame, min_documents: int = MIN_DOCUMENTS, batches: int = BATCHES, fanout: int = FANOUT) -> DataFrame:
+    """Hashes of the keys in at least min_documents documents, which come as so many batches by their name's hash."""
+    batch = F.pmod(F.xxhash64("who"), F.lit(batches)).cast("int")
+    found = keys.groupBy(batch.alias("batch"), "hash").agg(F.count(F.lit(1)).alias("documents"))
     found = cut(found, "lines", ["batch"])
-    runs = LineRuns(docs.sparkSession, min_documents, fanout)
+    runs = LineRuns(keys.sparkSession, min_documents, fanout)
     for n in range(batches):
         runs.add(found.filter(F.col("batch") == n).select("hash", "documents"))
     discard(found)
@@ -104,12 +114,9 @@ def frequent_keys(docs: DataFrame, min_documents: int = MIN_DOCUMENTS, min_chars
 def dedup_lines(docs: DataFrame, min_documents: int = MIN_DOCUMENTS, min_chars: int = MIN_CHARS, batches: int = BATCHES, fanout: int = FANOUT) -> DataFrame:
     """Per document: doc_id, text without the lines of frequent keys, n_lines before, n_dropped."""
     docs = docs.select("doc_id", "text")
-    frequent = frequent_keys(docs, min_documents, min_chars, batches, fanout)
-    who = F.struct("doc_id", F.xxhash64("text"))
-    hashes = F.array_distinct(F.transform(lines(F.col("text")), lambda x: key_hash(x, min_chars)))
-    hit = docs.select(F.xxhash64(who).alias("who"), F.explode(hashes).alias("hash")).join(frequent, "hash", "left_semi")
-    hit = hit.groupBy("who").agg(F.collect_set("hash").alias("drop"))
-    both = docs.withColumn("who", F.xxhash64(who)).join(hit, "who", "left").withColumn("lines", lines(F.col("text")))
+    keys = cut(keys_of(docs, min_chars), "keys")
+    hit = keys.join(frequent_keys(keys, min_documents, batches, fanout), "hash", "left_semi").groupBy("who").agg(F.collect_set("hash").alias("drop"))
+    both = docs.withColumn("who", who()).join(hit, "who", "left").withColumn("lines", lines(F.col("text")))
     kept = F.when(F.col("drop").isNull(), F.col("lines")).otherwise(
         F.filter("lines", lambda x: ~F.coalesce(F.array_contains("drop", key_hash(x, min_chars)), F.lit(False)))
     )
