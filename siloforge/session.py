@@ -8,7 +8,7 @@ import uuid
 
 from pyspark.sql import DataFrame, SparkSession
 
-ARROW_ROWS = 512
+ARROW_ROWS, ARROW_BYTES = 512, 16 << 20
 
 
 def build_session(cpus: int | str = "*", shuffle_partitions: int = 8, driver_memory: str = "12g") -> SparkSession:
@@ -31,6 +31,10 @@ def arrow_limits(spark: SparkSession) -> None:
     key = "spark.sql.execution.arrow.maxRecordsPerBatch"
     if int(spark.conf.get(key)) > ARROW_ROWS:
         spark.conf.set(key, str(ARROW_ROWS))
+    key = "spark.sql.execution.arrow.maxBytesPerBatch"
+    known = (spark.conf.get(key, None) or "").rstrip("b")
+    if known.lstrip("-").isdigit() and not 0 < int(known) <= ARROW_BYTES:
+        spark.conf.set(key, str(ARROW_BYTES))
 
 
 def shared_dir(spark: SparkSession) -> str:
