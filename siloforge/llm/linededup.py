@@ -115,7 +115,8 @@ def dedup_lines(docs: DataFrame, min_documents: int = MIN_DOCUMENTS, min_chars:
     """Per document: doc_id, text without the lines of frequent keys, n_lines before, n_dropped."""
     docs = docs.select("doc_id", "text")
     keys = cut(keys_of(docs, min_chars), "keys")
-    hit = keys.join(frequent_keys(keys, min_documents, batches, fanout), "hash", "left_semi").groupBy("who").agg(F.collect_set("hash").alias("drop"))
+    frequent = cut(frequent_keys(keys, min_documents, batches, fanout), "frequent")  # so that a very common key's side of the join can be split
+    hit = keys.join(frequent, "hash", "left_semi").groupBy("who").agg(F.collect_set("hash").alias("drop"))
     both = docs.withColumn("who", who()).join(hit, "who", "left").withColumn("lines", lines(F.col("text")))
     kept = F.when(F.col("drop").isNull(), F.col("lines")).otherwise(
         F.filter("lines", lambda x: ~F.coalesce(F.array_contains("drop", key_hash(x, min_chars)), F.lit(False)))
