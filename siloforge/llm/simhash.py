@@ -241,6 +241,24 @@ def links_of(home: np.ndarray, probe: np.ndarray, most: int) -> list[tuple[np.nd
     return out
 
 
+def spanning(a: np.ndarray, b: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """As few links as connect what these connect: from each node to the least that it reaches."""
+    nodes, at = np.unique(np.concatenate([a, b]), return_inverse=True)
+    x, y = at[: len(a)], at[len(a) :]
+    low = np.arange(len(nodes))
+    while True:
+        m = np.minimum(low[x], low[y])
+        new = low.copy()
+        np.minimum.at(new, x, m)
+        np.minimum.at(new, y, m)
+        new = new[new]
+        if (new == low).all():
+            break
+        low = new
+    some = np.flatnonzero(low != np.arange(len(nodes)))
+    return nodes[some], nodes[low[some]]
+
+
 def linked(batches: Iterator[pa.RecordBatch], words: int, most: int) -> Iterator[pa.RecordBatch]:
     """Links of rows that come sorted by bucket, tile and probe. Whole buckets are handled as they end; a bucket that outgrows memory's share goes through in parts, each with all its home classes."""
     held: list[np.ndarray] = []
@@ -262,8 +280,8 @@ def linked(batches: Iterator[pa.RecordBatch], words: int, most: int) -> Iterator
                     a_.append(node[s + p])
                     b_.append(node[s + q])
         if a_ and len(a := np.concatenate(a_)):
-            pairs = np.unique(np.stack([a, np.concatenate(b_)]), axis=1)
-            return pa.RecordBatch.from_arrays([pa.array(pairs[0]), pa.array(pairs[1])], names=["a", "b"])
+            x, y = spanning(a, np.concatenate(b_))
+            return pa.RecordBatch.from_arrays([pa.array(x), pa.array(y)], names=["a", "b"])
         return None
 
     for batch in batches:
@@ -335,20 +353,20 @@ def near_duplicates(docs: DataFrame, shingle: int = 3, tau: int = 2, repeats: bo
     return sigs.join(names_, "node").select("doc_id", F.col("w0").alias("fingerprint"), "component_id")
 
 
-def estimated_bits(similarity: float, words: int, slack: float = 1.0) -> int:
+def estimated_bits(similarity: float, words: int, slack: float = 1.5) -> int:
     """Differing bits of a signature that texts of this Jaccard similarity stay within: the expected angle, and so many standard deviations."""
     apart = math.acos(2 * similarity / (1 + similarity)) / math.pi
     bits = 64 * words
     return int(bits * apart + slack * math.sqrt(bits * apart * (1 - apart)))
 
 
-def dedup(docs: DataFrame, shingle: int = 5, similarity: float = 0.8, words: int = 4, tau: int = 8) -> DataFrame:
+def dedup(docs: DataFrame, shingle: int = 5, similarity: float = 0.8, words: int = 4, tau: int = 9) -> DataFrame:
     """One document of each group of near-duplicates, with all its columns: the one of smallest doc_id (then, of smallest hash). Texts are near-duplicates if their signatures of 64 * words bits are as close as the similarity makes likely."""
     sigs = cut(signatures(docs, shingle, words, repeats=False), "signatures")
     comps = components_of(sigs, words, words, tau, estimated_bits(similarity, words))
     rows = cut(sigs.select("doc_id", "key", "node").join(comps, "node").select("component", "doc_id", "key"), "groups")
     first = F.struct(F.col("doc_id").isNull().alias("last"), "doc_id", "key")
-    kept = rows.groupBy("component").agg(F.min(first).alias("kept")).select("component", F.col("kept.key").alias("kept"))
+    kept = cut(rows.groupBy("component").agg(F.min(first).alias("kept")).select("component", F.col("kept.key").alias("kept")), "kept")  # so that a hot component's side of the next join can be split
     verdict = rows.join(kept, "component").groupBy("key").agg(F.count(F.lit(1)).alias("n"), F.max((F.col("key") == F.col("kept")).cast("int")).alias("keep"))
     verdict = cut(verdict.filter("keep = 0 OR n > 1"), "verdict")
     key = F.xxhash64(docs["doc_id"], docs["text"])

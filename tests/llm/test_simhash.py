@@ -106,6 +106,16 @@ def test_components(spark):
     assert all(got.get(n, n) == top[n] for n in range(700))
 
 
+def test_spanning_connects_the_same():
+    rng = np.random.default_rng(2)
+    for n in (1, 5, 200):
+        a, b = rng.integers(0, 100, (2, n))
+        x, y = simhash.spanning(a, b)
+        assert joined(100, zip(a, b, strict=True)) == joined(100, zip(x, y, strict=True)) and len(x) <= 100
+    chain = np.arange(500)
+    assert len(simhash.spanning(chain[:-1], chain[1:])[0]) == 499
+
+
 def test_dedup_keeps_one_of_each_group(spark, documents):
     r = random.Random(7)
     vocabulary = ["".join(r.choice("abcdefghij") for _ in range(5)) for _ in range(500)]
