@@ -152,10 +152,12 @@ def fit(docs: DataFrame, labels: DataFrame, per_class: int = PER_CLASS) -> Voter
                 yield pa.RecordBatch.from_arrays([batch.column("doc_id").slice(a, b - a), batch.column("quality").slice(a, b - a), pa.array(raw, pa.binary())], names=["doc_id", "quality", "raw"])
 
     rows = sorted(texts.mapInArrow(run, "doc_id long, quality int, raw binary").collect())  # 2 * per_class rows of a few KB
-    counts = np.stack([np.frombuffer(r[2][: 2 * TERMS], np.uint16) for r in rows]).astype(np.float32)
-    shape = np.stack([np.frombuffer(r[2][2 * TERMS :], np.float32) for r in rows])
+    known_labels, x = np.array([r[1] for r in rows]), np.empty((len(rows), TERMS + SHAPES), np.float32)
+    for i, (_, _, raw) in enumerate(rows):  # one by one: the counts of the whole sample are never held beside x
+        x[i] = weighted(np.frombuffer(raw[: 2 * TERMS], np.uint16).astype(np.float32)[None], np.frombuffer(raw[2 * TERMS :], np.float32)[None], idf)[0]
+    del rows
     whole = sum(totals.values())
-    return Voters(idf, weighted(counts, shape, idf), np.array([r[1] for r in rows]), tuple(totals.get(c, 0) / whole for c in (0, 1)))
+    return Voters(idf, x, known_labels, tuple(totals.get(c, 0) / whole for c in (0, 1)))
 
 
 def scored(docs: DataFrame, model: Voters, columns: list[str], keep: float | None = None) -> DataFrame:
