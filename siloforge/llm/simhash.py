@@ -9,6 +9,11 @@ the partition into that bucket, and probes the greater values within t_i bits. C
 are verified on the whole signature. Of a bucket's links a task gives a spanning forest, not all pairs; a bucket with
 more than TILE classes is dealt out as pairs of tiles. Components of the links are found in Spark.
 
+dedup() takes the signatures' components as candidates only: inside each, texts are linked whose sets of shingles have
+the wanted Jaccard similarity, counted exactly on the shingles' hashes, and the components of these links are the groups.
+Candidate components of more than SETS texts, or SHINGLES shingles, are dealt out as pairs of tiles; a task's links
+are a spanning forest here too. Texts of equal sets are one node.
+
 Words are runs of anything but white space ([\\x20\\x09-\\x0D]), A-Z lower-cased. A text of fewer words than a
 shingle is one shingle; a null text, or one without words, has signature zero and is linked like any other.
 Repeated rows fall into one class. Other columns are ignored, or kept by dedup(), whatever their names.
@@ -17,7 +22,7 @@ Repeated rows fall into one class. Other columns are ignored, or kept by dedup()
 from __future__ import annotations
 
 import math
-from collections.abc import Iterator
+from collections.abc import Iterable, Iterator
 from itertools import combinations
 
 import numpy as np
@@ -34,6 +39,7 @@ LOWERED = bytes(range(65)) + bytes(range(97, 123)) + bytes(range(91, 256))
 SEED, CHUNK, TILE, CELLS = 42, 32768, 16384, 1 << 20
 ROW_COST, PAIR_COST = 3000.0, 10.0
 BATCH = 20000
+SETS, SHINGLES = 512, 1 << 21
 
 
 def shingle_hashes(text: bytes, shingle: int) -> Iterator[np.ndarray]:
@@ -65,11 +71,14 @@ def bit_counts(h: np.ndarray) -> np.ndarray:
     return padded.reshape(-1, 255, 64).sum(1, dtype=np.uint8).sum(0, dtype=np.int64)
 
 
-def signature(text: bytes, shingle: int, words: int, repeats: bool) -> list[int]:
+def shingle_set(text: bytes, shingle: int) -> np.ndarray:
+    """A text's different shingle hashes, ascending."""
+    return np.unique(np.concatenate([np.zeros(0, np.uint64), *shingle_hashes(text, shingle)]))
+
+
+def signature(chunks: Iterable[np.ndarray], words: int) -> list[int]:
+    """The words of the signature over these shingle hashes."""
     counts, total = np.zeros((words, 64), np.int64), 0
-    chunks = shingle_hashes(text, shingle)
-    if not repeats:
-        chunks = [np.unique(np.concatenate(own))] if (own := list(chunks)) else []
     for h in chunks:
         total += len(h)
         for w in range(words):
@@ -82,19 +91,31 @@ def names(words: int) -> list[str]:
     return [f"w{i}" for i in range(words)]
 
 
+def keyed(docs: DataFrame) -> DataFrame:
+    """(doc_id, text, key). key: a hash of id and text."""
+    return docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text", F.xxhash64("doc_id", "text").alias("key"))
+
+
 def signatures(docs: DataFrame, shingle: int, words: int = 1, repeats: bool = True) -> DataFrame:
-    """(doc_id, key, node, w0, ...): a signature per document. key: a hash of id and text; node: names the signature."""
+    """(doc_id, key, w0, ..., node): a signature per document. node: names the signature. Without repeats the signature is over the set of shingles, which node names then, and size counts."""
     arrow_limits(docs.sparkSession)
+    fields = ["doc_id", "key", *names(words), *([] if repeats else ["node", "size"])]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            rows = [signature(x.as_py() or b"", shingle, words, repeats) for x in batch.column("text").cast(pa.large_binary())]
-            cols = np.array(rows, np.int64).reshape(-1, words).T
-            yield pa.RecordBatch.from_arrays([batch.column("doc_id"), batch.column("key"), *(pa.array(np.ascontiguousarray(c)) for c in cols)], names=["doc_id", "key", *names(words)])
+            rows = []
+            for x in batch.column("text").cast(pa.large_binary()):
+                if repeats:
+                    rows.append(signature(shingle_hashes(x.as_py() or b"", shingle), words))
+                else:
+                    own = shingle_set(x.as_py() or b"", shingle)
+                    node = int(np.uint64(xxhash.xxh64_intdigest(own.tobytes(), SEED)).view(np.int64))
+                    rows.append([*signature([own], words), node, len(own)])
+            cols = np.array(rows, np.int64).reshape(-1, len(fields) - 2).T
+            yield pa.RecordBatch.from_arrays([batch.column("doc_id"), batch.column("key"), *(pa.array(np.ascontiguousarray(c)) for c in cols)], names=fields)
 
-    keyed = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text", F.xxhash64("doc_id", "text").alias("key"))
-    out = keyed.mapInArrow(run, "doc_id long, key long, " + ", ".join(f"{c} long" for c in names(words)))
-    return out.withColumn("node", F.col("w0") if words == 1 else F.xxhash64(*names(words)))
+    out = keyed(docs).mapInArrow(run, ", ".join(f"{c} long" for c in fields))
+    return out.withColumn("node", F.col("w0") if words == 1 else F.xxhash64(*names(words))) if repeats else out
 
 
 def joint_counts(classes: DataFrame, words: int) -> tuple[int, np.ndarray]:
@@ -353,17 +374,86 @@ def near_duplicates(docs: DataFrame, shingle: int = 3, tau: int = 2, repeats: bo
     return sigs.join(names_, "node").select("doc_id", F.col("w0").alias("fingerprint"), "component_id")
 
 
-def estimated_bits(similarity: float, words: int, slack: float = 1.5) -> int:
+def estimated_bits(similarity: float, words: int, slack: float = 3.5) -> int:
     """Differing bits of a signature that texts of this Jaccard similarity stay within: the expected angle, and so many standard deviations."""
     apart = math.acos(2 * similarity / (1 + similarity)) / math.pi
     bits = 64 * words
     return int(bits * apart + slack * math.sqrt(bits * apart * (1 - apart)))
 
 
-def dedup(docs: DataFrame, shingle: int = 5, similarity: float = 0.8, words: int = 4, tau: int = 9) -> DataFrame:
-    """One document of each group of near-duplicates, with all its columns: the one of smallest doc_id (then, of smallest hash). Texts are near-duplicates if their signatures of 64 * words bits are as close as the similarity makes likely."""
+def similar(sets: list[np.ndarray], side: np.ndarray, similarity: float) -> list[tuple[int, int]]:
+    """Links (as positions) that connect whatever sets have this Jaccard similarity or more, directly or in steps. If there are two sides, only sets of different sides are compared."""
+    size = np.array([len(x) for x in sets])
+    ids = np.split(np.unique(np.concatenate(sets), return_inverse=True)[1], np.cumsum(size)[:-1])
+    held = np.zeros(sum(size) + 1, bool)
+    two, out, left = side.min() != side.max(), [], np.arange(len(sets))
+    while len(left) > 1:
+        todo, left = [left[0]], left[1:]
+        while todo and len(left):
+            x = todo.pop()
+            other = np.flatnonzero((np.minimum(size[left], size[x]) >= similarity * np.maximum(size[left], size[x]) - 1) & (not two or side[left] != side[x]))
+            held[ids[x]] = True
+            both = np.array([np.count_nonzero(held[ids[y]]) for y in left[other].tolist()], np.int64)
+            held[ids[x]] = False
+            got = other[both / (size[left[other]] + size[x] - both) >= similarity]
+            out.extend((int(x), y) for y in left[got].tolist())
+            todo.extend(left[got].tolist())
+            left = np.delete(left, got)
+    return out
+
+
+def verified(batches: Iterator[pa.RecordBatch], similarity: float) -> Iterator[pa.RecordBatch]:
+    """Links of sets that come sorted by component, unit, side and node. A unit is held at a time."""
+    now, held = None, []
+
+    def solve() -> Iterator[pa.RecordBatch]:
+        node, side, sets = zip(*held, strict=True)
+        if found := similar([np.frombuffer(x, np.uint64) for x in sets], np.array(side), similarity):
+            yield pa.RecordBatch.from_arrays([pa.array([node[x] for x, _ in found], pa.int64()), pa.array([node[y] for _, y in found], pa.int64())], names=["a", "b"])
+
+    for batch in batches:
+        for component, unit, side, node, x in zip(*(batch.column(c).to_pylist() for c in ("component", "unit", "side", "node", "shingles")), strict=True):
+            if (component, unit) != now:
+                if len(held) > 1:
+                    yield from solve()
+                now, held = (component, unit), []
+            if not held or held[-1][0] != node:  # a node may come twice, from rows equal in id and text
+                held.append((node, side, x))
+    if len(held) > 1:
+        yield from solve()
+
+
+def exact_links(docs: DataFrame, classes: DataFrame, candidates: DataFrame, shingle: int, similarity: float) -> DataFrame:
+    """(a, b): links that connect the same nodes as all pairs of one candidate component (node, component) whose sets of shingles have this Jaccard similarity or more."""
+    texts = cut(classes.join(candidates, "node").select("node", "component", "key", "size"), "texts")
+    tiles = texts.groupBy("component").agg(F.ceil(F.greatest(F.count(F.lit(1)) / SETS, F.sum("size") / SHINGLES, F.lit(1))).cast("int").alias("tiles"))
+    wanted = cut(texts.join(tiles, "component").select("key", "node", "component", "tiles"), "wanted")
+    discard(texts)
+    keys = cut(wanted.select("key"), "keys")
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            sets = [shingle_set(x.as_py() or b"", shingle).tobytes() for x in batch.column("text").cast(pa.large_binary())]
+            yield pa.RecordBatch.from_arrays([batch.column("key"), pa.array(sets, pa.binary())], names=["key", "shingles"])
+
+    sets = keyed(docs).select("key", "text").join(keys, "key", "left_semi").mapInArrow(run, "key long, shingles binary")
+    own, k = F.pmod(F.xxhash64("node"), F.col("tiles")).cast("int"), F.col("tiles")
+    met = F.transform(F.sequence(F.lit(0), k - 1), lambda j: F.struct((F.least(own, j) * k + F.greatest(own, j)).alias("unit"), (own > j).cast("int").alias("side")))
+    rows = sets.join(wanted, "key").select("component", "node", F.explode(met).alias("met"), "shingles").select("component", "met.unit", "met.side", "node", "shingles")
+    rows = rows.repartition("component", "unit").sortWithinPartitions("component", "unit", "side", "node")
+    out = cut(rows.mapInArrow(lambda batches: verified(batches, similarity), "a long, b long").distinct(), "links")
+    for x in (keys, wanted):
+        discard(x)
+    return out
+
+
+def dedup(docs: DataFrame, shingle: int = 5, similarity: float = 0.8, words: int = 4, tau: int = 11, parts: int = 6) -> DataFrame:
+    """One document of each group of near-duplicates, with all its columns: the one of smallest doc_id (then, of smallest hash). Texts are near-duplicates if their sets of shingles have this Jaccard similarity or more; they are looked for among texts whose signatures of 64 * words bits are about as close as that makes likely."""
     sigs = cut(signatures(docs, shingle, words, repeats=False), "signatures")
-    comps = components_of(sigs, words, words, tau, estimated_bits(similarity, words))
+    classes = cut(sigs.groupBy("node", *names(words)).agg(F.min("key").alias("key"), F.min("size").alias("size")), "classes")
+    candidates = cut(components(links(classes, words, words, tau, estimated_bits(similarity, words), parts)), "candidates")
+    found = components(exact_links(docs, classes, candidates, shingle, similarity))
+    comps = classes.select("node").join(found, "node", "left").select("node", F.coalesce("component", "node").alias("component"))
     rows = cut(sigs.select("doc_id", "key", "node").join(comps, "node").select("component", "doc_id", "key"), "groups")
     first = F.struct(F.col("doc_id").isNull().alias("last"), "doc_id", "key")
     kept = cut(rows.groupBy("component").agg(F.min(first).alias("kept")).select("component", F.col("kept.key").alias("kept")), "kept")  # so that a hot component's side of the next join can be split

@@ -135,6 +135,39 @@ def test_dedup_keeps_one_of_each_group(spark, documents):
     assert got == sorted([*(k * 10 for k in range(12)), 500, None, 501], key=str)
 
 
+def shingles(text):
+    words = text.lower().split()
+    return {tuple(words[i : i + 5]) for i in range(max(1, len(words) - 4))}
+
+
+def family(r, n, shared, own, first):
+    """Texts that share a passage; each has words of its own around it."""
+    passage = [f"p{r.randrange(10**6)}" for _ in range(shared)]
+    word = lambda: f"o{r.randrange(10**9)}"
+    return [(first + i, " ".join([word() for _ in range(own // 2)] + passage + [word() for _ in range(own - own // 2)])) for i in range(n)]
+
+
+@pytest.mark.parametrize("sets", [512, 16])
+def test_dedup_links_by_exact_similarity(spark, documents, monkeypatch, sets):
+    monkeypatch.setattr(simhash, "SETS", sets)
+    r = random.Random(11)
+    rows = family(r, 60, 200, 50, 0) + family(r, 60, 200, 30, 100) + family(r, 40, 200, 10, 200) + family(r, 30, 400, 90, 300)
+    for i, (_, text) in enumerate(rows[120::4]):  # a step away from the third family's
+        rows.append((1000 + i, " ".join(text.split()[: -r.randrange(1, 60)])))
+    sets_ = [shingles(t) for _, t in rows]
+    comp = joined(len(rows), [(i, j) for i, j in itertools.combinations(range(len(rows)), 2) if len(sets_[i] & sets_[j]) / len(sets_[i] | sets_[j]) >= 0.8])
+    kept = [x["doc_id"] for x in simhash.dedup(documents(rows)).collect()]
+    assert sorted(kept) == sorted({rows[c][0] for c in comp}) and len(kept) > 120
+
+
+def test_similar_takes_the_bound_itself():
+    four, five = np.arange(4, dtype=np.uint64), np.arange(5, dtype=np.uint64)
+    assert simhash.similar([four, five], np.zeros(2, int), 0.8) == [(0, 1)]
+    assert simhash.similar([four, five, four + np.uint64(100)], np.array([0, 0, 1]), 0.8) == []
+    assert simhash.similar([four, five], np.zeros(2, int), 0.81) == []
+    assert simhash.similar([four[:0], five], np.zeros(2, int), 0.8) == []
+
+
 def test_empty(spark, documents):
     assert simhash.near_duplicates(documents([])).count() == 0
     assert simhash.dedup(documents([])).count() == 0
