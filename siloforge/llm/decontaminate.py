@@ -182,7 +182,7 @@ def contamination(docs: DataFrame, items: DataFrame, broadcast_bytes: int = BROA
     items = items.select("item_id", "text")
     docs = docs.select("doc_id", "text")
     if not bounded(items, broadcast_bytes):
-        return joined(docs, items)
+        return joined(docs, items).drop("k")
     held = spark.sparkContext.broadcast(index_of(items))
     return docs.mapInArrow(lambda batches: scan(batches, held.value, hit_rows), HITS)
 
@@ -211,10 +211,14 @@ def fingerprints(df: DataFrame, lengths: list[int], is_item: bool) -> DataFrame:
     return df.select("k", "text").mapInArrow(run, "k long, length int, print long")
 
 
+def key_of() -> F.Column:
+    """A hash of a document's id and text."""
+    return F.xxhash64(F.coalesce(F.col("doc_id").cast("string"), F.lit("null")), "text")
+
+
 def joined(docs: DataFrame, items: DataFrame) -> DataFrame:
-    """contamination() for test sets of any size: a shuffle join of the fingerprints finds pairs of a document and an item, each of which is then compared."""
-    spark = docs.sparkSession
-    docs = docs.withColumn("k", F.xxhash64(F.coalesce(F.col("doc_id").cast("string"), F.lit("null")), "text"))
+    """contamination() for test sets of any size, and each document's key k: a shuffle join of the fingerprints finds pairs of a document and an item, each of which is then compared."""
+    docs = docs.withColumn("k", key_of())
     items = items.withColumn("k", F.xxhash64(F.coalesce(F.col("item_id").cast("string"), F.lit("null")), "text"))
     lengths = list(range(1, SPAN + 1))
     tests = fingerprints(items, lengths, True).withColumnRenamed("k", "item_k")
@@ -249,31 +253,34 @@ def joined(docs: DataFrame, items: DataFrame) -> DataFrame:
         for batch in batches:
             spans = [merged([(x["a"], x["b"]) for x in (s or [])]) for s in batch.column("spans").to_pylist()]
             items_ = pa.array([x or [] for x in batch.column("items").to_pylist()], pa.list_(pa.string()))
-            yield pa.RecordBatch.from_arrays([batch.column("doc_id"), batch.column("n_words"), pa.array([x[0] for x in spans], pa.list_(pa.int64())), pa.array([x[1] for x in spans], pa.list_(pa.int64())), items_], names=["doc_id", "n_words", "hit_from", "hit_to", "items"])
+            yield pa.RecordBatch.from_arrays([batch.column("k"), batch.column("doc_id"), batch.column("n_words"), pa.array([x[0] for x in spans], pa.list_(pa.int64())), pa.array([x[1] for x in spans], pa.list_(pa.int64())), items_], names=["k", "doc_id", "n_words", "hit_from", "hit_to", "items"])
 
-    return docs.mapInArrow(counts, "doc_id long, k long, n_words long").join(per, "k", "left").drop("k").mapInArrow(union, HITS)
+    return docs.mapInArrow(counts, "doc_id long, k long, n_words long").join(per, "k", "left").mapInArrow(union, f"k long, {HITS}")
 
 
 def n_hit() -> F.Column:
     return F.aggregate(F.zip_with("hit_to", "hit_from", lambda b, a: b - a), F.lit(0).cast("long"), lambda s, x: s + x)
 
 
+def contaminated() -> F.Column:
+    return (n_hit() > 0) & (20 * n_hit() >= F.col("n_words"))
+
+
 def digest(found_: DataFrame) -> DataFrame:
-    hit = n_hit()
     return found_.select(
-        "doc_id", "n_words", hit.alias("n_hit"), F.size("items").cast("long").alias("n_items"), F.sha2(F.array_join("items", ","), 256).alias("items_sha256"),
-        ((hit > 0) & (20 * hit >= F.col("n_words"))).alias("contaminated"),
+        "doc_id", "n_words", n_hit().alias("n_hit"), F.size("items").cast("long").alias("n_items"), F.sha2(F.array_join("items", ","), 256).alias("items_sha256"),
+        contaminated().alias("contaminated"),
     )
 
 
-def clean(docs: DataFrame, items: DataFrame) -> DataFrame:
-    """The documents that aren't contaminated (a hit word, and at least one word in 20), with all their columns, read once: the verdict is made row by row."""
+def clean(docs: DataFrame, items: DataFrame, broadcast_bytes: int = BROADCAST_BYTES) -> DataFrame:
+    """The documents that aren't contaminated (a hit word, and at least one word in 20), with all their columns. The verdict is made row by row, or by id and text where the test set is too large to broadcast."""
     spark = docs.sparkSession
     arrow_limits(spark)
     items = items.select("item_id", "text")
-    if not bounded(items):
-        bad = digest(joined(docs.select("doc_id", "text"), items)).filter("contaminated").select(F.col("doc_id").alias("__sf_id")).distinct()
-        return docs.join(bad, docs["doc_id"].eqNullSafe(bad["__sf_id"]), "left_anti")
+    if not bounded(items, broadcast_bytes):
+        bad = joined(docs.select("doc_id", "text"), items).filter(contaminated()).select(F.col("k").alias("__sf_bad")).distinct()
+        return docs.withColumn("__sf_key", key_of()).join(bad, F.col("__sf_key") == F.col("__sf_bad"), "left_anti").drop("__sf_key")
     held = spark.sparkContext.broadcast(index_of(items))
 
     def keep(batch: pa.RecordBatch, counts: np.ndarray, hits: dict[int, list]) -> pa.RecordBatch:

@@ -74,3 +74,13 @@ def test_mix_repeats_rows(spark, documents):
     assert got == {k: v for k, v in plan.items() if v}
     for r in mixing.mixture(docs).selectExpr("source", "size * times t", "target").groupBy("source", "target").sum("t").collect():
         assert abs(r[2] - r[1]) <= 7
+
+
+def test_clean_by_shuffle_is_the_same(spark, documents, wide):
+    own, bad = "some words of no test item at all", "a test item of a few words"
+    docs = documents([(1, own), (1, bad), (None, own), (None, bad), (None, None), (2, bad), (3, own), (3, own), (4, "")])
+    items = wide([(1, bad)], "item_id long, text string")
+    a, b = (decontaminate.clean(docs, items, most) for most in (decontaminate.BROADCAST_BYTES, 0))
+    assert a.columns == b.columns == docs.columns
+    rows = [sorted(((x["doc_id"], x["text"]) for x in df.collect()), key=str) for df in (a, b)]
+    assert rows[0] == rows[1] == sorted([(1, own), (None, own), (None, None), (3, own), (3, own), (4, "")], key=str)
