@@ -5,7 +5,9 @@ vector is represented by its PREFIX nearest pivots in order. Vectors lie in bloc
 their id); a block posts its vectors in one inverted file a pivot, which holds each vector's place on the pivot's
 list. A query's postings give the footrule distances: with weight PREFIX - place, absent pivots last, the distance is a constant
 less twice the sum of the smaller weights over common pivots. The nearest of a block (its FRACTION, at least LEAST, with
-all ties) are reranked by exact inner products, and the blocks' best are merged. All vectors are indexed; queries
+all ties) are reranked by exact inner products, and the blocks' best are merged. As footrule distances follow the angle only, a
+block is split in bands of norms within a factor of BAND; each band gives its nearest, from the greatest norms down, until
+no inner product with a band can reach the best found (|q| |x| bounds it). All vectors are indexed; queries
 go to all blocks, a batch at a time. Equal vectors are indexed once and listed with all their ids.
 
 Nearness is the inner product in double precision. Null or empty vectors, zero vectors and those with null or
@@ -25,7 +27,7 @@ from pyspark.sql import functions as F
 
 from siloforge.session import table
 
-PIVOTS, PREFIX, SAMPLE, BLOCK, FRACTION, LEAST, TOP = 256, 48, 4096, 4096, 0.15, 256, 20
+PIVOTS, PREFIX, SAMPLE, BLOCK, FRACTION, LEAST, TOP, BAND = 256, 48, 4096, 4096, 0.15, 256, 20, 1.1
 FOUND = "query_id long, vec_id long, score double"
 
 
@@ -62,6 +64,11 @@ def weights(x: np.ndarray, pivots: np.ndarray, prefix: int = PREFIX) -> np.ndarr
     return out
 
 
+def log_norms(x: np.ndarray) -> np.ndarray:
+    scale = np.abs(x).max(axis=1, keepdims=True)
+    return np.log(scale[:, 0]) + np.log(np.linalg.norm(x / scale, axis=1))
+
+
 class Block:
     """A block's inverted files. ids ascend."""
 
@@ -74,21 +81,29 @@ class Block:
         self.x = x[first[order]]
         by = np.argsort(place[which], kind="stable")
         self.ids, self.start = ids[by], np.concatenate([[0], np.cumsum(np.bincount(place[which]))])
+        size = log_norms(self.x)
+        band = np.floor((size.max() - size) / np.log(BAND) + 1e-3).astype(np.int64)
+        self.bands = [(size[at].max(), at) for at in (np.flatnonzero(band == b) for b in np.unique(band))]  # greatest norms first
         self.pivots = pivots
         self.files = None if pivots is None else np.ascontiguousarray(weights(self.x, pivots).T)
 
     def nearest(self, query: int, q: np.ndarray, w: np.ndarray | None, top: int, fraction: float, least: int) -> tuple[np.ndarray, np.ndarray]:
         """The ids and scores of the best vectors found, best first."""
-        n = len(self.x)
-        want = max(int(np.ceil(fraction * n)), least, top + 1)
-        if self.files is None or want >= n:
-            at, score = np.arange(n), self.x @ q
-        else:
-            common = np.zeros(n, np.uint16)
-            for p in np.flatnonzero(w):
-                common += np.minimum(self.files[p], w[p])
-            at = np.flatnonzero(common >= np.partition(common, n - want)[n - want])
-            score = self.x[at] @ q
+        common, long = None, log_norms(q[None, :])[0]
+        at, score = np.zeros(0, np.int64), np.zeros(0)
+        for size, own in self.bands:
+            if len(score) > top and (worst := np.partition(score, len(score) - top - 1)[len(score) - top - 1]) > 0 and np.log(worst) > long + size + 1e-9:
+                break
+            n = len(own)
+            want = max(int(np.ceil(fraction * n)), least, top + 1)
+            if self.files is not None and want < n:
+                if common is None:
+                    common = np.zeros(len(self.x), np.uint16)
+                    for p in np.flatnonzero(w):
+                        common += np.minimum(self.files[p], w[p])
+                near = common[own]
+                own = own[near >= np.partition(near, n - want)[n - want]]
+            at, score = np.concatenate([at, own]), np.concatenate([score, self.x[own] @ q])
         if len(at) > top + 1:
             keep = score >= np.partition(score, len(score) - top - 1)[len(score) - top - 1]
             at, score = at[keep], score[keep]

@@ -1,6 +1,7 @@
 from __future__ import annotations
 
 import numpy as np
+import pytest
 from pyspark.sql import functions as F
 
 from siloforge.llm import neighbours
@@ -62,3 +63,19 @@ def test_index_over_small_blocks(spark, wide, monkeypatch):
 
 def test_empty(spark, wide):
     assert neighbours.search(wide([], "vec_id long, embedding array<float>"), F.col("vec_id") % 20 == 0).count() == 0
+
+
+@pytest.mark.parametrize("spread", [0, 0.25, 0.5, 1.0])
+def test_recall_on_vectors_of_varied_length(spread):
+    rng = np.random.default_rng(4)
+    x = rng.normal(size=(100, 48))[rng.integers(0, 100, 4000)] + 0.6 * rng.normal(size=(4000, 48))
+    x *= (np.exp(spread * rng.normal(size=4000)) / np.linalg.norm(x, axis=1))[:, None]
+    pivots = neighbours.chosen_pivots(x)
+    block, w = neighbours.Block(np.arange(4000), x, pivots), neighbours.weights(x[:100], pivots)
+    hit = 0
+    for q in range(100):
+        score = x @ x[q]
+        score[q] = -np.inf
+        got = block.nearest(q, x[q], w[q], 20, neighbours.FRACTION, neighbours.LEAST)[0]
+        hit += len(set(got.tolist()) & set(np.argsort(-score)[:20].tolist()))
+    assert hit >= 0.9 * 100 * 20, hit / 2000
