@@ -115,11 +115,11 @@ def number(value: str | None) -> int | None:
     return int(m[1]) if m else None
 
 
-def parsed(data: bytes, at: int) -> tuple[int, dict]:
-    """The end of the plain record at this byte, and what it holds."""
+def parsed(data: bytes, at: int, header_bytes: int | None = None) -> tuple[int, dict]:
+    """The end of the plain record at this byte, and what it holds. header_bytes: how far the header's end is looked for, if there is a limit."""
     if data[at : at + 7] != b"WARC/1.":
         raise Damaged("no version line")
-    if (cut := data.find(b"\r\n\r\n", at, at + HEADER_BYTES)) < 0:
+    if (cut := data.find(b"\r\n\r\n", at, len(data) if header_bytes is None else at + header_bytes)) < 0:
         raise Damaged("no end of the header")
     lines = data[at:cut].decode("utf-8", "replace").split("\r\n")
     if not re.fullmatch(r"WARC/1\.\d", lines[0]):
@@ -171,7 +171,8 @@ def member(data: bytes, at: int) -> tuple[int, bytes]:
     return min(pos, len(data)) - len(z.unused_data), b"".join(out)
 
 
-def record_at(data: bytes, at: int) -> tuple[int, dict]:
+def record_at(data: bytes, at: int, header_bytes: int | None = None) -> tuple[int, dict]:
+    """header_bytes limits the header of a plain record only; a gzip member's header ends with it at the latest."""
     if data[at : at + 2] == b"\x1f\x8b":
         end, plain = member(data, at)
         if not plain:
@@ -180,7 +181,7 @@ def record_at(data: bytes, at: int) -> tuple[int, dict]:
         if stop != len(plain):
             raise Damaged("a gzip member holds more than its record")
         return end, got
-    return parsed(data, at)
+    return parsed(data, at, header_bytes)
 
 
 def salvage(data: bytes) -> Iterator[tuple[int, int, str | None, dict]]:
@@ -197,7 +198,7 @@ def salvage(data: bytes) -> Iterator[tuple[int, int, str | None, dict]]:
                 end = min(near, default=len(data))
                 if end < len(data):
                     try:
-                        record_at(data, end)
+                        record_at(data, end, HEADER_BYTES)
                     except Damaged:
                         continue
                 break

@@ -1,5 +1,6 @@
 from __future__ import annotations
 
+import hashlib
 import gzip
 import os
 import random
@@ -82,3 +83,11 @@ def test_nothing_and_noise():
     assert list(warc.salvage(b"")) == []
     assert [r[1] for r in warc.salvage(b"\x1f\x8b" * 50)] == [100]
     assert [(r[2], r[3]) for r in warc.salvage(warc.zipped(b""))] == [(None, {})]
+
+
+def test_header_over_the_scan_limit_is_read():
+    url = "http://example.org/" + "a" * (warc.HEADER_BYTES + 10) + " %" * 1000
+    plain = warc.record(7, url, b"<p>", 3, hashlib.sha256(b"<p>").hexdigest())
+    for data in (warc.zipped(plain), plain):
+        (at, n, why, got), *rest = warc.salvage(data)
+        assert (at, n, why, rest) == (0, len(data), None, []) and (got["page_id"], got["url"]) == (7, url)
