@@ -52,11 +52,11 @@ def crowding(solutions: DataFrame, objectives: list[str], by: str | None = None)
 
 
 def blended_order(crowded: DataFrame, risk: DataFrame, blend: float) -> DataFrame:
-    """(i, place): by crowding distance less blend times the risk's z-score in units of the distances' deviation; infinite distances first."""
-    t = crowded.join(risk, "i")
-    every = W.partitionBy(F.lit(0))
-    sd, z = F.stddev_pop("distance").over(every), F.stddev_pop("risk").over(every)
-    key = F.col("distance") - blend * sd * F.when(z > 0, (F.col("risk") - F.avg("risk").over(every)) / z).otherwise(0.0)
+    """(i, place): by crowding distance less blend times the risk's z-score in units of the range of the finite distances (1 if they have none); infinite distances first."""
+    span = F.max("distance") - F.min("distance")
+    all_ = crowded.join(risk, "i").agg(F.when(span > 0, span).otherwise(1.0).alias("span"), F.avg("risk").alias("mean"), F.stddev_pop("risk").alias("sd"))
+    t = crowded.join(risk, "i").crossJoin(F.broadcast(all_))  # one row
+    key = F.col("distance") - blend * F.col("span") * F.when(F.col("sd") > 0, (F.col("risk") - F.col("mean")) / F.col("sd")).otherwise(0.0)
     t = t.withColumn("key", F.round(key, 9))
     return t.select("i", F.row_number().over(W.orderBy(F.col("distance").isNotNull(), F.col("key").desc(), "i")).alias("place"))
 

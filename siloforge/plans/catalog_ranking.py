@@ -343,7 +343,7 @@ def s15(s, d):
 
 # --- streams
 
-EV = "SELECT CAST(date_trunc('day', ts) AS DATE) AS day, event_type, CAST(user_id % 5 AS INT) silo, value, user_id FROM events"
+EV = "SELECT CAST(date_trunc('day', ts) AS DATE) AS day, event_type, CAST(user_id % 5 AS INT) silo, value, user_id, ts, event_id FROM events"
 
 
 @query("r01_stream_counters", f"SELECT CAST(day AS VARCHAR) AS day, event_type, count(*) n, round(sum(value), 4) total FROM ({EV}) GROUP BY ALL")
@@ -351,11 +351,11 @@ def r01(s, d):
     return rounds.daily_counters(s, d)
 
 
-@query("r02_stream_quorum")
+@query("r02_stream_quorum", f"WITH o AS (SELECT *, row_number() OVER (PARTITION BY day ORDER BY ts, event_id) k, count(*) OVER (PARTITION BY day) mass FROM ({EV})) SELECT CAST(day AS VARCHAR) AS day, CAST(count(DISTINCT silo) AS INT) silos, count(*) n, round(sum(value), 4) total FROM o WHERE k <= ceil(0.5 * mass) GROUP BY day")
 def r02(s, d):
     return rounds.quorum_rounds(s, d, 0.5)
 
 
-@query("r03_stream_deadline")
+@query("r03_stream_deadline", f"SELECT CAST(day AS VARCHAR) AS start, silo, count(*) n FROM ({EV}) GROUP BY ALL")
 def r03(s, d):
     return rounds.deadline_windows(s, d)

@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import atexit
+import re
 import tempfile
 import uuid
 
@@ -38,13 +39,15 @@ def arrow_limits(spark: SparkSession) -> None:
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The folder that driver and executors share: spark.checkpoint.dir, or a temporary one where it is unset."""
+    """The folder that driver and executors share: spark.checkpoint.dir, or the context's checkpoint folder. Where neither is set, a local session takes a temporary folder; on a cluster that is an error, as executors don't see the driver's disk."""
     sc = spark.sparkContext
     top = sc.getConf().get("spark.checkpoint.dir")
     if not top:
         known = sc._jsc.sc().getCheckpointDir()
         if known.isDefined():
             return known.get()
+        if not re.fullmatch(r"local(\[[^\]]*\])?", sc.master):
+            raise RuntimeError(f"spark.checkpoint.dir isn't set, and {sc.master} needs a folder that its executors share")
         top = tempfile.mkdtemp(prefix="siloforge-")
         atexit.register(__import__("shutil").rmtree, top, True)
         sc.setCheckpointDir(top)

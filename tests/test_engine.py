@@ -2,17 +2,23 @@
 
 from __future__ import annotations
 
+import datetime
 import itertools
+import os
+import random
+from types import SimpleNamespace
 
 import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
+from siloforge import session
 from siloforge.functions import columns as C
 from siloforge.operators import knn, metrics, pareto, partition, relevance, secure, stats
 from siloforge.plans import config, fixtures, search
 from siloforge.plans.literals import literal
 from siloforge.sources import arrays, synthetic
+from siloforge.streaming import rounds
 
 
 def as_dict(df):
@@ -175,3 +181,42 @@ def test_columns(spark):
     assert tuple(r) == (0.0, 0.0, 2, [1, 5, 9], 1.0)
     with pytest.raises(Exception):
         one.select(C.fixed_point(F.lit(1e18), 20)).collect()
+
+
+def event_files(spark, where, batches):
+    """Event tables of a file each, modified one after the other."""
+    (where / "events.parquet").mkdir()
+    for i, rows in enumerate(batches):
+        spark.createDataFrame(rows, "event_id long, ts timestamp, user_id long, event_type string, value double, props string").coalesce(1).write.parquet(str(where / f"b{i}"))
+        part = next((where / f"b{i}").glob("part-*"))
+        to = where / "events.parquet" / f"part-{i}.parquet"
+        part.rename(to)
+        os.utime(to, (1_700_000_000 + 10 * i,) * 2)
+
+
+def test_rounds_over_many_files(spark, tmp_path):
+    r = random.Random(5)
+    at = lambda day, hour: datetime.datetime(2024, 1, day, hour, 30)
+    rows = [(i, at(1 + i // 30, i % 30 * 23 // 30), r.randrange(9), "x", float(i), None) for i in range(90)]
+    late = [(500, at(1, 3), 2, "x", 1.0, None), (501, at(3, 1), 2, "x", 1.0, None)]  # the first comes after its window is closed
+    batches = [rows[:10], rows[10:40], rows[40:75], rows[75:85] + late, rows[85:]]
+    event_files(spark, tmp_path, batches)
+    got = sorted(map(tuple, rounds.deadline_windows(spark, str(tmp_path), files_per_batch=1).collect()))
+    want = {}
+    for e in [*rows, late[1]]:
+        key = (f"2024-01-0{e[1].day}", e[2] % 5)
+        want[key] = want.get(key, 0) + 1
+    assert got == sorted((*k, n) for k, n in want.items())
+    quorum = sorted(map(tuple, rounds.quorum_rounds(spark, str(tmp_path), 0.5, files_per_batch=1).collect()))
+    expected = []
+    for day, mass in ((1, 31), (2, 30), (3, 31)):
+        arrived = [e for b in batches for e in sorted(b, key=lambda e: (e[1], e[0])) if e[1].day == day][: -(-mass // 2)]
+        expected.append((f"2024-01-0{day}", len({e[2] % 5 for e in arrived}), len(arrived), sum(e[4] for e in arrived)))
+    assert quorum == expected
+
+
+def test_a_cluster_needs_a_shared_folder():
+    conf, folder = SimpleNamespace(get=lambda k: None), SimpleNamespace(isDefined=lambda: False)
+    sc = SimpleNamespace(getConf=lambda: conf, master="spark://host:7077", _jsc=SimpleNamespace(sc=lambda: SimpleNamespace(getCheckpointDir=lambda: folder)))
+    with pytest.raises(RuntimeError, match="spark.checkpoint.dir"):
+        session.shared_dir(SimpleNamespace(sparkContext=sc))
