@@ -6,7 +6,8 @@ text writer writes the archives of about ARCHIVE_BYTES, so a lost task leaves no
 
 read() checks each record: version line, header, length, end, block and payload digest. After a failed check it searches
 for the next version line or gzip member at which a whole valid record starts, recovers from there, and logs the
-bytes between as a quarantined gap with the reason. Plain records and one-record gzip members may be mixed.
+bytes between as a quarantined gap with the reason. Plain records and gzip members, of one record or of many, may be
+mixed. A member that fails its own check is quarantined whole. An archive is read by one task, up to 2 GiB.
 
 Null payloads are empty. Null ids are written as "null" and read as null; a null id is never referred to while an
 id is there. Null URLs have no target line; control characters and blanks of URLs are percent-encoded. Repeated
@@ -26,11 +27,12 @@ from pyspark.sql import functions as F
 
 from siloforge.session import arrow_limits, fresh_path, table
 
-REVISIT_BYTES, ARCHIVE_BYTES, HEADER_BYTES, LEVEL = 100, 8 << 20, 1 << 20, 6
+REVISIT_BYTES, ARCHIVE_BYTES, LEVEL = 100, 8 << 20, 6
 REVISIT = "http://netpreserve.org/warc/1.1/revisit/identical-payload-digest"
 END = "\r\n\r\n"
 DATE = "2024-01-01T00:00:00Z"
 ROWS = "archive string, offset long, length long, status string, reason string, page_id long, url string, payload_bytes long, payload_digest string, record_type string, refers_to long"
+VERSION, FIELD = re.compile(rb"WARC/1\.\d\r\n"), re.compile(rb"([A-Za-z0-9-]+):")
 FIELDS = ("page_id", "url", "payload_bytes", "payload_digest", "record_type", "refers_to")
 
 
@@ -115,24 +117,46 @@ def number(value: str | None) -> int | None:
     return int(m[1]) if m else None
 
 
-def parsed(data: bytes, at: int, header_bytes: int | None = None) -> tuple[int, dict]:
-    """The end of the plain record at this byte, and what it holds. header_bytes: how far the header's end is looked for, if there is a limit."""
-    if data[at : at + 7] != b"WARC/1.":
+class Archive:
+    """An archive's bytes. Remembers where the next header ends, so a search from many places looks at no byte twice."""
+
+    def __init__(self, data: bytes) -> None:
+        self.data, self.seen = data, (0, -1)
+
+    def header_end(self, at: int) -> int:
+        """Where the header that starts at this byte ends; the archive's length if nowhere."""
+        if not self.seen[0] <= at <= self.seen[1]:
+            end = self.data.find(b"\r\n\r\n", at)
+            self.seen = (at, len(self.data) if end < 0 else end)
+        return self.seen[1]
+
+
+def header(archive: Archive, at: int) -> tuple[int, dict[str, str]]:
+    """Where the block begins, and the fields by their lower-cased names. Lines are looked at one by one, up to the first that is malformed."""
+    if not VERSION.match(archive.data, at):
         raise Damaged("no version line")
-    if (cut := data.find(b"\r\n\r\n", at, len(data) if header_bytes is None else at + header_bytes)) < 0:
+    end, head = archive.header_end(at), {}
+    if end == len(archive.data):
         raise Damaged("no end of the header")
-    lines = data[at:cut].decode("utf-8", "replace").split("\r\n")
-    if not re.fullmatch(r"WARC/1\.\d", lines[0]):
-        raise Damaged("version line")
-    head: dict[str, str] = {}
-    for x in lines[1:]:
-        name, colon, value = x.partition(":")
-        if not colon or not re.fullmatch(r"[A-Za-z0-9-]+", name) or name.lower() in head:
+    at += 10
+    while at < end:
+        stop = archive.data.find(b"\r\n", at, end)
+        stop = end if stop < 0 else stop
+        m = FIELD.match(archive.data, at, stop)
+        name = m and m[1].decode().lower()
+        if not name or name in head:
             raise Damaged("a header line is malformed or comes twice")
-        head[name.lower()] = value.strip()
-    if not head.get("content-length", "").isdigit():
+        head[name] = archive.data[m.end() : stop].decode("utf-8", "replace").strip()
+        at = stop + 2
+    return end + 4, head
+
+
+def parsed(archive: Archive, at: int) -> tuple[int, dict]:
+    """The end of the plain record at this byte, and what it holds."""
+    data = archive.data
+    start, head = header(archive, at)
+    if not re.fullmatch("[0-9]{1,18}", head.get("content-length", "")):
         raise Damaged("no content length")
-    start = cut + 4
     end = start + int(head["content-length"])
     if data[end : end + 4] != END.encode():
         raise Damaged("the record doesn't end where its length says")
@@ -171,43 +195,42 @@ def member(data: bytes, at: int) -> tuple[int, bytes]:
     return min(pos, len(data)) - len(z.unused_data), b"".join(out)
 
 
-def record_at(data: bytes, at: int, header_bytes: int | None = None) -> tuple[int, dict]:
-    """header_bytes limits the header of a plain record only; a gzip member's header ends with it at the latest."""
-    if data[at : at + 2] == b"\x1f\x8b":
-        end, plain = member(data, at)
-        if not plain:
-            return end, {}
-        stop, got = parsed(plain, 0)
-        if stop != len(plain):
-            raise Damaged("a gzip member holds more than its record")
-        return end, got
-    return parsed(data, at, header_bytes)
+def records_at(archive: Archive, at: int) -> tuple[int, list[tuple[int, int, str | None, dict]]]:
+    """The end of the plain record or gzip member at this byte, and its rows. All records of a member have the member's place; what is damaged between them is a gap there."""
+    if archive.data[at : at + 2] != b"\x1f\x8b":
+        end, got = parsed(archive, at)
+        return end, [(at, end - at, None, got)]
+    end, plain = member(archive.data, at)
+    rows = list(salvage(plain)) or [(0, 0, None, {})]
+    if rows[0][2] and len(rows) == 1:
+        raise Damaged(rows[0][2])
+    return end, [(at, end - at, why and f"in a gzip member: {why}", got) for _, _, why, got in rows]
 
 
 def salvage(data: bytes) -> Iterator[tuple[int, int, str | None, dict]]:
     """(offset, length, reason, record): the valid records in order, and the gaps between them, which have a reason. An empty gzip member, which may end an archive, has an empty record."""
-    at = 0
+    archive, at, gap, why = Archive(data), 0, None, ""
+    version, gzip = -1, -1
     while at < len(data):
         try:
-            end, got = record_at(data, at)
-            yield at, end - at, None, got
+            end, rows = records_at(archive, at)
         except Damaged as e:
-            end = at
-            while True:
-                near = [x for x in (data.find(b"WARC/1.", end + 1), data.find(b"\x1f\x8b\x08", end + 1)) if x >= 0]
-                end = min(near, default=len(data))
-                if end < len(data):
-                    try:
-                        record_at(data, end, HEADER_BYTES)
-                    except Damaged:
-                        continue
-                break
-            yield at, end - at, str(e), {}
+            if gap is None:
+                gap, why = at, str(e)
+            version, gzip = (x if x > at or x == len(data) else f if (f := data.find(mark, at + 1)) >= 0 else len(data) for x, mark in ((version, b"WARC/1."), (gzip, b"\x1f\x8b\x08")))
+            at = min(version, gzip)
+            continue
+        if gap is not None:
+            yield gap, at - gap, why, {}
+            gap = None
+        yield from rows
         at = end
+    if gap is not None:
+        yield gap, at - gap, why, {}
 
 
 def read(spark: SparkSession, path: str) -> DataFrame:
-    """A row for each record of the archives (status ok) and for each quarantined gap (status gap, with its reason)."""
+    """A row for each record of the archives (status ok) and for each quarantined gap (status gap, with its reason). path: a file, a folder or a pattern; every file counts, whatever its name, but hidden ones (_ or . first)."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -217,7 +240,7 @@ def read(spark: SparkSession, path: str) -> DataFrame:
                 cols = list(zip(*rows, strict=True)) or [()] * len(types)
                 yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(cols, types, strict=True)], names=["archive", "offset", "length", "status", "reason", *FIELDS])
 
-    files = spark.read.format("binaryFile").option("pathGlobFilter", "part-*").load(path)
+    files = spark.read.format("binaryFile").load(path)
     return files.select("path", "content").mapInArrow(run, ROWS)
 
 

@@ -21,10 +21,10 @@ def archive(n=20, size=500, seed=1):
     return out
 
 
-def read(data):
+def read(data, members=False):
     rows = list(warc.salvage(data))
-    assert sum(r[1] for r in rows) == len(data) and all(a[0] + a[1] == b[0] for a, b in zip(rows, rows[1:], strict=False))
-    return [r[3]["page_id"] for r in rows if r[2] is None], [r for r in rows if r[2]]
+    assert members or sum(r[1] for r in rows) == len(data) and all(a[0] + a[1] == b[0] for a, b in zip(rows, rows[1:], strict=False))
+    return [r[3]["page_id"] for r in rows if r[2] is None and r[3]], [r for r in rows if r[2]]
 
 
 def test_plain_and_gzip_records_mixed():
@@ -85,9 +85,41 @@ def test_nothing_and_noise():
     assert [(r[2], r[3]) for r in warc.salvage(warc.zipped(b""))] == [(None, {})]
 
 
-def test_header_over_the_scan_limit_is_read():
-    url = "http://example.org/" + "a" * (warc.HEADER_BYTES + 10) + " %" * 1000
+def test_very_long_headers_are_read():
+    url = "http://example.org/" + "a" * (2 << 20) + " %" * 1000
     plain = warc.record(7, url, b"<p>", 3, hashlib.sha256(b"<p>").hexdigest())
     for data in (warc.zipped(plain), plain):
         (at, n, why, got), *rest = warc.salvage(data)
         assert (at, n, why, rest) == (0, len(data), None, []) and (got["page_id"], got["url"]) == (7, url)
+        gap, found = warc.salvage(b"junk" + data)
+        assert gap[:2] == (0, 4) and found[3]["url"] == url
+
+
+def test_members_of_many_records():
+    recs = archive()
+    ids, gaps = read(gzip.compress(b"".join(recs[:12])) + b"".join(map(gzip.compress, recs[12:])), members=True)
+    assert (ids, gaps) == (list(range(20)), [])
+    ids, gaps = read(gzip.compress(b"".join(recs[:3]) + recs[3][:90] + b"".join(recs[4:])), members=True)
+    assert ids == [i for i in range(20) if i != 3] and len(gaps) == 1 and gaps[0][2].startswith("in a gzip member")
+    ids, gaps = read(gzip.compress(recs[0][:-9]) + gzip.compress(recs[1]))
+    assert ids == [1] and gaps[0][2] == "the record doesn't end where its length says"
+
+
+def test_every_file_is_read(spark, tmp_path):
+    recs = archive()
+    (tmp_path / "w").mkdir()
+    (tmp_path / "w" / "CC-MAIN-0.warc.gz").write_bytes(gzip.compress(b"".join(recs[:9])))
+    (tmp_path / "w" / "crawl.warc").write_bytes(b"".join(recs[9:]))
+    assert sorted(r["page_id"] for r in warc.read(spark, str(tmp_path / "w")).collect()) == list(range(20))
+
+
+def test_marks_by_the_thousand():
+    rec = archive(1)[0]
+    (gap, found) = warc.salvage(b"WARC/1.0\r\nA: b\r\n" * 20000 + b"\x1f\x8b\x08" * 20000 + rec)
+    assert gap[2] and found[3]["page_id"] == 0
+
+
+def test_a_page_with_a_very_long_url(spark, wide, tmp_path):
+    rows = [(1, "http://a/" + "b" * (2 << 20), "x"), (2, "http://a/", "x")]
+    wide(rows, "page_id long, url string, html string").write.parquet(str(tmp_path / "pages.parquet"))
+    assert sorted(r["page_id"] for r in warc.op10(spark, str(tmp_path)).collect()) == [1, 2]
