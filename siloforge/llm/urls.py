@@ -5,11 +5,11 @@ rule's; of the rules that fit the longest wins (of equally long ones the longer
 get their host's verdict. Hosts are linked by the absolute links of their pages' html, each pair of different
 hosts counting once for each page that links it. Trust is personalised PageRank along the links from the hosts
 of allowed pages, distrust the same against the links from the hosts of blocked pages (a link to a bad host counts against
-its source); seeds weigh as many as their allowed or blocked pages. A host is blocked if its distrust exceeds its trust by
-more than THRESHOLD of a page's seed share, else allowed.
+its source). A host's seed is the number of its allowed, or blocked, pages over the number of all pages with a rule. A host is
+blocked if more than THRESHOLD of its trust and distrust together is distrust, else allowed; so are hosts that no seed reaches.
 
-Ranks stay distributed: an iteration is one join by host and one pre-aggregated sum, cut by a table in the shared folder;
-it ends when no rank moves by more than TOLERANCE or after ITERATIONS. The heavy side of the join can be split.
+Ranks stay distributed: an iteration is one join by host and one pre-aggregated sum, and every STEPS iterations are cut by a table in the shared folder;
+they end when no rank moves by more than TOLERANCE of itself, however far from a seed its host is. The heavy side of the join can be split.
 
 Host: after the first "://" up to "/", "?", "#" or the end, A-Z lower-cased; path: from there up to "?", "#" or the
 end; both empty for null URLs and those without "://". The empty host has no links. Null html has no links.
@@ -24,7 +24,7 @@ from pyspark.sql import functions as F
 from siloforge.session import cut, discard, table
 
 RULES = (("org/", "allow"), ("example.org/es/", "block"), ("example.org/en/1", "block"), ("com/fr/", "allow"), ("com/de/", "block"))
-DAMPING, ITERATIONS, TOLERANCE, THRESHOLD = 0.85, 20, 1e-9, 0.6
+DAMPING, ITERATIONS, STEPS, TOLERANCE, THRESHOLD = 0.85, 5000, 4, 1e-6, 0.6
 UPPER, LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
 
 
@@ -55,29 +55,37 @@ def links(pages: DataFrame) -> DataFrame:
     return out.groupBy("a", "b").agg(F.count(F.lit(1)).cast("double").alias("n"))
 
 
-def propagated(edges: DataFrame, seeds: DataFrame, damping: float = DAMPING, iterations: int = ITERATIONS) -> DataFrame:
-    """Personalised PageRank of several kinds at once. edges: (kind, a, b, n); seeds: (kind, host, seed), weights of any sum. Returns (kind, host, rank). A host without links gives its rank back to the seeds."""
+def propagated(edges: DataFrame, seeds: DataFrame, damping: float = DAMPING, tolerance: float = TOLERANCE, most: int = ITERATIONS) -> DataFrame:
+    """Personalised PageRank of several kinds at once. edges: (kind, a, b, n); seeds: (kind, host, seed), weights of any sum. Returns (kind, host, rank), which sum to the seeds of their kind.
+
+    A host without links gives its rank back to the seeds. That only scales all ranks of a kind, so it is left out of the iterations and the ranks are scaled at the end. A table holds STEPS iterations. They go on until no rank differs from the table before by more than this share of itself, so every host that a seed reaches has one; if most iterations don't do, that is an error.
+    """
     total = edges.groupBy(F.col("kind").alias("k"), F.col("a").alias("h")).agg(F.sum("n").alias("total"))
-    steps = cut(edges.join(total, (F.col("kind") == F.col("k")) & (F.col("a") == F.col("h"))).select("kind", "a", "b", (F.col("n") / F.col("total")).alias("share")), "steps")
-    ranks = cut(seeds.select("kind", "host", "seed", F.col("seed").alias("rank")), "ranks")
+    steps = cut(edges.join(total, (F.col("kind") == F.col("k")) & (F.col("a") == F.col("h"))).select("kind", "a", "b", (damping * F.col("n") / F.col("total")).alias("share")), "steps")
+    ranks = start = cut(seeds.select("kind", "host", F.col("seed").alias("rank")), "ranks")
     if steps.isEmpty():
-        return ranks.select("kind", "host", "rank")
-    wholes = {x[0]: x[1] for x in ranks.groupBy("kind").agg(F.sum("seed")).collect()}  # a row a kind
-    for _ in range(iterations):
-        r = ranks.select(F.col("kind").alias("k"), F.col("host").alias("h"), "rank")
-        moved = steps.join(r, (F.col("kind") == F.col("k")) & (F.col("a") == F.col("h"))).groupBy("kind", F.col("b").alias("host")).agg(F.sum(F.col("share") * F.col("rank")).alias("in"))
-        new = ranks.select("kind", "host", "seed", F.col("rank").alias("was")).join(moved, ["kind", "host"], "full")
-        new = new.select("kind", "host", *(F.coalesce(c, F.lit(0.0)).alias(c) for c in ("seed", "was", "in")))
-        sums = {x[0]: x[1] for x in moved.groupBy("kind").agg(F.sum("in")).collect()}  # a row a kind
-        back = F.create_map(*(F.lit(y) for k, whole in wholes.items() for y in (k, 1 - damping * sums.get(k, 0.0) / whole)))
-        new = cut(new.withColumn("rank", F.col("in") * damping + F.col("seed") * F.coalesce(F.element_at(back, F.col("kind")), F.lit(0.0))), "ranks")
-        shift = new.agg(F.max(F.abs(F.col("rank") - F.col("was")))).first()[0] or 0.0
-        discard(ranks)
+        return ranks
+    given = start.select("kind", "host", ((1 - damping) * F.col("rank")).alias("rank"))
+    for _ in range(0, most, STEPS):
+        new = ranks
+        for _ in range(STEPS):
+            r = new.select(F.col("kind").alias("k"), F.col("host").alias("h"), "rank")
+            moved = steps.join(r, (F.col("kind") == F.col("k")) & (F.col("a") == F.col("h"))).select("kind", F.col("b").alias("host"), (F.col("share") * F.col("rank")).alias("rank"))
+            new = moved.unionByName(given).groupBy("kind", "host").agg(F.sum("rank").alias("rank"))
+        new = cut(new, "ranks")
+        was = ranks.select("kind", "host", F.col("rank").alias("was"))
+        moving = new.join(was, ["kind", "host"], "left").filter(F.abs(F.col("rank") - F.coalesce("was", F.lit(0.0))) > tolerance * F.col("rank"))
+        settled = moving.isEmpty()
+        if ranks is not start:
+            discard(ranks)
         ranks = new
-        if shift <= TOLERANCE:
+        if settled:
             break
+    else:
+        raise RuntimeError("propagated: ranks still move after the iterations allowed")
     discard(steps)
-    return ranks.select("kind", "host", "rank")
+    scale = start.groupBy("kind").agg(F.sum("rank").alias("whole")).join(ranks.groupBy("kind").agg(F.sum("rank").alias("sum")), "kind")
+    return ranks.join(F.broadcast(scale), "kind").select("kind", "host", (F.col("rank") * F.col("whole") / F.col("sum")).alias("rank"))  # a row a kind
 
 
 def judged(pages: DataFrame, rules: tuple[tuple[str, str], ...] = RULES, threshold: float = THRESHOLD) -> DataFrame:
@@ -102,30 +110,28 @@ def op2(spark: SparkSession, sf_dir: str) -> DataFrame:
     return judged(table(spark, sf_dir, "pages")).select("page_id", "host", "path", "rule", "verdict")
 
 
-def oracle(rules: tuple[tuple[str, str], ...] = RULES, iterations: int = ITERATIONS) -> str:
-    """The judgement of all pages as SQL; the iterations stand one after the other."""
+def oracle(rules: tuple[tuple[str, str], ...] = RULES, iterations: int = 300) -> str:
+    """The judgement of all pages as SQL, by so many iterations: enough for the ranks of hosts some 150 links from a seed. Where there are no links, none is made."""
     host = lambda u: f"translate(regexp_extract({u}, '(?s)^.*?://([^/?#]*)', 1), '{UPPER}', '{LOWER}')"
     listed = ", ".join(f"('{r}', '{r.partition('/')[0]}', '/{r.partition('/')[2]}', '{v}')" for r, v in rules)
-    steps = "".join(
-        f""",
-m{i} AS MATERIALIZED (SELECT st.kind, b host, sum(share * rank) x FROM st JOIN r{i - 1} q ON st.kind = q.kind AND st.a = q.host GROUP BY st.kind, b),
-r{i} AS MATERIALIZED (SELECT k.kind, k.host, coalesce(s.seed, 0) seed, {DAMPING} * coalesce(m.x, 0) + coalesce(s.seed, 0) * (1 - {DAMPING} * coalesce((SELECT sum(x) FROM m{i} z WHERE z.kind = k.kind), 0) / coalesce((SELECT sum(seed) FROM s z WHERE z.kind = k.kind), 1)) rank
-  FROM (SELECT kind, host FROM r{i - 1} UNION SELECT kind, host FROM m{i}) k LEFT JOIN s ON s.kind = k.kind AND s.host = k.host LEFT JOIN m{i} m ON m.kind = k.kind AND m.host = k.host)"""
-        for i in range(1, iterations + 1)
-    )
     return rf"""
-WITH p AS MATERIALIZED (SELECT row_number() OVER () r, page_id, coalesce({host("url")}, '') host, coalesce(regexp_extract(url, '(?s)^.*?://[^/?#]*([^?#]*)', 1), '') path, coalesce(html, '') html FROM pages),
+WITH RECURSIVE p AS MATERIALIZED (SELECT row_number() OVER () r, page_id, coalesce({host("url")}, '') host, coalesce(regexp_extract(url, '(?s)^.*?://[^/?#]*([^?#]*)', 1), '') path, coalesce(html, '') html FROM pages),
 u(rule, own, start, verdict) AS (VALUES {listed}),
 f AS (SELECT r, rule, verdict, row_number() OVER (PARTITION BY r ORDER BY length(rule) DESC, length(own) DESC, verdict = 'block' DESC) k FROM p JOIN u ON (host = own OR ends_with(host, '.' || own)) AND starts_with(path, start)),
 j AS MATERIALIZED (SELECT p.*, rule, verdict FROM p LEFT JOIN (SELECT * FROM f WHERE k = 1) f USING (r)),
 sd AS (SELECT CASE WHEN verdict = 'allow' THEN 'trust' ELSE 'distrust' END kind, host, count(*) n FROM j WHERE verdict IS NOT NULL AND host <> '' GROUP BY ALL),
-s AS MATERIALIZED (SELECT kind, host, n / CAST((SELECT sum(n) FROM sd) AS DOUBLE) seed FROM sd),
+s AS MATERIALIZED (SELECT kind, host, n / CAST((SELECT sum(n) FROM sd) AS DOUBLE) seed, n / CAST(sum(n) OVER (PARTITION BY kind) AS DOUBLE) own FROM sd),
 h AS (SELECT r, host, unnest(regexp_extract_all(html, '(?i)<[a-z][^>]*?\s(?:href|src)\s*=\s*["'']?\s*((?:[a-z][a-z0-9+.-]*:)?//[^\s"''>]+)', 1)) t FROM p WHERE host <> ''),
 l AS (SELECT a, b, CAST(count(*) AS DOUBLE) n FROM (SELECT DISTINCT r, host a, {host("regexp_replace(t, '^//', 'x://')")} b FROM h) WHERE a <> b AND b <> '' GROUP BY a, b),
 e AS (SELECT 'trust' kind, a, b, n FROM l UNION ALL SELECT 'distrust', b, a, n FROM l),
 st AS MATERIALIZED (SELECT kind, a, b, n / sum(n) OVER (PARTITION BY kind, a) share FROM e),
-r0 AS MATERIALIZED (SELECT kind, host, seed, seed AS rank FROM s){steps},
-z AS (SELECT host, sum(rank) FILTER (WHERE kind = 'trust') t, sum(rank) FILTER (WHERE kind = 'distrust') d FROM r{iterations} GROUP BY host)
+dead AS (SELECT DISTINCT kind, a FROM st),
+ends AS (SELECT kind, host FROM (SELECT kind, host FROM s UNION SELECT kind, b FROM st) q WHERE (kind, host) NOT IN (SELECT (kind, a) FROM dead)),
+step AS MATERIALIZED (SELECT kind, a, b, {DAMPING} * share share FROM st UNION ALL SELECT ends.kind, ends.host, s.host, {DAMPING} * s.own FROM ends JOIN s ON s.kind = ends.kind),
+it AS (SELECT 0 i, kind, host, seed AS rank FROM s UNION ALL
+  SELECT i, kind, host, sum(x) FROM (SELECT it.i + 1 i, it.kind, step.b host, it.rank * step.share x FROM it JOIN step ON step.kind = it.kind AND step.a = it.host
+    UNION ALL SELECT (SELECT min(i) FROM it) + 1, s.kind, s.host, {1 - DAMPING} * s.seed FROM s) WHERE i <= (SELECT CASE WHEN count(*) > 0 THEN {iterations} ELSE 0 END FROM st) GROUP BY i, kind, host),
+z AS (SELECT host, sum(rank) FILTER (WHERE kind = 'trust') t, sum(rank) FILTER (WHERE kind = 'distrust') d FROM it WHERE i = (SELECT max(i) FROM it) GROUP BY host)
 SELECT page_id, j.host, path, rule, coalesce(verdict, CASE WHEN coalesce(d, 0) > {THRESHOLD} * (coalesce(t, 0) + coalesce(d, 0)) THEN 'block' ELSE 'allow' END) verdict FROM j LEFT JOIN z ON j.host = z.host
 """
 

@@ -92,6 +92,26 @@ def test_against_sql(spark, wide, tmp_path):
     assert spark_table(urls.op2(spark, str(tmp_path))) == duck_table(con, urls.ORACLE)
 
 
+def test_far_hosts(spark, wide, tmp_path):
+    import duckdb
+    from harness import duck_table, spark_table
+
+    n = 60
+    rows = [(i, f"http://h{i}.net/", f'<a href="http://h{i + 1}.net/">' if i + 1 < n else '<a href="http://z.com/de/">') for i in range(n)] + [(900, "http://z.com/de/x", ""), (901, "http://else.net", "")]
+    wide(rows, "page_id long, url string, html string").write.parquet(str(tmp_path / "pages.parquet"))
+    con = duckdb.connect()
+    con.sql(f"CREATE VIEW pages AS SELECT * FROM '{tmp_path}/pages.parquet/*.parquet'")
+    got = urls.op2(spark, str(tmp_path))
+    assert got.filter("verdict = 'block'").count() == n + 1
+    assert spark_table(got) == duck_table(con, urls.ORACLE)
+
+
+def test_too_few_iterations_are_an_error(spark):
+    edges = spark.createDataFrame([("trust", f"h{i}", f"h{i + 1}", 1.0) for i in range(9)], "kind string, a string, b string, n double")
+    with pytest.raises(RuntimeError):
+        urls.propagated(edges, spark.createDataFrame([("trust", "h0", 1.0)], "kind string, host string, seed double"), most=4)
+
+
 def test_given_pages(spark, sf_dir):
     rows = urls.op2(spark, sf_dir).collect()
     pages = {r["page_id"]: r["url"] for r in spark.read.parquet(f"{sf_dir}/pages.parquet").collect()}
