@@ -29,14 +29,14 @@ import pyarrow.compute as pc
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from siloforge.llm.words import utf8
+from siloforge.llm.words import slices, utf8
 from siloforge.session import arrow_limits, table
 
 #: Control strings without their first character: what may not follow < or [ in a text.
 CONTROL = r"s>|/s>|INST\]|/INST\]|<SYS>>|</SYS>>|ASST\]|ROLE:|\|"
 ESCAPE, UNESCAPE = rf"([<\[])(\\*)({CONTROL})", rf"([<\[])\\(\\*)({CONTROL})"
 MARKS = {"user": ("<s>[INST] ", " [/INST]"), "system": ("<<SYS>>", "<</SYS>>"), "assistant": ("[ASST]", "</s>")}
-PART_BYTES = 4 << 20
+PART_BYTES, SCATTER_BYTES, LONG = 4 << 20, 1 << 20, 1 << 14
 PARTS = "conv_id long, part int, n_turns long, formatted string, loss_from array<long>, loss_to array<long>"
 READ_BACK = "conv_id long, n_turns long, turns_sha256 string, loss_chars long, loss_sha256 string, formatted_chars long"
 
@@ -54,10 +54,15 @@ def escaped(texts: pa.Array) -> pa.Array:
 
 
 def scatter(out: np.ndarray, data: np.ndarray, starts: np.ndarray, lengths: np.ndarray, to: np.ndarray) -> None:
-    """Copies segment i of data (its start and length) to out[to[i]:], all at once."""
-    run = np.repeat(np.cumsum(lengths) - lengths, lengths)
-    step = np.arange(int(lengths.sum())) - run
-    out[np.repeat(to, lengths) + step] = data[np.repeat(starts, lengths) + step]
+    """Copies segment i of data (its start and length) to out[to[i]:]: by indices, so many bytes at a time, and longer segments each by itself."""
+    for i in np.flatnonzero(lengths > LONG).tolist():
+        out[to[i] : to[i] + lengths[i]] = data[starts[i] : starts[i] + lengths[i]]
+    short = np.flatnonzero(lengths <= LONG)
+    for a, b in slices(np.concatenate([[0], np.cumsum(lengths[short])]), SCATTER_BYTES):
+        own = short[a:b]
+        n = lengths[own]
+        step = np.arange(int(n.sum())) - np.repeat(np.cumsum(n) - n, n)
+        out[np.repeat(to[own], n) + step] = data[np.repeat(starts[own], n) + step]
 
 
 def assembled(roles: pa.Array, texts: pa.Array) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
