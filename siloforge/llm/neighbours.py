@@ -1,9 +1,9 @@
 """Approximate nearest neighbours by a permutation index.
 
 PIVOTS vectors, chosen farthest-first from a bounded sample (the SAMPLE vectors of least hash), order the space: a
-vector is represented by its PREFIX nearest pivots in order. Vectors lie in blocks of about BLOCK (by the hash of
-their id); a block posts its vectors in one inverted file a pivot, which holds each vector's place on the pivot's
-list. A query's postings give the footrule distances: with weight PREFIX - place, absent pivots last, the distance is a constant
+vector is represented by its PREFIX nearest pivots in order. Vectors lie in blocks of about BLOCK or more (by the hash of
+their id); a block posts its vectors in one inverted file a pivot, which holds the vectors that have the pivot on their list, and its
+place there. A query opens the files of its own pivots; what they hold gives the footrule distances: with weight PREFIX - place, absent pivots last, the distance is a constant
 less twice the sum of the smaller weights over common pivots. The nearest of a block (its FRACTION, at least LEAST, with
 all ties) are reranked by exact inner products, and the blocks' best are merged. As footrule distances follow the angle only, a
 block is split in bands of norms within a factor of BAND; each band gives its nearest, from the greatest norms down, until
@@ -28,6 +28,7 @@ from pyspark.sql import functions as F
 from siloforge.session import table
 
 PIVOTS, PREFIX, SAMPLE, BLOCK, FRACTION, LEAST, TOP, BAND = 256, 48, 4096, 4096, 0.15, 256, 20, 1.1
+BLOCKS, BLOCK_BYTES = 64, 64 << 20
 FOUND = "query_id long, vec_id long, score double"
 
 
@@ -64,6 +65,20 @@ def weights(x: np.ndarray, pivots: np.ndarray, prefix: int = PREFIX) -> np.ndarr
     return out
 
 
+def postings(w: np.ndarray) -> list[tuple[np.ndarray, np.ndarray]]:
+    """The inverted files: of each pivot, the rows that have it on their list, ascending, and its weight there."""
+    out = []
+    for column in np.ascontiguousarray(w.T):
+        rows = np.flatnonzero(column)
+        out.append((rows.astype(np.int32), column[rows]))
+    return out
+
+
+def blocks_for(n: int, dim: int) -> int:
+    """Blocks for so many vectors: of about BLOCK up to BLOCKS of them, then larger ones (as every query goes to every block), up to BLOCK_BYTES of vectors each."""
+    return max(1, min(-(-n // BLOCK), max(BLOCKS, -(-8 * n * dim // BLOCK_BYTES))))
+
+
 def log_norms(x: np.ndarray) -> np.ndarray:
     scale = np.abs(x).max(axis=1, keepdims=True)
     return np.log(scale[:, 0]) + np.log(np.linalg.norm(x / scale, axis=1))
@@ -85,7 +100,7 @@ class Block:
         band = np.floor((size.max() - size) / np.log(BAND) + 1e-3).astype(np.int64)
         self.bands = [(size[at].max(), at) for at in (np.flatnonzero(band == b) for b in np.unique(band))]  # greatest norms first
         self.pivots = pivots
-        self.files = None if pivots is None else np.ascontiguousarray(weights(self.x, pivots).T)
+        self.files = None if pivots is None else postings(weights(self.x, pivots))
 
     def nearest(self, query: int, q: np.ndarray, w: np.ndarray | None, top: int, fraction: float, least: int) -> tuple[np.ndarray, np.ndarray]:
         """The ids and scores of the best vectors found, best first."""
@@ -100,10 +115,11 @@ class Block:
                 if common is None:
                     common = np.zeros(len(self.x), np.uint16)
                     for p in np.flatnonzero(w):
-                        common += np.minimum(self.files[p], w[p])
+                        rows, held = self.files[p]
+                        common[rows] += np.minimum(held, w[p])
                 near = common[own]
                 own = own[near >= np.partition(near, n - want)[n - want]]
-            at, score = np.concatenate([at, own]), np.concatenate([score, self.x[own] @ q])
+            at, score = np.concatenate([at, own]), np.concatenate([score, (self.x[own] * q).sum(1)])  # row by row, so equal vectors of any block score alike
         if len(at) > top + 1:
             keep = score >= np.partition(score, len(score) - top - 1)[len(score) - top - 1]
             at, score = at[keep], score[keep]
@@ -123,7 +139,8 @@ def search(vectors: DataFrame, is_query: Column, top: int = TOP, vector: str = "
     spark = vectors.sparkSession
     v = usable(vectors, vector)
     model = spark.sparkContext.broadcast(pivots_of(v))
-    blocks = max(1, -(-v.count() // BLOCK))
+    n, dim = v.agg(F.count(F.lit(1)), F.max("dim")).first()
+    blocks = blocks_for(n, dim or 1)
     block = F.pmod(F.xxhash64("vec_id"), F.lit(blocks)).cast("int")
     every = F.explode(F.sequence(F.lit(0), F.lit(blocks - 1)))
     both = v.select("dim", block.alias("block"), F.lit(0).alias("kind"), "vec_id", "vec").unionByName(v.filter(is_query).select("dim", every.alias("block"), F.lit(1).alias("kind"), "vec_id", "vec"))

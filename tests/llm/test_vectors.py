@@ -79,3 +79,29 @@ def test_recall_on_vectors_of_varied_length(spread):
         got = block.nearest(q, x[q], w[q], 20, neighbours.FRACTION, neighbours.LEAST)[0]
         hit += len(set(got.tolist()) & set(np.argsort(-score)[:20].tolist()))
     assert hit >= 0.9 * 100 * 20, hit / 2000
+
+
+def test_equal_vectors_score_alike_in_blocks_of_any_size():
+    rng = np.random.default_rng(6)
+    for n in (700, 1203, 2001):
+        x = rng.normal(size=(n, 61))
+        q = x[3] + 0.1 * rng.normal(size=61)
+        whole = neighbours.Block(np.arange(n), x, None).nearest(-1, q, None, 20, 1.0, 1)
+        one = neighbours.Block(np.arange(1), x[3:4], None).nearest(-1, q, None, 20, 1.0, 1)
+        few = neighbours.Block(np.arange(7), x[:7], None).nearest(-1, q, None, 20, 1.0, 1)
+        assert whole[0][0] == 3 and whole[1][0] == one[1][0] == few[1][0]
+
+
+def test_postings_hold_the_prefixes():
+    rng = np.random.default_rng(6)
+    w = neighbours.weights(rng.normal(size=(300, 9)), neighbours.chosen_pivots(rng.normal(size=(100, 9)), 40), 7)
+    files = neighbours.postings(w)
+    assert sum(len(rows) for rows, _ in files) == 300 * 7
+    back = np.zeros_like(w)
+    for p, (rows, held) in enumerate(files):
+        back[rows, p] = held
+    assert (back == w).all()
+
+
+def test_blocks_grow_beyond_their_number():
+    assert [neighbours.blocks_for(n, 64) for n in (0, 1, 4097, 50_000, 10**6, 10**9)] == [1, 1, 2, 13, 64, -(-(8 * 64 * 10**9) // (64 << 20))]
