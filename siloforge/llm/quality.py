@@ -22,12 +22,13 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from siloforge.llm.rows import map_rows
 from siloforge.llm.words import slices, utf8
-from siloforge.session import arrow_limits, table
+from siloforge.session import arrow_limits, cut, discard, table
 
 TERMS, SHAPES, DIMENSIONS, PER_CLASS, K = 4096, 4, 64, 1500, 15
 SHAPE_WEIGHT, SHARPNESS, ACCEPT = 0.35, 8, 0.7
-PIECE = 1 << 21
+PIECE, ROWS = 1 << 21, 512
 
 
 def kinds() -> np.ndarray:
@@ -63,6 +64,20 @@ def term_counts(data: np.ndarray, off: np.ndarray) -> tuple[np.ndarray, np.ndarr
     return counts, np.stack([np.where(total > 0, 1.5 * (1 - variety), 0), *(share[:, 1:].T)], axis=1).astype(np.float32)
 
 
+def packed(counts: np.ndarray, shape: np.ndarray) -> bytes:
+    """One text's shape terms, and its terms that occur with their counts, unaltered."""
+    at = np.flatnonzero(counts)
+    return shape.tobytes() + at.astype(np.uint16).tobytes() + counts[at].tobytes()
+
+
+def unpacked(raw: bytes) -> tuple[np.ndarray, np.ndarray]:
+    """What term_counts() gave for the text, as arrays of one row."""
+    n = (len(raw) - 4 * SHAPES) // 6
+    counts = np.zeros((1, TERMS), np.float32)
+    counts[0, np.frombuffer(raw, np.uint16, n, 4 * SHAPES)] = np.frombuffer(raw[4 * SHAPES + 2 * n :], np.float32)
+    return counts, np.frombuffer(raw, np.float32, SHAPES)[None]
+
+
 def weighted(counts: np.ndarray, shape: np.ndarray, idf: np.ndarray) -> np.ndarray:
     """Rows of log counts times idf, of unit length, with the shape terms beside them; all zero without a trigram."""
     x = np.log1p(counts) * idf
@@ -85,7 +100,7 @@ def document_frequencies(docs: DataFrame) -> tuple[int, np.ndarray]:
         n, df = 0, np.zeros(TERMS, np.int64)
         for batch in batches:
             data, off = utf8(batch.column("text"))
-            for a, b in slices(off):
+            for a, b in slices(off, rows=ROWS):
                 n += b - a
                 df += (term_counts(data[off[a] : off[b]], off[a : b + 1] - off[a])[0] > 0).sum(0)
         if n:
@@ -134,11 +149,12 @@ def fit(docs: DataFrame, labels: DataFrame, per_class: int = PER_CLASS) -> Voter
     idf = np.log((n + 1) / (df + 1)).astype(np.float32) + np.float32(1)
     known = labels.filter(F.col("quality").isin(0, 1) & F.col("doc_id").isNotNull() & ~held_out())
     known = known.groupBy("doc_id").agg((F.avg("quality") >= 0.5).cast("int").alias("quality"))
-    known = known.join(docs.select("doc_id").distinct(), "doc_id", "left_semi")
+    known = cut(known.join(docs.select("doc_id"), "doc_id", "left_semi"), "known")
     totals = {r[0]: r[1] for r in known.groupBy("quality").count().collect()}
     order = (F.xxhash64("doc_id"), F.col("doc_id"))
     sample = [tuple(r) for c in (0, 1) for r in known.filter(F.col("quality") == c).orderBy(*order).limit(per_class).collect()]  # bounded by per_class
     if not sample:
+        discard(known)
         return Voters(idf, np.zeros((0, TERMS + SHAPES)), np.zeros(0), (0.5, 0.5))
     chosen = spark.createDataFrame(sample, "doc_id long, quality int")
     texts = docs.select("doc_id", "text").join(F.broadcast(chosen), "doc_id").groupBy("doc_id", "quality").agg(F.min("text").alias("text"))
@@ -146,16 +162,17 @@ def fit(docs: DataFrame, labels: DataFrame, per_class: int = PER_CLASS) -> Voter
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             data, off = utf8(batch.column("text"))
-            for a, b in slices(off):
+            for a, b in slices(off, rows=ROWS):
                 counts, shape = term_counts(data[off[a] : off[b]], off[a : b + 1] - off[a])
-                raw = [np.minimum(c, 65535).astype(np.uint16).tobytes() + s.tobytes() for c, s in zip(counts, shape, strict=True)]
+                raw = [packed(c, s) for c, s in zip(counts, shape, strict=True)]
                 yield pa.RecordBatch.from_arrays([batch.column("doc_id").slice(a, b - a), batch.column("quality").slice(a, b - a), pa.array(raw, pa.binary())], names=["doc_id", "quality", "raw"])
 
     rows = sorted(texts.mapInArrow(run, "doc_id long, quality int, raw binary").collect())  # 2 * per_class rows of a few KB
     known_labels, x = np.array([r[1] for r in rows]), np.empty((len(rows), TERMS + SHAPES), np.float32)
     for i, (_, _, raw) in enumerate(rows):  # one by one: the counts of the whole sample are never held beside x
-        x[i] = weighted(np.frombuffer(raw[: 2 * TERMS], np.uint16).astype(np.float32)[None], np.frombuffer(raw[2 * TERMS :], np.float32)[None], idf)[0]
+        x[i] = weighted(*unpacked(raw), idf)[0]
     del rows
+    discard(known)
     whole = sum(totals.values())
     return Voters(idf, x, known_labels, tuple(totals.get(c, 0) / whole for c in (0, 1)))
 
@@ -169,7 +186,7 @@ def scored(docs: DataFrame, model: Voters, columns: list[str], keep: float | Non
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             data, off = utf8(batch.column("text"))
-            for a, b in slices(off):
+            for a, b in slices(off, rows=ROWS):
                 own = batch.slice(a, b - a)
                 s = held.value.score(*term_counts(data[off[a] : off[b]], off[a : b + 1] - off[a]))
                 if keep is not None:
@@ -178,7 +195,7 @@ def scored(docs: DataFrame, model: Voters, columns: list[str], keep: float | Non
                     yield pa.RecordBatch.from_arrays([*(own.column(c) for c in columns), pa.array(s, pa.float64())], names=[*columns, "score"])
 
     if keep is not None:
-        return docs.mapInArrow(run, docs.schema)
+        return map_rows(docs, run)
     read = docs.select(*dict.fromkeys([*columns, "text"]))
     schema = ", ".join(f"`{c}` {docs.schema[c].dataType.simpleString()}" for c in columns)
     return read.mapInArrow(run, f"{schema}, score double")

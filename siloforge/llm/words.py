@@ -44,13 +44,14 @@ def utf8(col: pa.Array) -> tuple[np.ndarray, np.ndarray]:
     return (data[off[0] : off[-1]], off - off[0]) if len(col) else (data[:0], np.zeros(1, np.int64))
 
 
-def slices(off: np.ndarray, limit: int = SLICE_BYTES) -> Iterator[tuple[int, int]]:
-    """Ranges of rows of at most limit bytes each; a longer row makes a range alone, and is never cut."""
+def slices(off: np.ndarray, limit: int = SLICE_BYTES, rows: int | None = None) -> Iterator[tuple[int, int]]:
+    """Ranges of rows of at most limit bytes each, and at most so many rows; a longer row makes a range alone, and is never cut."""
     a, n = 0, len(off) - 1
     while a < n:
         b = max(a + 1, int(np.searchsorted(off, off[a] + limit, "right")) - 1)
-        yield a, min(b, n)
-        a = min(b, n)
+        b = min(b, n, a + (rows or n))
+        yield a, b
+        a = b
 
 
 class WordHasher:
@@ -88,6 +89,43 @@ class WordHasher:
         return starts, ends, h, np.searchsorted(starts, off)
 
 
+def word_slices(hasher: WordHasher, data: np.ndarray, off: np.ndarray, overlap: int, limit: int | None = None) -> Iterator[tuple]:
+    """Texts whose bytes lie end to end, hashed at most limit bytes at a time: (a, b, base, last, own bytes, *what the hasher gives).
+
+    Rows a to b come whole, with base 0. A longer row comes alone, in pieces that end between words and share overlap words, so
+    any overlap + 1 words in a row lie together in one piece; base counts the words before the piece, and last marks its last.
+    """
+    limit = limit or SLICE_BYTES
+    for a, b in slices(off, limit):
+        start, end = int(off[a]), int(off[b])
+        if end - start <= limit:
+            own = data[start:end]
+            yield a, b, 0, True, own, *hasher(own, off[a : b + 1] - start)
+            continue
+        base, room = 0, limit
+        while True:
+            stop = min(start + room, end)
+            while stop < end and hasher.member[data[stop - 1]]:  # to the end of the word
+                gap = np.flatnonzero(~hasher.member[data[stop : min(stop + limit, end)]])
+                stop = stop + int(gap[0]) if len(gap) else min(stop + limit, end)
+                if len(gap):
+                    break
+            own = data[start:stop]
+            starts, ends, h, first = hasher(own, np.array([0, len(own)]))
+            last = stop == end
+            yield a, b, base, last, own, starts, ends, h, first
+            if last:
+                break
+            n = len(starts)
+            if n > overlap:
+                base, room = base + n - overlap, limit
+                start += int(starts[n - overlap]) if overlap else len(own)
+            elif n:
+                start, room = start + int(starts[0]), 2 * (stop - start - int(starts[0]))
+            else:
+                start = stop
+
+
 def grams(h: np.ndarray, k: int) -> np.ndarray:
     """The hash of each run of k neighbouring words (of any text; the caller drops runs across texts)."""
     n = len(h) - k + 1

@@ -2,13 +2,13 @@ from __future__ import annotations
 
 import pytest
 
-EXTRA = "size int, score string, node double, row string, key int, hash int, batch int, threshold int, place int, k int, n int, lines int, block int, first int, host int, trust int"
+EXTRA = "size int, score string, node double, row string, key int, hash int, batch int, threshold int, place int, k int, n int, lines int, block int, first int, host int, trust int, `x.y` int, `a``b` int"
 
 
 def widened(spark, rows, schema):
     """Rows with extra columns whose names operators use themselves."""
     names = [c.strip().split(" ")[0] for c in schema.split(",")]
-    extra = [c for c in EXTRA.split(", ") if c.split(" ")[0] not in names]
+    extra = [c for c in EXTRA.split(", ") if c.split(" ")[0].strip("`") not in names]
     fill = {"int": 7, "string": "x", "double": 0.5}
     return spark.createDataFrame([(*r, *(fill[c.split(" ")[1]] for c in extra)) for r in rows], schema + ", " + ", ".join(extra))
 

@@ -47,6 +47,15 @@ def test_scores_do_not_depend_on_neighbours_in_the_batch(spark, documents):
         assert (whole[0][i] == one[0][0]).all() and np.allclose(whole[1][i], one[1][0])
 
 
+def test_packed_counts_are_the_counts():
+    texts = __import__("pyarrow").array(["aaa" * 70000 + " The thing", "", "ab", "abc ABC"])
+    counts, shape = quality.term_counts(*quality.utf8(texts))
+    assert counts.max() > 1 << 16
+    for c, s in zip(counts, shape, strict=True):
+        got = quality.unpacked(quality.packed(c, s))
+        assert (got[0][0] == c).all() and (got[1][0] == s).all()
+
+
 def test_pieces(monkeypatch):
     texts = __import__("pyarrow").array(["abcdefg hij KLM 1!" * 9, "", "xy", "hello world " * 5])
     whole = quality.term_counts(*quality.utf8(texts))
