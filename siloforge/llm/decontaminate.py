@@ -5,8 +5,9 @@ texts that share SPAN = K + WINDOW - 1 words in a row so share a kept fingerprin
 are joined, and each hit is extended to the SPAN-word windows around it, which are then compared word by word.
 
 A test item of fewer than SPAN words (but not none) is one window; all its length's grams are kept, so it can't
-be missed either. While the test set's text is at most BROADCAST_BYTES it is indexed once and broadcast; beyond
-that the fingerprints are joined by a shuffle. Both ways give the same rows.
+be missed either. While the test set's index takes at most BROADCAST_BYTES, by a count of its words beforehand, it is
+made once and broadcast; beyond that the fingerprints and windows are joined by shuffles, where windows are compared by their MD5. Both
+ways give the same rows. Long texts are hashed piece by piece.
 
 Null and empty texts have no words and are never contaminated; items of null or empty text never occur. Repeated
 rows each get their own equal row. Other columns of the inputs are ignored, whatever their names.
@@ -15,18 +16,20 @@ rows each get their own equal row. Other columns of the inputs are ignored, what
 from __future__ import annotations
 
 import hashlib
+import itertools
 from collections.abc import Callable, Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from siloforge.llm.words import WordHasher, grams, mix, slices, utf8
+from siloforge.llm.rows import map_rows
+from siloforge.llm.words import WordHasher, grams, mix, utf8, word_slices
 from siloforge.session import arrow_limits, cut, table
 
 SPAN, K = 13, 7
-BROADCAST_BYTES = 16 << 20
+BROADCAST_BYTES = 64 << 20
 TOP = np.uint64(0xFFFFFFFFFFFFFFFF)
 HITS = "doc_id long, n_words long, hit_from array<long>, hit_to array<long>, items array<string>"
 
@@ -56,72 +59,112 @@ def winnow(h: np.ndarray, first: np.ndarray, k: int, window: int) -> tuple[np.nd
 
 
 def words_of(data: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> bytes:
-    raw = data.tobytes() if len(starts) == 0 else data[starts[0] : ends[-1]].tobytes()
-    base = int(starts[0]) if len(starts) else 0
+    if not len(starts):
+        return b""
+    base, raw = int(starts[0]), data[starts[0] : ends[-1]].tobytes()
     return b" ".join(raw[s - base : e - base] for s, e in zip(starts.tolist(), ends.tolist(), strict=True)).lower()
 
 
+def shape(length: int, span: int = SPAN, k: int = K) -> tuple[int, int]:
+    """Words in a gram and grams in a winnowing window, for windows of so many words."""
+    return (k, length - k + 1) if length == span else (length, 1)
+
+
+def windows_around(at: np.ndarray, length: int, k: int, first: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Each hit gram extended: the first words of all windows of this length that hold one of these grams, and their texts."""
+    at = np.unique((at[:, None] - np.arange(length - k + 1)[None, :]).ravel())
+    at = at[at >= 0]
+    text = np.searchsorted(first, at, "right") - 1
+    ok = at + length <= first[np.minimum(text + 1, len(first) - 1)]
+    ok &= text < len(first) - 1
+    return at[ok], text[ok]
+
+
+def window_hashes(h: np.ndarray, at: np.ndarray, length: int) -> np.ndarray:
+    out = np.zeros(len(at), np.uint64)
+    with np.errstate(over="ignore"):
+        for j in range(length):
+            out = out * np.uint64(0xD6E8FEB86659FD93) + h[at + j]
+        return mix(out)
+
+
 class ItemIndex:
-    """Fingerprints and windows of the test items: by window length, the sorted fingerprints and windows with the items that hold them."""
+    """Fingerprints and windows of the test items, in flat sorted arrays. Of each window length: the sorted fingerprints; the windows' sorted hashes, where each is spelt in the items' bytes, and the items that hold it."""
 
     def __init__(self, ids: list, texts: list[str | None], span: int = SPAN, k: int = K) -> None:
         self.span, self.k = span, k
-        prints: dict[int, set[int]] = {}
-        self.windows: dict[int, dict[int, dict[bytes, set[str]]]] = {}
-        hasher = WordHasher()
-        for i, text in zip(ids, texts, strict=True):
-            data, off = utf8(pa.array([text], pa.string()))
-            starts, ends, h, first = hasher(data, off)
-            n = len(h)
-            if not n:
-                continue
-            length = min(n, span)
-            kk, window = self.shape(length)
-            prints.setdefault(length, set()).update(winnow(h, first, kk, window)[1].tolist())
-            held = self.windows.setdefault(length, {})
-            for at, g in enumerate(grams(h, length).tolist()):
-                spelt = words_of(data, starts[at : at + length], ends[at : at + length])
-                held.setdefault(g, {}).setdefault(spelt, set()).add("" if i is None else str(i))
-        self.prints = {n: np.array(sorted(x), np.uint64) for n, x in prints.items()}
-        self.sorted = {n: np.array(sorted(x), np.uint64) for n, x in self.windows.items()}
-
-    def shape(self, length: int) -> tuple[int, int]:
-        """Words in a gram and grams in a winnowing window, for windows of so many words."""
-        return (self.k, length - self.k + 1) if length == self.span else (length, 1)
-
-    def hits(self, data: np.ndarray, starts: np.ndarray, ends: np.ndarray, h: np.ndarray, first: np.ndarray) -> list[tuple[int, int, int, set[str]]]:
-        """(text, first word, end word, items) of each window of these texts that some item has."""
-        out = []
-        for length, prints in self.prints.items():
-            k, window = self.shape(length)
-            at, g = winnow(h, first, k, window)
-            if not len(at):
-                continue
-            at = at[found(prints, g)]
+        self.ids = ["" if i is None else str(i) for i in ids]
+        self.data, off = utf8(pa.array(texts, pa.large_string()))
+        self.data = self.data.copy()
+        parts, at = [], 0
+        for a, _, _, _, own, starts, ends, h, first in word_slices(WordHasher(), self.data, off, 0):
+            parts.append((starts + at, ends + at, h, np.repeat(np.arange(a, a + len(first) - 1), np.diff(first))))
+            at += len(own)
+        self.starts, self.ends, hashes, owner = (np.concatenate([p[i] for p in parts]) if parts else np.zeros(0, np.int64) for i in range(4))
+        del parts
+        self.windows: dict[int, tuple] = {}
+        counts = np.bincount(owner.astype(np.int64), minlength=len(self.ids))
+        first = np.concatenate([[0], np.cumsum(counts)])
+        for length in np.unique(np.minimum(counts[counts > 0], span)).tolist():
+            own = np.flatnonzero(np.minimum(counts, span) == length)
+            kk, window = shape(length, span, k)
+            rows = np.repeat(first[own], counts[own]) + np.arange(counts[own].sum()) - np.repeat(np.cumsum(counts[own]) - counts[own], counts[own])
+            prints = np.unique(winnow(hashes[rows].astype(np.uint64), np.concatenate([[0], np.cumsum(counts[own])]), kk, window)[1])
+            each = counts[own] - length + 1
+            at = np.repeat(first[own], each) + np.arange(each.sum()) - np.repeat(np.cumsum(each) - each, each)
+            g = window_hashes(hashes.astype(np.uint64), at, length)
+            order = np.argsort(g, kind="stable")
+            self.windows[length] = prints, *self.distinct(g[order], at[order], owner[at[order]], length)
+        big = len(self.data) > 1 << 31
+        self.starts, self.ends = (x.astype(np.int64 if big else np.int32) for x in (self.starts, self.ends))
+
+    def distinct(self, g: np.ndarray, at: np.ndarray, owner: np.ndarray, length: int) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+        """Of windows in the order of their hashes, those of different words: hash, a place, where its items begin in the last array, the items."""
+        same = np.zeros(len(g), np.int64)
+        runs = np.flatnonzero(np.concatenate([[True], g[1:] != g[:-1]]))
+        ends = np.append(runs[1:], len(g))
+        for s, e in zip(runs[ends - runs > 1].tolist(), ends[ends - runs > 1].tolist(), strict=True):  # equal words share one entry, colliding hashes get one each
+            seen: dict[bytes, int] = {}
+            for i in range(s, e):
+                same[i] = seen.setdefault(self.spelt(int(at[i]), length), len(seen))
+        order = np.lexsort((owner, same, g))
+        g, at, owner, same = g[order], at[order], owner[order], same[order]
+        new = np.concatenate([[True], (g[1:] != g[:-1]) | (same[1:] != same[:-1])])[: len(g)]
+        fresh = new | np.concatenate([[True], owner[1:] != owner[:-1]])[: len(g)]
+        items, begin = owner[fresh], np.cumsum(fresh)[new] - 1
+        return g[new], at[new].astype(np.int32), np.append(begin, len(items)).astype(np.int32), items.astype(np.int32)
+
+    def spelt(self, at: int, length: int) -> bytes:
+        return words_of(self.data, self.starts[at : at + length], self.ends[at : at + length])
+
+    @property
+    def nbytes(self) -> int:
+        return sum(x.nbytes for x in (self.data, self.starts, self.ends, *(y for w in self.windows.values() for y in w))) + sum(len(x) + 60 for x in self.ids)
+
+    def hits(self, data: np.ndarray, starts: np.ndarray, ends: np.ndarray, h: np.ndarray, first: np.ndarray) -> Iterator[tuple[int, np.ndarray, int, np.ndarray]]:
+        """(text, first words, length, items): the windows of these texts that some item has, by text and length."""
+        for length, (prints, g, place, begin, items) in self.windows.items():
+            k, window = shape(length, self.span, self.k)
+            at, own = winnow(h, first, k, window)
+            at = at[found(prints, own)]
             if not len(at):
                 continue
-            # each hit is extended: every window of this length that holds the gram
-            at = np.unique((at[:, None] - np.arange(length - k + 1)[None, :]).ravel())
-            text = np.searchsorted(first, at, "right") - 1
-            ok = (at >= 0) & (at + length <= len(h))
-            at, text = at[ok], text[ok]
-            ok = (at >= first[text]) & (at + length <= first[text + 1])
-            at, text = at[ok], text[ok]
-            g = np.zeros(len(at), np.uint64)
-            with np.errstate(over="ignore"):
-                from_h = np.lib.stride_tricks.sliding_window_view(h, length)
-                for a in range(0, len(at), 65536):
-                    rows = from_h[at[a : a + 65536]]
-                    acc = np.zeros(len(rows), np.uint64)
-                    for j in range(length):
-                        acc = acc * np.uint64(0xD6E8FEB86659FD93) + rows[:, j]
-                    g[a : a + 65536] = mix(acc)
-            ok = found(self.sorted[length], g)
-            held = self.windows[length]
-            for p, t, x in zip(at[ok].tolist(), text[ok].tolist(), g[ok].tolist(), strict=True):
-                if items := held[x].get(words_of(data, starts[p : p + length], ends[p : p + length])):
-                    out.append((t, p - int(first[t]), p - int(first[t]) + length, items))
-        return out
+            at, text = windows_around(at, length, k, first)
+            own = window_hashes(h, at, length)
+            ok = found(g, own)
+            at, text, lo = at[ok], text[ok], np.searchsorted(g, own[ok])
+            which = np.full(len(at), -1)
+            for i, (p, n) in enumerate(zip(at.tolist(), lo.tolist(), strict=True)):  # word by word
+                spelt = words_of(data, starts[p : p + length], ends[p : p + length])
+                while n < len(g) and g[n] == g[lo[i]]:
+                    if self.spelt(int(place[n]), length) == spelt:
+                        which[i] = n
+                        break
+                    n += 1
+            at, text, which = at[which >= 0], text[which >= 0], which[which >= 0]
+            for t in np.unique(text).tolist():
+                mine = text == t
+                yield t, at[mine] - first[t], length, np.unique(np.concatenate([items[begin[n] : begin[n + 1]] for n in np.unique(which[mine]).tolist()]))
 
 
 def found(values: np.ndarray, x: np.ndarray) -> np.ndarray:
@@ -131,43 +174,58 @@ def found(values: np.ndarray, x: np.ndarray) -> np.ndarray:
     return values[np.minimum(np.searchsorted(values, x), len(values) - 1)] == x
 
 
-def merged(spans: list[tuple[int, int]]) -> tuple[list[int], list[int]]:
-    """Spans joined where they touch or overlap."""
-    lo, hi = [], []
-    for a, b in sorted(spans):
-        if hi and a <= hi[-1]:
-            hi[-1] = max(hi[-1], b)
-        else:
-            lo.append(a)
-            hi.append(b)
-    return lo, hi
+class Found:
+    """What was found in a text: spans of words, joined where they touch or overlap, and numbers of items."""
+
+    def __init__(self) -> None:
+        self.spans, self.items = np.zeros((0, 2), np.int64), np.zeros(0, np.int64)
+
+    def add(self, at: np.ndarray, length: int, items: np.ndarray) -> None:
+        self.spans = merged(np.concatenate([self.spans, np.stack([at, at + length], axis=1)]))
+        self.items = np.union1d(self.items, items)
+
+    def words(self) -> int:
+        return int((self.spans[:, 1] - self.spans[:, 0]).sum())
+
+
+def merged(spans: np.ndarray) -> np.ndarray:
+    """Spans (first, end) joined where they touch or overlap."""
+    if not len(spans):
+        return spans
+    spans = spans[np.argsort(spans[:, 0], kind="stable")]
+    reach = np.maximum.accumulate(spans[:, 1])
+    new = np.concatenate([[True], spans[1:, 0] > reach[:-1]])
+    return np.stack([spans[new, 0], reach[np.append(np.flatnonzero(new)[1:], len(spans)) - 1]], axis=1)
 
 
 def scan(batches: Iterator[pa.RecordBatch], index: ItemIndex, per_text: Callable) -> Iterator[pa.RecordBatch]:
     hasher = WordHasher()
     for batch in batches:
         data, off = utf8(batch.column("text"))
-        for a, b in slices(off):
-            own, o = data[off[a] : off[b]], off[a : b + 1] - off[a]
-            starts, ends, h, first = hasher(own, o)
-            hits: dict[int, list] = {}
-            for t, lo, hi, items in index.hits(own, starts, ends, h, first):
-                hits.setdefault(t, []).append((lo, hi, items))
-            yield per_text(batch.slice(a, b - a), np.diff(first), hits)
-
-
-def hit_rows(batch: pa.RecordBatch, counts: np.ndarray, hits: dict[int, list]) -> pa.RecordBatch:
-    spans = [merged([x[:2] for x in hits[i]]) if i in hits else ([], []) for i in range(batch.num_rows)]
-    items = [sorted(set().union(*(x[2] for x in hits[i]))) if i in hits else [] for i in range(batch.num_rows)]
+        hits: dict[int, Found] = {}
+        for a, b, base, last, own, starts, ends, h, first in word_slices(hasher, data, off, index.span - 1):
+            for t, at, length, items in index.hits(own, starts, ends, h, first):
+                hits.setdefault(t, Found()).add(at + base, length, items)
+            if last:
+                yield per_text(batch.slice(a, b - a), np.diff(first) + base, hits)
+                hits = {}
+
+
+def hit_rows(batch: pa.RecordBatch, counts: np.ndarray, hits: dict[int, Found], ids: list[str]) -> pa.RecordBatch:
+    none = Found()
+    rows = [hits.get(i, none) for i in range(batch.num_rows)]
+    spans = [pa.array([x.spans[:, k].tolist() for x in rows], pa.list_(pa.int64())) for k in (0, 1)]
+    items = [sorted({ids[n] for n in x.items.tolist()}) for x in rows]
     return pa.RecordBatch.from_arrays(
-        [batch.column("doc_id").cast(pa.int64()), pa.array(counts, pa.int64()), pa.array([x[0] for x in spans], pa.list_(pa.int64())), pa.array([x[1] for x in spans], pa.list_(pa.int64())), pa.array(items, pa.list_(pa.string()))],
-        names=["doc_id", "n_words", "hit_from", "hit_to", "items"],
+        [batch.column("doc_id").cast(pa.int64()), pa.array(counts, pa.int64()), *spans, pa.array(items, pa.list_(pa.string()))], names=["doc_id", "n_words", "hit_from", "hit_to", "items"]
     )
 
 
-def bounded(items: DataFrame, most: int = BROADCAST_BYTES) -> bool:
-    """Whether the test set is small enough to be indexed in one place and broadcast."""
-    return (items.agg(F.sum(F.octet_length("text") + 64)).first()[0] or 0) <= most
+def index_bytes(items: DataFrame) -> int:
+    """At least as many bytes as ItemIndex.nbytes of these items: their text, 40 bytes a word, and their ids."""
+    words = F.regexp_count("text", F.lit(r"[^\x00-\x2F\x3A-\x60\x7B-\x7F]+"))
+    own = F.coalesce(F.octet_length("text") + 40 * words, F.lit(0)) + F.coalesce(F.octet_length(F.col("item_id").cast("string")), F.lit(0)) + 128
+    return items.agg(F.sum(own.cast("long"))).first()[0] or 0
 
 
 def index_of(items: DataFrame) -> ItemIndex:
@@ -181,24 +239,28 @@ def contamination(docs: DataFrame, items: DataFrame, broadcast_bytes: int = BROA
     arrow_limits(spark)
     items = items.select("item_id", "text")
     docs = docs.select("doc_id", "text")
-    if not bounded(items, broadcast_bytes):
+    if index_bytes(items) > broadcast_bytes:
         return joined(docs, items).drop("k")
     held = spark.sparkContext.broadcast(index_of(items))
-    return docs.mapInArrow(lambda batches: scan(batches, held.value, hit_rows), HITS)
+    return docs.mapInArrow(lambda batches: scan(batches, held.value, lambda *x: hit_rows(*x, held.value.ids)), HITS)
+
+
+def key_of() -> Column:
+    """A document's key by its id and text: 128 bits. Rows with equal keys have equal results."""
+    return F.unhex(F.md5(F.concat_ws(":", F.coalesce(F.col("doc_id").cast("string"), F.lit("null")), F.coalesce("text", F.lit("")))))
 
 
 def fingerprints(df: DataFrame, lengths: list[int], is_item: bool) -> DataFrame:
-    """(key, length, print): what winnowing keeps of each text for the windows of each length. An item has the one length of its windows."""
+    """(k, length, print): what winnowing keeps of each text for the windows of each length. An item has the one length of its windows."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         hasher = WordHasher()
         for batch in batches:
             data, off = utf8(batch.column("text"))
-            for a, b in slices(off):
-                _, _, h, first = hasher(data[off[a] : off[b]], off[a : b + 1] - off[a])
-                counts = np.diff(first)
+            for a, b, base, last, _, _, _, h, first in word_slices(hasher, data, off, SPAN - 1):
+                counts = np.diff(first) + (base or SPAN * (not last))  # a text in pieces has more than SPAN words
                 for length in lengths:
-                    k, window = (K, SPAN - K + 1) if length == SPAN else (length, 1)
+                    k, window = shape(length)
                     at, g = winnow(h, first, k, window)
                     text = np.searchsorted(first, at, "right") - 1
                     ok = (np.minimum(counts[text], SPAN) == length) if is_item else counts[text] >= length
@@ -208,61 +270,85 @@ def fingerprints(df: DataFrame, lengths: list[int], is_item: bool) -> DataFrame:
                         keys = batch.column("k").slice(a, b - a).take(pa.array(pairs[0].astype(np.int64)))
                         yield pa.RecordBatch.from_arrays([keys, pa.array(np.full(len(keys), length), pa.int32()), pa.array(pairs[1].view(np.int64))], names=["k", "length", "print"])
 
-    return df.select("k", "text").mapInArrow(run, "k long, length int, print long")
+    return df.select("k", "text").mapInArrow(run, "k binary, length int, print long")
 
 
-def key_of() -> F.Column:
-    """A hash of a document's id and text."""
-    return F.xxhash64(F.coalesce(F.col("doc_id").cast("string"), F.lit("null")), "text")
+def windows(df: DataFrame, is_item: bool) -> DataFrame:
+    """(k, at, length, window): windows and the MD5 of their words. Of an item all; of a document, which has its hits as (length, prints), those around a hit fingerprint."""
 
+    def rows(batch: pa.RecordBatch, hasher: WordHasher) -> Iterator[tuple]:
+        data, off = utf8(batch.column("text"))
+        hits = None if is_item else batch.column("hits").to_pylist()
+        prints: dict = {}
+        for a, _, base, last, own, starts, ends, h, first in word_slices(hasher, data, off, SPAN - 1):
+            counts = np.diff(first) + (base or SPAN * (not last))
+            for t in range(len(counts)):
+                s, e = int(first[t]), int(first[t + 1])
+                if is_item:
+                    wanted = [(min(int(counts[t]), SPAN), None)] if counts[t] else []
+                else:
+                    if prints.get("row") != a + t:
+                        prints = {"row": a + t, "hits": [(x["length"], np.array(sorted(x["prints"]), np.int64).view(np.uint64)) for x in hits[a + t]]}
+                        prints["hits"] = [(n, np.sort(p)) for n, p in prints["hits"]]
+                    wanted = prints["hits"]
+                for length, known in wanted:
+                    if known is None:
+                        at = np.arange(max(e - s - length + 1, 0))
+                    else:
+                        k, window = shape(length)
+                        at, g = winnow(h[s:e], np.array([0, e - s]), k, window)
+                        at = windows_around(at[found(known, g)], length, k, np.array([0, e - s]))[0]
+                    for p in at.tolist():
+                        yield a + t, base + p, length, hashlib.md5(words_of(own, starts[s + p : s + p + length], ends[s + p : s + p + length])).digest()
 
-def joined(docs: DataFrame, items: DataFrame) -> DataFrame:
-    """contamination() for test sets of any size, and each document's key k: a shuffle join of the fingerprints finds pairs of a document and an item, each of which is then compared."""
-    docs = docs.withColumn("k", key_of())
-    items = items.withColumn("k", F.xxhash64(F.coalesce(F.col("item_id").cast("string"), F.lit("null")), "text"))
-    lengths = list(range(1, SPAN + 1))
-    tests = fingerprints(items, lengths, True).withColumnRenamed("k", "item_k")
-    present = sorted(r[0] for r in tests.select("length").distinct().collect())  # at most SPAN values
-    links = cut(fingerprints(docs, present or [SPAN], False).join(tests, ["length", "print"]).select("k", "item_k").distinct(), "links")
-    pairs = links.join(docs.dropDuplicates(["k"]), "k").join(items.dropDuplicates(["k"]).select(F.col("k").alias("item_k"), "item_id", F.col("text").alias("item_text")), "item_k")
-
-    def compare(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         hasher = WordHasher()
         for batch in batches:
-            for i in range(batch.num_rows):
-                data, off = utf8(batch.column("text").slice(i, 1))
-                starts, ends, h, first = hasher(data, off)
-                index = ItemIndex(batch.column("item_id").slice(i, 1).to_pylist(), batch.column("item_text").slice(i, 1).to_pylist())
-                if hits := index.hits(data, starts, ends, h, first):
-                    lo, hi = merged([x[1:3] for x in hits])
-                    own = sorted(set().union(*(x[3] for x in hits)))
-                    yield pa.RecordBatch.from_arrays([batch.column("k").slice(i, 1), pa.array([list(zip(lo, hi, strict=True))], pa.list_(pa.struct([("a", pa.int64()), ("b", pa.int64())]))), pa.array([own], pa.list_(pa.string()))], names=["k", "spans", "own"])
-
-    per = pairs.select("k", "text", "item_id", "item_text").mapInArrow(compare, "k long, spans array<struct<a:long,b:long>>, own array<string>")
-    per = per.groupBy("k").agg(F.array_distinct(F.flatten(F.collect_list("spans"))).alias("spans"), F.array_sort(F.array_distinct(F.flatten(F.collect_list("own")))).alias("items"))
+            for part in itertools.batched(rows(batch, hasher), 65536):
+                row, at, length, digest = zip(*part, strict=True)
+                yield pa.RecordBatch.from_arrays([batch.column("k").take(pa.array(row, pa.int64())), pa.array(at, pa.int64()), pa.array(length, pa.int32()), pa.array(digest, pa.binary())], names=["k", "at", "length", "window"])
+
+    return df.mapInArrow(run, "k binary, at long, length int, window binary")
+
+
+def joined(docs: DataFrame, items: DataFrame) -> DataFrame:
+    """contamination() for test sets of any size, and each document's key k. Documents' fingerprints are semi-joined with the items' different ones (a row each, so a common one's side can be split); each document with hits gets its text once, gives the windows around them, and these are semi-joined with the items' different windows."""
+    docs = docs.withColumn("k", key_of())
+    tests = items.withColumn("k", F.encode(F.coalesce(F.col("item_id").cast("string"), F.lit("")), "UTF-8"))
+    prints = cut(fingerprints(tests, list(range(1, SPAN + 1)), True).select("length", "print").distinct(), "prints")
+    present = sorted(r[0] for r in prints.select("length").distinct().collect())  # at most SPAN values
+    held = cut(windows(tests.select("k", "text"), True).select("length", "window", F.decode("k", "UTF-8").alias("item")).distinct(), "windows")
+    near = fingerprints(docs, present or [SPAN], False).join(prints, ["length", "print"], "left_semi").distinct()
+    near = near.groupBy("k", "length").agg(F.collect_list("print").alias("prints")).groupBy("k").agg(F.collect_list(F.struct("length", "prints")).alias("hits"))
+    texts = docs.select("k", "text").join(cut(near, "near"), "k").dropDuplicates(["k"])
+    hits = cut(windows(texts, False).join(held.select("length", "window").distinct(), ["length", "window"], "left_semi").distinct(), "hits")
+    spans = hits.groupBy("k").agg(F.collect_set(F.struct("at", (F.col("at") + F.col("length")).alias("to"))).alias("spans"))
+    own = hits.select("k", "length", "window").distinct().join(held, ["length", "window"]).groupBy("k").agg(F.array_sort(F.collect_set("item")).alias("items"))
 
     def counts(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         hasher = WordHasher()
         for batch in batches:
             data, off = utf8(batch.column("text"))
-            for a, b in slices(off):
-                first = hasher(data[off[a] : off[b]], off[a : b + 1] - off[a])[3]
-                yield pa.RecordBatch.from_arrays([batch.column("doc_id").slice(a, b - a).cast(pa.int64()), batch.column("k").slice(a, b - a), pa.array(np.diff(first), pa.int64())], names=["doc_id", "k", "n_words"])
+            for a, b, base, last, _, _, _, _, first in word_slices(hasher, data, off, 0):
+                if last:
+                    yield pa.RecordBatch.from_arrays([batch.column("doc_id").slice(a, b - a).cast(pa.int64()), batch.column("k").slice(a, b - a), pa.array(np.diff(first) + base, pa.int64())], names=["doc_id", "k", "n_words"])
 
     def union(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            spans = [merged([(x["a"], x["b"]) for x in (s or [])]) for s in batch.column("spans").to_pylist()]
+            spans = [merged(np.array([(x["at"], x["to"]) for x in s or []], np.int64).reshape(-1, 2)) for s in batch.column("spans").to_pylist()]
+            sides = [pa.array([x[:, i].tolist() for x in spans], pa.list_(pa.int64())) for i in (0, 1)]
             items_ = pa.array([x or [] for x in batch.column("items").to_pylist()], pa.list_(pa.string()))
-            yield pa.RecordBatch.from_arrays([batch.column("k"), batch.column("doc_id"), batch.column("n_words"), pa.array([x[0] for x in spans], pa.list_(pa.int64())), pa.array([x[1] for x in spans], pa.list_(pa.int64())), items_], names=["k", "doc_id", "n_words", "hit_from", "hit_to", "items"])
+            yield pa.RecordBatch.from_arrays([batch.column("k"), batch.column("doc_id"), batch.column("n_words"), *sides, items_], names=["k", "doc_id", "n_words", "hit_from", "hit_to", "items"])
 
-    return docs.mapInArrow(counts, "doc_id long, k long, n_words long").join(per, "k", "left").mapInArrow(union, f"k long, {HITS}")
+    per = spans.join(own, "k")
+    return docs.mapInArrow(counts, "doc_id long, k binary, n_words long").join(per, "k", "left").mapInArrow(union, f"k binary, {HITS}")
 
 
-def n_hit() -> F.Column:
+def n_hit() -> Column:
     return F.aggregate(F.zip_with("hit_to", "hit_from", lambda b, a: b - a), F.lit(0).cast("long"), lambda s, x: s + x)
 
 
-def contaminated() -> F.Column:
+def contaminated() -> Column:
     return (n_hit() > 0) & (20 * n_hit() >= F.col("n_words"))
 
 
@@ -278,19 +364,18 @@ def clean(docs: DataFrame, items: DataFrame, broadcast_bytes: int = BROADCAST_BY
     spark = docs.sparkSession
     arrow_limits(spark)
     items = items.select("item_id", "text")
-    if not bounded(items, broadcast_bytes):
+    if index_bytes(items) > broadcast_bytes:
         bad = joined(docs.select("doc_id", "text"), items).filter(contaminated()).select(F.col("k").alias("__sf_bad")).distinct()
         return docs.withColumn("__sf_key", key_of()).join(bad, F.col("__sf_key") == F.col("__sf_bad"), "left_anti").drop("__sf_key")
     held = spark.sparkContext.broadcast(index_of(items))
 
-    def keep(batch: pa.RecordBatch, counts: np.ndarray, hits: dict[int, list]) -> pa.RecordBatch:
+    def keep(batch: pa.RecordBatch, counts: np.ndarray, hits: dict[int, Found]) -> pa.RecordBatch:
         ok = np.ones(batch.num_rows, bool)
-        for i, spans in hits.items():
-            lo, hi = merged([x[:2] for x in spans])
-            ok[i] = 20 * (sum(hi) - sum(lo)) < counts[i]
+        for i, x in hits.items():
+            ok[i] = 20 * x.words() < counts[i]
         return batch.filter(pa.array(ok))
 
-    return docs.mapInArrow(lambda batches: scan(batches, held.value, keep), docs.schema)
+    return map_rows(docs, lambda batches: scan(batches, held.value, keep))
 
 
 def op6(spark, sf_dir: str) -> DataFrame:
