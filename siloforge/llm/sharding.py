@@ -8,19 +8,18 @@ permuted number mod the shard count is the shard, and the quotient the slot: bot
 row count and the seed, the law is `rows`, and shard sizes are at most one apart.
 
 Rows equal in all three keys are interchangeable. Null texts have size 8 and CRC-32 0; null ids come first.
-Equal texts get no common shard. Other columns are ignored by assign() and kept by shard(). Empty tables give
-empty results.
+Equal texts get no common shard. Other columns are ignored by assign() and kept by shard(), but those that
+have the name of one it adds. Empty tables give empty results.
 """
 
 from __future__ import annotations
 
-from collections.abc import Iterator
-
 import numpy as np
-import pyarrow as pa
-from pyspark.sql import DataFrame, SparkSession
+import pandas as pd
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from siloforge.llm.rows import named
 from siloforge.session import cut, table
 
 SHARDS, SEED, ROUNDS = 24, 20240229, 6
@@ -80,12 +79,12 @@ def permuted(x: np.ndarray, n: int, seed: int = SEED) -> np.ndarray:
     return out
 
 
-def numbered(keys: DataFrame, order: list[str], partitions: int | None = None) -> tuple[DataFrame, int]:
-    """keys with a column row (0 and up, gapless, in that order), and their count. Cut from its lineage, so that a rerun of a task can't renumber rows."""
-    spark = keys.sparkSession
+def numbered(rows: DataFrame, order: list[Column], partitions: int | None = None) -> tuple[DataFrame, int]:
+    """rows with a column __sf_row (0 and up, gapless, in that order), and their count. Cut from its lineage, so that a rerun of a task can't renumber rows."""
+    spark = rows.sparkSession
     n = partitions or int(spark.conf.get("spark.sql.shuffle.partitions"))
     # rows equal in the whole order are interchangeable: the last key only spreads them
-    spread = keys.withColumn("__sf_tie", F.monotonically_increasing_id())
+    spread = rows.withColumn("__sf_tie", F.monotonically_increasing_id())
     ranged = spread.repartitionByRange(n, *order, "__sf_tie").sortWithinPartitions(*order, "__sf_tie")
     at = F.monotonically_increasing_id()
     placed = cut(ranged.withColumn("__sf_part", F.shiftright(at, 33).cast("int")).withColumn("__sf_at", at.bitwiseAND(F.lit((1 << 33) - 1))).drop("__sf_tie"), "rows")
@@ -94,27 +93,44 @@ def numbered(keys: DataFrame, order: list[str], partitions: int | None = None) -
     for k in sorted(counts):
         first.append((k, total))
         total += counts[k]
-    starts = spark.createDataFrame(first, "p int, start long")
-    out = placed.join(F.broadcast(starts), F.col("__sf_part") == F.col("p")).withColumn("row", F.col("start") + F.col("__sf_at"))
-    return out.drop("p", "start", "__sf_part", "__sf_at"), total
+    starts = spark.createDataFrame(first, "__sf_p int, __sf_start long")
+    out = placed.join(F.broadcast(starts), F.col("__sf_part") == F.col("__sf_p")).withColumn("__sf_row", F.col("__sf_start") + F.col("__sf_at"))
+    return out.drop("__sf_p", "__sf_start", "__sf_part", "__sf_at"), total
 
 
-def keyed(docs: DataFrame) -> DataFrame:
-    text = F.coalesce("text", F.lit(""))
-    return docs.select(F.col("doc_id").cast("long").alias("doc_id"), (F.octet_length(text) + 8).cast("long").alias("size"), F.crc32(F.encode(text, "UTF-8")).alias("text_crc32"), F.xxhash64(text).alias("text_hash"))
+def keys(docs: DataFrame) -> dict[str, Column]:
+    text = F.coalesce(docs["text"], F.lit(""))
+    return {"doc_id": docs["doc_id"].cast("long"), "size": (F.octet_length(text) + 8).cast("long"), "text_crc32": F.crc32(F.encode(text, "UTF-8")), "__sf_hash": F.xxhash64(text)}
 
 
-def assign(docs: DataFrame, shards: int = SHARDS, seed: int = SEED) -> DataFrame:
-    """Per document: doc_id, size, text_crc32, row, shard, slot."""
-    rows, n = numbered(keyed(docs), ["doc_id", "text_crc32", "text_hash"])
+def placed(rows: DataFrame, n: int, shards: int, seed: int) -> DataFrame:
+    """rows with shard and slot in place of __sf_row."""
+
+    @F.pandas_udf("long")
+    def place(row: pd.Series) -> pd.Series:
+        return pd.Series(permuted(row.to_numpy(np.int64), n, seed))
+
+    rows = rows.withColumn("__sf_place", place("__sf_row"))
+    at = F.col("__sf_place")
+    return rows.withColumn("shard", (at % shards).cast("int")).withColumn("slot", F.call_function("div", at, F.lit(shards))).drop("__sf_place", "__sf_row")
 
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            place = permuted(batch.column("row").to_numpy(), n, seed)
-            cols = [batch.column(c) for c in ("doc_id", "size", "text_crc32", "row")]
-            yield pa.RecordBatch.from_arrays([*cols, pa.array((place % shards).astype(np.int32)), pa.array(place // shards)], names=["doc_id", "size", "text_crc32", "row", "shard", "slot"])
 
-    return rows.select("doc_id", "size", "text_crc32", "row").mapInArrow(run, "doc_id long, size long, text_crc32 long, row long, shard int, slot long")
+ORDER = ["doc_id", "text_crc32", "__sf_hash"]
+
+
+def assign(docs: DataFrame, shards: int = SHARDS, seed: int = SEED) -> DataFrame:
+    """Per document: doc_id, size, text_crc32, shard, slot. Texts are not shuffled."""
+    rows, n = numbered(docs.select(*(c.alias(name) for name, c in keys(docs).items())), [F.col(c) for c in ORDER])
+    return placed(rows, n, shards, seed).select("doc_id", "size", "text_crc32", "shard", "slot")
+
+
+def shard(docs: DataFrame, shards: int = SHARDS, seed: int = SEED) -> DataFrame:
+    """The documents with all their columns, and size, text_crc32, shard, slot, as assign() gives them."""
+    added, own = ("size", "text_crc32", "shard", "slot"), keys(docs)
+    kept = [c for c in docs.columns if c.lower() not in added]
+    whole = docs.select(*map(named, kept), *(own[c].alias(c) for c in ("size", "text_crc32", "__sf_hash")))
+    rows, n = numbered(whole, [F.col(c) for c in ORDER])
+    return placed(rows, n, shards, seed).select(*map(named, kept), *added)
 
 
 def op8(spark: SparkSession, sf_dir: str) -> DataFrame:
