@@ -35,8 +35,8 @@ def mixed(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def sharded(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """doc_id with size, text_crc32, shard and slot of every row."""
-    return sharding.assign(docs).select("doc_id", "size", "text_crc32", F.lit("rows").alias("law"), "shard", "slot")
+    """Every row with all its columns, and size, text_crc32, law, shard and slot: the corpus to train on."""
+    return sharding.shard(docs).withColumn("law", F.lit("rows"))
 
 
 STAGES = [("quality classifier", classify), ("simhash near-dedup", deduplicate), ("benchmark decontamination", decontaminated), ("mixing", mixed), ("sharding", sharded)]
