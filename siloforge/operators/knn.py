@@ -1,4 +1,4 @@
-"""Multi-label nearest-neighbour models inside each silo: the relational path, and a batched kernel for many masks.
+"""Multi-label nearest-neighbour models inside each silo: the relational path over tiles of similarities, and a batched kernel for many masks.
 
 Ties are broken by similarity rounded to 9 digits, then by row id; a row is never its own neighbour.
 """
@@ -13,9 +13,9 @@ from pyspark.sql import DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from siloforge.functions.columns import arithmetic_hash, cosine, selected, squared_distance
+from siloforge.functions.columns import arithmetic_hash, selected
 
-SMOOTH, K, THRESHOLD = 1.0, 5, 0.5
+SMOOTH, K, THRESHOLD, BLOCK = 1.0, 5, 0.5, 2048
 
 
 def projected(rows: DataFrame, sel: list[int]) -> DataFrame:
@@ -29,14 +29,66 @@ def usable_silos(rows: DataFrame, min_train: int = 1, min_val: int = 1) -> DataF
     return rows.join(ok.filter((F.col("nt") >= min_train) & (F.col("nv") >= min_val)).select("silo"), "silo", "left_semi")
 
 
-def neighbours(rows: DataFrame, k: int = K, of: str = "train", metric: str = "cosine") -> DataFrame:
-    """(silo, row_id, nbr_id, sim, rank, nbr_y): for each row of a split, its nearest training rows of its silo; k is clamped to the other training rows, at least 1."""
-    train = rows.filter("split = 'train'").select("silo", F.col("row_id").alias("nbr_id"), F.col("x").alias("nx"), F.col("y").alias("nbr_y"), F.count(F.lit(1)).over(W.partitionBy("silo")).alias("n"))
-    query = rows.filter(F.col("split") == of).select("silo", "row_id", "x")
-    sim = cosine(F.col("x"), F.col("nx")) if metric == "cosine" else -squared_distance(F.col("x"), F.col("nx"))
-    near = query.join(train, "silo").filter("row_id <> nbr_id").withColumn("sim", F.round(sim, 9)).drop("x", "nx")
+def flat(column: pa.ChunkedArray, dtype: type = float) -> np.ndarray:
+    """A column of lists of equal length as a matrix."""
+    lists = column.combine_chunks()
+    lists = lists.chunk(0) if isinstance(lists, pa.ChunkedArray) else lists
+    values = lists.flatten().to_numpy(zero_copy_only=False).astype(dtype, copy=False)
+    return values.reshape(len(lists), -1) if len(values) else np.zeros((len(lists), 0), dtype)
+
+
+def unit(a: np.ndarray) -> np.ndarray:
+    """Rows of length 1; zero rows stay."""
+    n = np.sqrt((a * a).sum(1, keepdims=True))
+    return np.divide(a, n, out=np.zeros_like(a), where=n > 0)
+
+
+def likeness(q: np.ndarray, x: np.ndarray, metric: str) -> np.ndarray:
+    """Cosine similarity, or the negative squared distance, of each row of q and each of x, rounded to 9 digits."""
+    if metric == "cosine":
+        return np.round(unit(q) @ unit(x).T, 9)
+    out = np.empty((len(q), len(x)))
+    for a in range(0, len(q), 64):
+        out[a : a + 64] = -((q[a : a + 64, None, :] - x[None]) ** 2).sum(2)
+    return np.round(out, 9)
+
+
+def neighbours(rows: DataFrame, k: int = K, of: str = "train", metric: str = "cosine", block: int = BLOCK) -> DataFrame:
+    """(silo, row_id, nbr_id, sim, rank, nbr_y): for each row of a split, its nearest training rows of its silo; k is clamped to the other training rows, at least 1.
+
+    A silo is dealt out as tiles of about block queries and block training rows; a tile gives its own best k of each query, and the tiles' are merged.
+    """
+    kind = rows.schema["silo"].dataType.simpleString()
+    tiles = lambda n: F.greatest(F.lit(1), F.ceil(n / block)).cast("int")
+    sizes = rows.groupBy("silo").agg(F.count_if(F.col("split") == "train").alias("n"), tiles(F.count_if(F.col("split") == "train")).alias("ts"), tiles(F.count_if(F.col("split") == of)).alias("qs"))
+    both = rows.select("silo", "row_id", "x", "y", "split").join(sizes, "silo")
+    own, every = (lambda m: F.pmod(F.xxhash64("row_id"), F.col(m)).cast("int")), (lambda m: F.explode(F.sequence(F.lit(0), F.col(m) - 1)))
+    train = both.filter("split = 'train'").withColumn("t", own("ts")).withColumn("q", every("qs")).withColumn("asks", F.lit(False))
+    asks = both.filter(F.col("split") == of).withColumn("q", own("qs")).withColumn("t", every("ts")).withColumn("asks", F.lit(True)).withColumn("y", F.lit(None).cast(rows.schema["y"].dataType))
+    wide = train.unionByName(asks).select("silo", "q", "t", "asks", "row_id", "x", "y", "n")
+
+    def tile(key: tuple, t: pa.Table) -> pa.Table:
+        t = t.sort_by("row_id")
+        asks = t.column("asks").to_numpy()
+        ids, x = t.column("row_id").to_numpy(), flat(t.column("x"))
+        own, given = ids[asks], ids[~asks]
+        empty = not len(own) or not len(given)
+        out = []
+        for a in range(0, 0 if empty else len(own), 256):
+            sim = likeness(x[asks][a : a + 256], x[~asks], metric)
+            sim[own[a : a + 256, None] == given[None, :]] = -np.inf
+            top = np.argsort(-sim, axis=1, kind="stable")[:, :k]
+            best = np.take_along_axis(sim, top, 1)
+            r, c = np.nonzero(best > -np.inf)
+            out.append((r + a, top[r, c], best[r, c]))
+        r, c, s = (np.concatenate([o[i] for o in out]) if out else np.zeros(0, (int, int, float)[i]) for i in range(3))
+        y = t.column("y").filter(pa.array(~asks)).take(pa.array(c))
+        n = t.column("n").slice(0, 1).to_pylist() * len(r)
+        return pa.table([pa.array([key[0].as_py()] * len(r), t.schema.field("silo").type), pa.array(own[r]), pa.array(given[c]), y, pa.array(s), pa.array(n, pa.int64())], names=["silo", "row_id", "nbr_id", "nbr_y", "sim", "n"])
+
+    near = wide.groupBy("silo", "q", "t").applyInArrow(tile, f"silo {kind}, row_id long, nbr_id long, nbr_y {rows.schema['y'].dataType.simpleString()}, sim double, n long")
     rank = F.row_number().over(W.partitionBy("silo", "row_id").orderBy(F.col("sim").desc(), "nbr_id"))
-    return near.withColumn("rank", rank).filter(F.col("rank") <= F.greatest(F.lit(1), F.least(F.lit(k), F.col("n") - 1))).drop("n")
+    return near.withColumn("rank", rank).filter(F.col("rank") <= k).filter(F.col("rank") <= F.greatest(F.lit(1), F.col("n") - 1)).drop("n")
 
 
 def label_counts(near: DataFrame) -> DataFrame:
@@ -102,10 +154,6 @@ def nothing_predicted(rows: DataFrame, of: str = "val") -> DataFrame:
 def mlknn(x: np.ndarray, y: np.ndarray, q: np.ndarray, ids: np.ndarray, k: int, smooth: float, chunk: int = 1024) -> np.ndarray:
     """Posteriors of the query rows, by the same rules as the relational path. ids: the training rows' ids in ascending order of rows."""
 
-    def unit(a: np.ndarray) -> np.ndarray:
-        n = np.sqrt((a * a).sum(1, keepdims=True))
-        return np.divide(a, n, out=np.zeros_like(a), where=n > 0)
-
     def counts(a: np.ndarray, own: bool) -> np.ndarray:
         out = np.empty((len(a), y.shape[1]))
         for s in range(0, len(a), chunk):
@@ -131,7 +179,7 @@ def mlknn(x: np.ndarray, y: np.ndarray, q: np.ndarray, ids: np.ndarray, k: int,
 
 
 def batch_counters(rows: DataFrame, masks: list[list[int]], k: int = K, smooth: float = SMOOTH, threshold: float = THRESHOLD, chunk: int = 8) -> DataFrame:
-    """(mask_id, silo, l, tp, fp, fn, n_val) for a batch of masks in one job. Masks go in chunks, so a large silo is spread over tasks; a silo's similarities are made block by block."""
+    """(mask_id, silo, l, tp, fp, fn, n_val) for a batch of masks in one job. A task has a silo and a chunk of the masks, and makes the silo's similarities block by block; a silo must fit a Python worker here (neighbours() spreads one over tasks)."""
     spark = rows.sparkSession
     parts = [masks[a : a + chunk] for a in range(0, len(masks), chunk)]
     held = spark.sparkContext.broadcast(parts)
@@ -140,9 +188,9 @@ def batch_counters(rows: DataFrame, masks: list[list[int]], k: int = K, smooth:
     def run(key: tuple, t: pa.Table) -> pa.Table:
         silo, part = (x.as_py() for x in key)
         t = t.sort_by("row_id")
-        train = np.array(t.column("split").to_pylist()) == "train"
-        x, y = np.array(t.column("x").to_pylist(), float).reshape(len(train), -1), np.array(t.column("y").to_pylist(), int)
-        ids, yt, yv = np.array(t.column("row_id"))[train], y[train], y[~train]
+        train = t.column("split").to_numpy() == "train"
+        x, y = flat(t.column("x")), flat(t.column("y"), int)
+        ids, yt, yv = t.column("row_id").to_numpy()[train], y[train], y[~train]
         single = y.shape[1] > 1 and len(yt) and bool((yt.sum(1) == 1).all())
         out = []
         for i, sel in enumerate(held.value[part]):
@@ -179,8 +227,8 @@ def silo_times(rows: DataFrame, masks: list[list[int]], k: int = K) -> DataFrame
 
     def run(key: tuple, t: pa.Table) -> pa.Table:
         began = time.perf_counter()
-        train = np.array(t.column("split").to_pylist()) == "train"
-        x, y = np.array(t.column("x").to_pylist(), float).reshape(len(train), -1), np.array(t.column("y").to_pylist(), int)
+        train = t.column("split").to_numpy() == "train"
+        x, y = flat(t.column("x")), flat(t.column("y"), int)
         for sel in held.value:
             if sel and train.sum() > 1 and not train.all():
                 mlknn(x[train][:, sel], y[train], x[~train][:, sel], np.arange(train.sum()), k, SMOOTH)

@@ -2,14 +2,18 @@
 
 from __future__ import annotations
 
+from collections.abc import Iterator
 from functools import reduce
 
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from siloforge.session import cut
 
+FRONT_ROWS = 4096
 
 def dominates(objectives: list[str], a: str = "a", b: str = "b") -> Column:
     no_worse = reduce(lambda x, y: x & y, (F.col(f"{a}.{o}") <= F.col(f"{b}.{o}") for o in objectives))
@@ -17,9 +21,36 @@ def dominates(objectives: list[str], a: str = "a", b: str = "b") -> Column:
     return no_worse & better
 
 
+def local_front(solutions: DataFrame, objectives: list[str]) -> DataFrame:
+    """The solutions that none of their own partition dominates. Whatever dominates one of the others is dominated by, or is, one of these."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held: list[pa.RecordBatch] = []
+        for batch in batches:
+            held.append(batch)
+            if sum(x.num_rows for x in held) >= 2 * FRONT_ROWS:
+                held = undominated(held).to_batches()
+        if held:
+            yield from undominated(held).to_batches()
+
+    def undominated(held: list[pa.RecordBatch]) -> pa.Table:
+        t = pa.Table.from_batches(held)
+        x = np.stack([t.column(o).cast(pa.float64()).to_numpy() for o in objectives], axis=1)
+        order, keep = np.lexsort(x.T[::-1]), np.ones(len(x), bool)  # whatever dominates a solution comes before it
+        for at, i in enumerate(order.tolist()):
+            if keep[i]:
+                rest = order[at + 1 :]
+                rest = rest[keep[rest]]
+                keep[rest[(x[i] <= x[rest]).all(1) & (x[i] < x[rest]).any(1)]] = False
+        return t.filter(pa.array(keep))
+
+    return solutions.mapInArrow(run, solutions.schema)
+
+
 def front(solutions: DataFrame, objectives: list[str]) -> DataFrame:
-    """The solutions that none dominates; equal ones stay together."""
-    return solutions.alias("b").join(solutions.alias("a"), dominates(objectives), "left_anti")
+    """The solutions that none dominates; equal ones stay together. Only the fronts of the partitions are compared with each other."""
+    local = local_front(solutions, objectives)
+    return local.alias("b").join(local.alias("a"), dominates(objectives), "left_anti")
 
 
 def dominance_counts(solutions: DataFrame, objectives: list[str]) -> DataFrame:

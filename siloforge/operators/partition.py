@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 from siloforge.functions.columns import arithmetic_hash
 
 
-BUCKETS = 1 << 16
+BUCKETS, STRATUM_BUCKETS = 1 << 16, 1 << 12
 
 
 def placed(rows: DataFrame, seed: int = 0) -> DataFrame:
@@ -28,6 +28,24 @@ def natural_val_split(rows: DataFrame, share: float, seed: int = 0) -> DataFrame
     return placed(rows, seed).withColumn("split", F.when(F.col("place") <= F.floor(F.col("total") * share), "val").otherwise("train")).drop("place", "total")
 
 
+def train_val_test(train: DataFrame, test: DataFrame, share: float = 0.25, seed: int = 0) -> DataFrame:
+    """One table of a dataset that comes as train and test: int(share n) of the training rows are val."""
+    return natural_val_split(train, share, seed).unionByName(test.withColumn("split", F.lit("test")))
+
+
+def stratified_folds(rows: DataFrame, folds: int, seed: int = 0) -> DataFrame:
+    """stratum, fold: a row's stratum is its rarest label over all rows (ties: the first; -1 without any), and each stratum's rows are dealt to the folds in turn, in hash order. So the rarest labels are spread evenly; nothing is ordered in one task but a hash bucket of a stratum."""
+    often = {r["l"]: r["n"] for r in rows.select(F.posexplode("y").alias("l", "v")).groupBy("l").agg(F.sum("v").alias("n")).collect()}  # a row a label
+    ranked = sorted(often, key=lambda k: (often[k], k))
+    stratum = F.coalesce(*(F.when(F.element_at("y", k + 1) > 0, k) for k in ranked), F.lit(-1)) if ranked else F.lit(-1)
+    t = rows.withColumn("stratum", stratum.cast("int")).withColumn("__h", arithmetic_hash(F.col("row_id"), seed))
+    t = t.withColumn("__b", F.floor(F.col("__h") / (4294967296 // STRATUM_BUCKETS)).cast("int"))
+    sizes = t.groupBy("stratum", "__b").agg(F.count(F.lit(1)).alias("__c"))  # STRATUM_BUCKETS rows a label at most
+    sizes = sizes.withColumn("__before", F.sum("__c").over(W.partitionBy("stratum").orderBy("__b")) - F.col("__c")).drop("__c")
+    place = F.row_number().over(W.partitionBy("stratum", "__b").orderBy("__h", "row_id")) + F.col("__before") - 1
+    return t.join(sizes, ["stratum", "__b"]).withColumn("fold", (place % folds).cast("int")).drop("__h", "__b", "__before")
+
+
 def silo_val_split(rows: DataFrame, share: float, seed: int = 0, at_least: int = 1) -> DataFrame:
     """split: of each silo max(at_least, int(share n)) rows are val."""
     w = W.partitionBy("silo")

@@ -2,6 +2,10 @@
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
@@ -51,11 +55,25 @@ def federated_rank(local: DataFrame, sizes: DataFrame) -> DataFrame:
 
 
 def redundancy(rows: DataFrame) -> DataFrame:
-    """(i, j, r), i < j: absolute Pearson correlation over the training rows, 0 for constant features. A row gives its own pairs of features; only sums are shuffled."""
-    t = rows.filter("split = 'train'").select("x")
-    pair = t.select(F.posexplode("x").alias("i", "a"), "x").select("i", "a", F.posexplode("x").alias("j", "b")).filter("i < j")
-    a, b = F.col("a"), F.col("b")
-    m = pair.groupBy("i", "j").agg(F.count(F.lit(1)).alias("n"), F.sum(a).alias("sa"), F.sum(b).alias("sb"), F.sum(a * a).alias("qa"), F.sum(b * b).alias("qb"), F.sum(a * b).alias("ab"))
+    """(i, j, r), i < j: absolute Pearson correlation over the training rows, 0 for constant features. A task sums its rows' outer products in one matrix, so a shuffle has the upper triangle of a matrix a task, whatever the number of rows."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        n, sums, gram = 0, None, None
+        for batch in batches:
+            lists = batch.column("x")
+            if len(lists):
+                x = lists.flatten().to_numpy(zero_copy_only=False).reshape(len(lists), -1)
+                n += len(x)
+                sums = x.sum(0) if sums is None else sums + x.sum(0)
+                gram = x.T @ x if gram is None else gram + x.T @ x
+        if n:
+            i, j = np.triu_indices(len(sums), 1)
+            square = np.diag(gram)
+            cols = [pa.array(i.astype(np.int32)), pa.array(j.astype(np.int32)), pa.array(np.full(len(i), n)), *(pa.array(v) for v in (sums[i], sums[j], square[i], square[j], gram[i, j]))]
+            yield pa.RecordBatch.from_arrays(cols, names=["i", "j", "n", "sa", "sb", "qa", "qb", "ab"])
+
+    part = rows.filter("split = 'train'").select(F.col("x").cast("array<double>").alias("x")).mapInArrow(run, "i int, j int, n long, sa double, sb double, qa double, qb double, ab double")
+    m = part.groupBy("i", "j").agg(*(F.sum(c).alias(c) for c in ("n", "sa", "sb", "qa", "qb", "ab")))
     n = F.col("n")
     cov, va, vb = n * F.col("ab") - F.col("sa") * F.col("sb"), n * F.col("qa") - F.col("sa") * F.col("sa"), n * F.col("qb") - F.col("sb") * F.col("sb")
     return m.select("i", "j", F.when((va > 1e-9) & (vb > 1e-9), F.abs(cov / F.sqrt(va * vb))).otherwise(0.0).alias("r"))

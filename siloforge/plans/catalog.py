@@ -61,7 +61,7 @@ def a2_counters(s: SparkSession, d: str) -> DataFrame:
 
 @query("s01_sum_duplicates", f"WITH {literal_sql('duplicates')} SELECT row_id, j, sum(x) x FROM duplicates GROUP BY row_id, j")
 def s01(s, d):
-    return literal(s, "duplicates").groupBy("row_id", "j").agg(F.sum("x").alias("x"))
+    return literal(s, "duplicates", d).groupBy("row_id", "j").agg(F.sum("x").alias("x"))
 
 
 HASH = "((row_id % 1000003) * 2654435761 + 12345) % 4294967296"
@@ -89,7 +89,7 @@ def s09(s, d):
 
 @query("s12_unpack_bits", f"WITH {literal_sql('packed')}, j AS (SELECT *, unnest(range(0, n_features)) j FROM packed) SELECT i, CAST(j AS INT) j FROM j WHERE (bytes[CAST(j // 8 + 1 AS INT)] >> CAST(7 - j % 8 AS INT)) & 1 = 1")
 def s12(s, d):
-    t = literal(s, "packed").withColumn("j", F.explode(F.sequence(F.lit(0), F.col("n_features") - 1)))
+    t = literal(s, "packed", d).withColumn("j", F.explode(F.sequence(F.lit(0), F.col("n_features") - 1)))
     return t.filter(C.packed_bit(F.col("bytes"), F.col("j")) == 1).select("i", "j")
 
 
@@ -122,7 +122,7 @@ def p03(s, d):
 @query("p04_mask_repair", f"WITH {literal_sql('masks')} SELECT mask_id, CASE WHEN sel = '' THEN '0' ELSE sel END sel FROM masks")
 def p04(s, d):
     sel = C.mask_list(F.col("sel"))
-    return literal(s, "masks").select("mask_id", C.mask_string(F.when(F.size(sel) == 0, F.array(F.lit(0))).otherwise(sel)).alias("sel"))
+    return literal(s, "masks", d).select("mask_id", C.mask_string(F.when(F.size(sel) == 0, F.array(F.lit(0))).otherwise(sel)).alias("sel"))
 
 
 @query("p06_usable_silos", f"WITH {fx.FIXTURE_SQL['c']}, ok AS (SELECT silo FROM c GROUP BY silo HAVING count(*) FILTER (WHERE split = 'train') >= 6 AND count(*) FILTER (WHERE split = 'val') >= 1) SELECT row_id, silo, split FROM c WHERE silo IN (SELECT silo FROM ok)")
@@ -145,7 +145,7 @@ CAPPED = f"WITH {literal_sql('solutions')}, f AS (SELECT * FROM solutions b WHER
 
 @query("p11_capped_front", CAPPED + " SELECT i, o0, o1, selected FROM k")
 def p11(s, d):
-    f = pareto.front(literal(s, "solutions"), ["o0", "o1"])
+    f = pareto.front(literal(s, "solutions", d), ["o0", "o1"])
     return pareto.capped_front(f, 6).select("i", "o0", "o1", "selected")
 
 
@@ -193,12 +193,12 @@ def j06(s, d):
 @query("j08_mask_broadcast", f"WITH {literal_sql('masks')} SELECT DISTINCT mask_id, CAST(vec_id % 8 AS INT) silo FROM masks, embeddings")
 def j08(s, d):
     silos = fx.vectors_multi(s, d).select("silo").distinct()
-    return silos.join(F.broadcast(literal(s, "masks").select("mask_id")), F.lit(True))
+    return silos.join(F.broadcast(literal(s, "masks", d).select("mask_id")), F.lit(True))
 
 
 @query("j09_pareto", f"WITH {literal_sql('solutions')} SELECT i FROM solutions b WHERE NOT EXISTS (SELECT 1 FROM solutions a WHERE a.o0 <= b.o0 AND a.o1 <= b.o1 AND a.o2 <= b.o2 AND (a.o0 < b.o0 OR a.o1 < b.o1 OR a.o2 < b.o2))")
 def j09(s, d):
-    return pareto.front(literal(s, "solutions"), ["o0", "o1", "o2"]).select("i")
+    return pareto.front(literal(s, "solutions", d), ["o0", "o1", "o2"]).select("i")
 
 
 BUDGET = f"WITH {literal_sql('solutions')}, {literal_sql('budgets')}, j AS (SELECT budget, i, o0, selected, row_number() OVER (PARTITION BY budget ORDER BY o0, selected, i) r FROM budgets JOIN solutions ON selected <= budget)"
@@ -206,7 +206,7 @@ BUDGET = f"WITH {literal_sql('solutions')}, {literal_sql('budgets')}, j AS (SELE
 
 @query("j10_budget_join", BUDGET + " SELECT budget, count(*) n FROM j GROUP BY budget")
 def j10(s, d):
-    return literal(s, "budgets").join(literal(s, "solutions"), F.col("selected") <= F.col("budget")).groupBy("budget").agg(F.count(F.lit(1)).alias("n"))
+    return literal(s, "budgets", d).join(literal(s, "solutions", d), F.col("selected") <= F.col("budget")).groupBy("budget").agg(F.count(F.lit(1)).alias("n"))
 
 
 @query("j11_zip_join", "SELECT CAST(i AS INT) pos, CAST(i AS INT) client, 'shard_' || i shard FROM (SELECT unnest(range(0, 4)) i)")
@@ -225,7 +225,7 @@ def j12(s, d):
 
 @query("j13_paired_runs", f"WITH {literal_sql('runs')} SELECT a.dataset, a.seed, round(a.value - b.value, 6) d FROM runs a JOIN runs b ON a.dataset = b.dataset AND a.seed = b.seed WHERE a.method = 'aware' AND b.method = 'base'")
 def j13(s, d):
-    return stats.paired(literal(s, "runs"), "aware", "base").select("dataset", "seed", r6("d"))
+    return stats.paired(literal(s, "runs", d), "aware", "base").select("dataset", "seed", r6("d"))
 
 
 GRID = [round(0.05 * i, 2) for i in range(1, 20)]
@@ -438,7 +438,7 @@ def a31(s, d):
 
 @query("a32_comm_bytes", f"WITH {literal_sql('rounds')} SELECT *, CAST(least(ceil(n_features / 8), 4 * n_selected) * clients AS BIGINT) down, CAST(12 * n_labels * clients AS BIGINT) up, CAST(2 * clients AS BIGINT) messages FROM rounds")
 def a32(s, d):
-    return metrics.message_bytes(literal(s, "rounds"))
+    return metrics.message_bytes(literal(s, "rounds", d))
 
 
 SUBSET = f"WITH {literal_sql('silos')}, {literal_sql('parts')}, rp AS (SELECT silo, l, tp, fp, fn, round FROM parts JOIN (SELECT DISTINCT round FROM silos) ON true)"
@@ -446,31 +446,31 @@ QUORUM = "qu AS (SELECT round, silo, size, latency FROM (SELECT *, coalesce(sum(
 F1SQL = "SELECT round, avg(CASE WHEN 2 * tp + fp + fn > 0 THEN 2.0 * tp / (2 * tp + fp + fn) ELSE 0 END) macro, 2.0 * sum(tp) / sum(2 * tp + fp + fn) micro FROM (SELECT round, l, sum(tp) tp, sum(fp) fp, sum(fn) fn FROM rp {join} GROUP BY round, l) GROUP BY round"
 
 
-def round_counters(s: SparkSession) -> DataFrame:
-    p = literal(s, "parts")
-    silos = literal(s, "silos").select("round", "silo")
+def round_counters(s: SparkSession, d: str) -> DataFrame:
+    p = literal(s, "parts", d)
+    silos = literal(s, "silos", d).select("round", "silo")
     rounds = silos.select("round").distinct()
     return p.join(F.broadcast(rounds), F.lit(True))
 
 
 @query("a34_subset_f1", SUBSET + ", " + QUORUM + " SELECT round, round(macro, 6) macro, round(micro, 6) micro FROM (" + F1SQL.format(join="SEMI JOIN qu USING (round, silo)") + ")")
 def a34(s, d):
-    return scheduling.subset_f1(round_counters(s), scheduling.quorum(literal(s, "silos"), 0.5)).select("round", r6("macro"), r6("micro"))
+    return scheduling.subset_f1(round_counters(s, d), scheduling.quorum(literal(s, "silos", d), 0.5)).select("round", r6("macro"), r6("micro"))
 
 
 @query("a36_secure_sum", f"WITH {literal_sql('parts')} SELECT l pos, CAST(sum(tp) AS BIGINT) total FROM parts GROUP BY l")
 def a36(s, d):
-    return secure.secure_sum(literal(s, "parts").select("silo", F.col("l").alias("pos"), F.col("tp").alias("v")))
+    return secure.secure_sum(literal(s, "parts", d).select("silo", F.col("l").alias("pos"), F.col("tp").alias("v")))
 
 
 @query("a37_fixed_point", f"WITH {literal_sql('numbers')} SELECT silo, CAST(round_even(x * 1048576, 0) AS BIGINT) v FROM numbers")
 def a37(s, d):
-    return literal(s, "numbers").select("silo", C.fixed_point(F.col("x"), 20).alias("v"))
+    return literal(s, "numbers", d).select("silo", C.fixed_point(F.col("x"), 20).alias("v"))
 
 
 @query("a37_secure_moments", f"WITH {literal_sql('numbers')}, e AS (SELECT round_even(x * 1048576, 0) / 1048576 a, round_even(x * x * 1048576, 0) / 1048576 b FROM numbers) SELECT round(avg(a), 6) mean, round(sqrt(greatest(avg(b) - avg(a) * avg(a), 0)), 6) std FROM e")
 def a37b(s, d):
-    return secure.secure_moments(literal(s, "numbers")).select(r6("mean"), r6("std"))
+    return secure.secure_moments(literal(s, "numbers", d)).select(r6("mean"), r6("std"))
 
 
 @query("a38_dp_sigma", "SELECT epsilon, round(sqrt(5.0) * sqrt(2 * ln(1.25 / 1e-5)) / epsilon, 6) sigma FROM (SELECT unnest([0.5, 1.0, 2.0, 8.0]::DOUBLE[]) epsilon)")
@@ -481,36 +481,36 @@ def a38(s, d):
 
 @query("a38_dp_release")
 def a38b(s, d):
-    return secure.noisy_counters(literal(s, "parts"), [1.0, 8.0], 5, 1e-5, 11)
+    return secure.noisy_counters(literal(s, "parts", d), [1.0, 8.0], 5, 1e-5, 11)
 
 
 FLOOD = f"WITH {literal_sql('parts')}, m AS (SELECT *, greatest(1, CAST(sum(tp + fp + fn) OVER (PARTITION BY silo) AS BIGINT) // count(*) OVER (PARTITION BY silo)) sh FROM parts), fl AS (SELECT silo, l, CASE WHEN silo IN (1, 3) THEN 0 ELSE tp END tp, CASE WHEN silo IN (1, 3) THEN sh * 9 ELSE fp END fp, CASE WHEN silo IN (1, 3) THEN sh * 9 ELSE fn END fn FROM m)"
 
 
-def bad_counters(s: SparkSession) -> DataFrame:
-    f = secure.flooded(literal(s, "parts"), [1, 3])
+def bad_counters(s: SparkSession, d: str) -> DataFrame:
+    f = secure.flooded(literal(s, "parts", d), [1, 3])
     k = F.when(F.col("silo").isin(1, 3), 9).otherwise(1)
     return f.withColumn("fp", F.col("fp") * k).withColumn("fn", F.col("fn") * k)
 
 
 @query("a39_drop_f", FLOOD + ", ms AS (SELECT silo, sum(tp + fp + fn) mass FROM fl GROUP BY silo), rk AS (SELECT silo, row_number() OVER (ORDER BY abs(mass - (SELECT median(mass) FROM ms)), silo) r, count(*) OVER () k FROM ms) SELECT l, CAST(sum(tp) AS BIGINT) tp, CAST(sum(fp) AS BIGINT) fp, CAST(sum(fn) AS BIGINT) fn FROM fl JOIN rk USING (silo) WHERE r <= k - 2 GROUP BY l")
 def a39(s, d):
-    return secure.drop_farthest(bad_counters(s), 2)
+    return secure.drop_farthest(bad_counters(s, d), 2)
 
 
 @query("a40_flooding", f"WITH {literal_sql('parts')}, m AS (SELECT *, greatest(1, CAST(sum(tp + fp + fn) OVER (PARTITION BY silo) AS BIGINT) // count(*) OVER (PARTITION BY silo)) sh FROM parts) SELECT silo, l, CAST(CASE WHEN silo IN (1, 3) THEN 0 ELSE tp END AS BIGINT) tp, CAST(CASE WHEN silo IN (1, 3) THEN sh ELSE fp END AS BIGINT) fp, CAST(CASE WHEN silo IN (1, 3) THEN sh ELSE fn END AS BIGINT) fn FROM m")
 def a40(s, d):
-    return secure.flooded(literal(s, "parts"), [1, 3])
+    return secure.flooded(literal(s, "parts", d), [1, 3])
 
 
 @query("a41_alarm", FLOOD + " SELECT f.silo, bool_or(f.tp + f.fn <> p.tp + p.fn OR f.tp + f.fp > 40) alarm FROM fl f JOIN parts p ON f.silo = p.silo AND f.l = p.l GROUP BY f.silo")
 def a41(s, d):
-    known = literal(s, "parts").select("silo", "l", (F.col("tp") + F.col("fn")).alias("p"), F.lit(40).alias("n"))
-    return secure.alarms(bad_counters(s), known)
+    known = literal(s, "parts", d).select("silo", "l", (F.col("tp") + F.col("fn")).alias("p"), F.lit(40).alias("n"))
+    return secure.alarms(bad_counters(s, d), known)
 
 
 @query("a42_groupwise", FLOOD + """, g AS (SELECT silo, (row_number() OVER (ORDER BY ((silo % 1000003) * 2654435761 + 12345) % 4294967296, silo) - 1) % 3 g FROM (SELECT DISTINCT silo FROM fl)),
 c AS (SELECT * FROM fl JOIN g USING (silo)), ms AS (SELECT g, sum(tp + fp + fn) / count(DISTINCT silo) mass FROM c GROUP BY g), rk AS (SELECT g, row_number() OVER (ORDER BY abs(mass - (SELECT median(mass) FROM ms)), g) r FROM ms)
 SELECT l, CAST(sum(tp) AS BIGINT) tp, CAST(sum(fp) AS BIGINT) fp, CAST(sum(fn) AS BIGINT) fn FROM c JOIN rk USING (g) WHERE r <= 2 GROUP BY l""")
 def a42(s, d):
-    return secure.groupwise(bad_counters(s), 3, 1)
+    return secure.groupwise(bad_counters(s, d), 3, 1)

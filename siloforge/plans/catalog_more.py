@@ -16,24 +16,24 @@ from siloforge.session import fresh_path
 from siloforge.sources import arrays, synthetic
 
 
-@query("s03_prefold_scan", f"WITH {fx.FIXTURE_SQL['b']} SELECT split, count(*) n, count(DISTINCT silo) silos FROM b WHERE row_id % 5 = 2 GROUP BY split")
+@query("s03_prefold_scan", f"WITH {fx.FIXTURE_SQL['b']} SELECT CAST(row_id % 5 AS INT) fold, split, count(*) n, count(DISTINCT silo) silos FROM b GROUP BY ALL")
 def s03(s, d):
     path = fresh_path(s, "folds")
     fx.orders_by_nation(s, d).withColumn("fold", (F.col("row_id") % 5).cast("int")).write.partitionBy("fold").parquet(path)
-    return s.read.parquet(path).filter("fold = 2").groupBy("split").agg(F.count(F.lit(1)).alias("n"), F.countDistinct("silo").alias("silos"))
+    return s.read.parquet(path).groupBy("fold", "split").agg(F.count(F.lit(1)).alias("n"), F.countDistinct("silo").alias("silos"))
 
 
-@query("s07_shards", f"WITH {fx.FIXTURE_SQL['a2']} SELECT silo, split, count(*) n FROM a2 WHERE silo IN (1, 6) GROUP BY silo, split")
+@query("s07_shards", f"WITH {fx.FIXTURE_SQL['a2']} SELECT silo, split, count(*) n FROM a2 GROUP BY silo, split")
 def s07(s, d):
     path = fresh_path(s, "shards")
     arrays.write_shards(fx.vectors_multi(s, d), path)
-    return arrays.read_shards(s, path, [1, 6]).groupBy("silo", "split").agg(F.count(F.lit(1)).alias("n"))
+    return arrays.read_shards(s, path).groupBy("silo", "split").agg(F.count(F.lit(1)).alias("n"))
 
 
 @query("s09_counters_round_trip", f"WITH {literal_sql('parts')} SELECT silo, l, tp, fp, fn FROM parts")
 def s09(s, d):
     path = fresh_path(s, "counters")
-    arrays.write_counters(literal(s, "parts"), path)
+    arrays.write_counters(literal(s, "parts", d), path)
     return arrays.read_counters(s, path)
 
 
@@ -93,17 +93,17 @@ def a22(s, d):
 
 @query("a30_run_statistics", f"WITH {literal_sql('runs')} SELECT dataset, method, min(value) least, round(median(value), 6) median, max(value) largest, round(stddev_pop(value), 6) std FROM runs GROUP BY dataset, method")
 def a30(s, d):
-    return stats.summary(literal(s, "runs")).select("dataset", "method", "least", r6("median"), "largest", r6("std"))
+    return stats.summary(literal(s, "runs", d)).select("dataset", "method", "least", r6("median"), "largest", r6("std"))
 
 
 @query("a29_dominance_counts", f"WITH {literal_sql('solutions')} SELECT b.i, count(a.i) dominated_by FROM solutions b LEFT JOIN solutions a ON a.o0 <= b.o0 AND a.o1 <= b.o1 AND (a.o0 < b.o0 OR a.o1 < b.o1) GROUP BY b.i")
 def a29(s, d):
-    return pareto.dominance_counts(literal(s, "solutions"), ["o0", "o1"])
+    return pareto.dominance_counts(literal(s, "solutions", d), ["o0", "o1"])
 
 
 @query("a33_counter_step", f"WITH {literal_sql('parts')} SELECT l, CAST(sum(tp) AS BIGINT) tp, CAST(sum(fp) AS BIGINT) fp, CAST(sum(fn) AS BIGINT) fn FROM parts GROUP BY l")
 def a33(s, d):
-    js = literal(s, "parts").groupBy("silo").agg(F.to_json(F.struct(*(F.array_sort(F.collect_list(F.struct("l", F.col(c).alias("v")))).alias(c) for c in ("tp", "fp", "fn")))).alias("js"))
+    js = literal(s, "parts", d).groupBy("silo").agg(F.to_json(F.struct(*(F.array_sort(F.collect_list(F.struct("l", F.col(c).alias("v")))).alias(c) for c in ("tp", "fp", "fn")))).alias("js"))
     kind = "tp array<struct<l:int,v:long>>, fp array<struct<l:int,v:long>>, fn array<struct<l:int,v:long>>"
     z = js.select(F.from_json("js", kind).alias("c")).select(F.explode(F.arrays_zip("c.tp", "c.fp", "c.fn")).alias("z"))
     return z.groupBy(F.col("z.tp.l").alias("l")).agg(*(F.sum(f"z.{c}.v").alias(c) for c in ("tp", "fp", "fn")))
@@ -111,12 +111,12 @@ def a33(s, d):
 
 @query("a35_critical_path", f"WITH {literal_sql('silos')} SELECT round, max(latency) slowest FROM silos GROUP BY round")
 def a35(s, d):
-    return literal(s, "silos").groupBy("round").agg(F.max("latency").alias("slowest"))
+    return literal(s, "silos", d).groupBy("round").agg(F.max("latency").alias("slowest"))
 
 
 @query("a39_robust_macro")
 def a39(s, d):
-    return metrics.macro_f1(secure.drop_farthest(bad_counters(s), 2).withColumn("silo", F.lit(0)))
+    return metrics.macro_f1(secure.drop_farthest(bad_counters(s, d), 2).withColumn("silo", F.lit(0)))
 
 
 @query("w18_greedy_order")
@@ -126,7 +126,7 @@ def w18(s, d):
 
 @query("t06_best_test_mask", f"WITH {literal_sql('solutions')} SELECT arg_min(selected, o0) selected, min(o0) o0 FROM solutions")
 def t06(s, d):
-    return literal(s, "solutions").agg(F.min_by("selected", "o0").alias("selected"), F.min("o0").alias("o0"))
+    return literal(s, "solutions", d).agg(F.min_by("selected", "o0").alias("selected"), F.min("o0").alias("o0"))
 
 
 @query("t10_filter_seeds", RANKED + ", n AS (SELECT unnest([0.05, 0.1, 0.2, 0.3]::DOUBLE[]) ratio), k AS (SELECT j, row_number() OVER (ORDER BY round(rel, 9) DESC, j) k FROM fr) SELECT ratio, array_to_string(list_sort(list(j)), ',') sel FROM n JOIN k ON k <= greatest(1, round_even(ratio * 7, 0)) GROUP BY ratio")
@@ -140,7 +140,7 @@ def t10(s, d):
 
 @query("u05_population_union", f"WITH {literal_sql('solutions')} SELECT count(*) n FROM (SELECT * FROM solutions UNION ALL SELECT * FROM solutions WHERE selected > 4)")
 def u05(s, d):
-    p = literal(s, "solutions")
+    p = literal(s, "solutions", d)
     return p.unionAll(p.filter("selected > 4")).agg(F.count(F.lit(1)).alias("n"))
 
 
@@ -159,13 +159,13 @@ def f05(s, d):
 
 @query("f08_mask_sizes", f"WITH {literal_sql('packed')} SELECT i, CAST(bit_count(CAST(bytes[1] AS INT)) + bit_count(CAST(bytes[2] AS INT)) AS INT) selected FROM packed")
 def f08(s, d):
-    return literal(s, "packed").select("i", F.aggregate("bytes", F.lit(0), lambda n, b: n + F.bit_count(b)).alias("selected"))
+    return literal(s, "packed", d).select("i", F.aggregate("bytes", F.lit(0), lambda n, b: n + F.bit_count(b)).alias("selected"))
 
 
 @query("f09_mask_strings", f"WITH {literal_sql('masks')} SELECT mask_id, CASE WHEN sel = '' THEN 0 ELSE len(string_split(sel, ',')) END n, sel FROM masks")
 def f09(s, d):
     sel = C.mask_list(F.col("sel"))
-    return literal(s, "masks").select("mask_id", F.size(sel).cast("long").alias("n"), C.mask_string(sel).alias("sel"))
+    return literal(s, "masks", d).select("mask_id", F.size(sel).cast("long").alias("n"), C.mask_string(sel).alias("sel"))
 
 
 @query("f16_method_digits", "SELECT * FROM (VALUES ('warm30', 30), ('aware25', 25), ('base', NULL)) t(name, share)")
@@ -176,7 +176,7 @@ def f16(s, d):
 
 @query("f17_report_rows", f"WITH {literal_sql('runs')} SELECT dataset, method || ' & ' || printf('%.3f', avg(value)) AS row FROM runs GROUP BY dataset, method")
 def f17(s, d):
-    return literal(s, "runs").groupBy("dataset", "method").agg(F.avg("value").alias("m")).select("dataset", F.format_string("%s & %.3f", "method", "m").alias("row"))
+    return literal(s, "runs", d).groupBy("dataset", "method").agg(F.avg("value").alias("m")).select("dataset", F.format_string("%s & %.3f", "method", "m").alias("row"))
 
 
 @query("g14_partition_summary", f"WITH {fx.FIXTURE_SQL['b']}, k AS (SELECT ntile(5) OVER (ORDER BY {HASH}, row_id) - 1 client FROM b) SELECT CAST(client AS INT) client, count(*) n FROM k GROUP BY client")
@@ -192,7 +192,7 @@ def g34(s, d):
 
 @query("g36_variant_comparison", f"WITH {literal_sql('runs')}, a AS (SELECT dataset, method, avg(value) m, stddev_pop(value) sd FROM runs GROUP BY dataset, method) SELECT dataset, method, round(m, 6) mean, round(sd, 6) std, round(m - max(m) FILTER (WHERE method = 'base') OVER (PARTITION BY dataset), 6) gain FROM a")
 def g36(s, d):
-    t = stats.summary(literal(s, "runs"))
+    t = stats.summary(literal(s, "runs", d))
     base = F.max(F.when(F.col("method") == "base", F.col("mean"))).over(W.partitionBy("dataset"))
     return t.withColumn("gain", F.col("mean") - base).select("dataset", "method", r6("mean"), r6("std"), r6("gain"))
 
@@ -205,38 +205,75 @@ def g37(s, d):
 @query("g39_experiment")
 def g39(s, d):
     rows = fx.vectors_multi(s, d)
-    settings = Settings({"method": "aware", "search": {"population": 6, "generations": 2}, "seed": 3})
-    out = runner.run(lambda: (rows, rows.filter("split = 'val'"), 59), settings)
-    return s.createDataFrame([(out["method"], out["front"], out["evaluated"], float(out["best_objective"]))], "method string, front int, evaluated int, best double")
+    test = F.col("row_id") % 5 == 4
+    out = runner.run(lambda: (rows.filter(~test), rows.filter(test), 59), Settings({"method": "aware", "seed": 3}), fresh_path(s, "experiment"))
+    return s.createDataFrame([(out["method"], out["front"], out["evaluated"], float(out["best_objective"]), max(out["test_macro"].values()))], "method string, front int, evaluated int, best double, best_test double")
 
 
-@query("g41_batch_summary", A2 + "SELECT silo, CAST(sum(tp + fn) AS BIGINT) positives FROM ctr GROUP BY silo")
+@query("g35_head_to_head")
+def g35(s, d):
+    rows = fx.vectors_multi(s, d)
+    test = F.col("row_id") % 5 == 4
+    return runner.compared(rows.filter(~test), rows.filter(test), 59, ["base", "stable", "aware"], [1, 2], Settings({"search": {"population": 12, "generations": 4}}))
+
+
+@query("g32_scaling")
+def g32(s, d):
+    return runner.scaling(fx.vectors_multi(s, d).drop("silo"), [2, 4, 8], [SEL16]).drop("seconds")
+
+
+@query("s20_jobs", f"WITH {fx.FIXTURE_SQL['b']} SELECT silo client_id, 'silo=' || silo shard, 'counters_' || silo || '.json' AS out FROM b GROUP BY silo HAVING count(*) FILTER (WHERE split = 'train') > 0")
+def s20(s, d):
+    return runner.jobs(partition.manifest(fx.orders_by_nation(s, d)), fresh_path(s, "jobs"))
+
+
+@query("s16_synthetic_prefold")
+def s16(s, d):
+    path = fresh_path(s, "prefold")
+    synthetic.write_prefold(synthetic.scaled_out(s, rows=3000, features=12, labels=3, silos=4, seed=5), path, 3)
+    return synthetic.read_prefold(s, path).groupBy("fold", "part").agg(F.count(F.lit(1)).alias("n"))
+
+
+@query("s04_npz_split", f"WITH {fx.FIXTURE_SQL['b']}, k AS (SELECT row_id, split, row_number() OVER (PARTITION BY split ORDER BY {HASH}, row_id) r, count(*) OVER (PARTITION BY split) n FROM b) SELECT row_id, CASE WHEN split = 'val' THEN 'test' WHEN r <= floor(n * 0.25) THEN 'val' ELSE 'train' END split FROM k")
+def s04(s, d):
+    b = fx.orders_by_nation(s, d)
+    return partition.train_val_test(b.filter("split = 'train'").drop("split"), b.filter("split = 'val'").drop("split")).select("row_id", "split")
+
+
+@query("g19_stratified_folds", f"""WITH {fx.FIXTURE_SQL['a2']}, c AS (SELECT l, sum(v) n FROM (SELECT unnest(range(0, len(y))) l, unnest(y) v FROM a2) GROUP BY l),
+o AS (SELECT row_id, min(n * 1000 + c.l) k FROM (SELECT row_id, unnest(range(0, len(y))) l, unnest(y) v FROM a2) t JOIN c ON c.l = t.l WHERE v > 0 GROUP BY row_id),
+g AS (SELECT row_id, coalesce(CAST(k % 1000 AS INT), -1) stratum FROM a2 LEFT JOIN o USING (row_id)) SELECT row_id, stratum, CAST((row_number() OVER (PARTITION BY stratum ORDER BY {HASH}, row_id) - 1) % 5 AS INT) fold FROM g""")
+def g19(s, d):
+    return partition.stratified_folds(fx.vectors_multi(s, d), 5).select("row_id", "stratum", "fold")
+
+
+@query("g41_batch_summary", A2 + "SELECT m.mask_id, silo, CAST(sum(tp + fn) AS BIGINT) positives FROM ctr, (SELECT unnest([0, 1, 2]) mask_id) m GROUP BY ALL")
 def g41(s, d):
     c = knn.batch_counters(fx.vectors_multi(s, d), [SEL16, [1, 2], []])
-    return c.groupBy("mask_id", "silo").agg(F.sum(F.col("tp") + F.col("fn")).alias("positives")).select("silo", "positives").distinct()
+    return c.groupBy("mask_id", "silo").agg(F.sum(F.col("tp") + F.col("fn")).alias("positives"))
 
 
 @query("r04_sliding_volume", f"WITH {literal_sql('history')} SELECT gen, round(avg(hv) OVER (ORDER BY gen ROWS BETWEEN 4 PRECEDING AND CURRENT ROW), 6) mean_hv FROM history")
 def r04(s, d):
-    return literal(s, "history").select("gen", F.round(F.avg("hv").over(W.orderBy("gen").rowsBetween(-4, 0)), 6).alias("mean_hv"))
+    return literal(s, "history", d).select("gen", F.round(F.avg("hv").over(W.orderBy("gen").rowsBetween(-4, 0)), 6).alias("mean_hv"))
 
 
 @query("r05_history_append", f"WITH {literal_sql('history')} SELECT gen, hv FROM history WHERE gen < 6")
 def r05(s, d):
     path = fresh_path(s, "history")
     for a in (0, 3):
-        arrays.append_history(s, path, [{"gen": g, "hv": hv, "n_nd": 1, "evals": 8, "stagnant": 0} for g, hv in literal(s, "history").filter(f"gen >= {a} AND gen < {a + 3}").collect()])
+        arrays.append_history(s, path, [{"gen": g, "hv": hv, "n_nd": 1, "evals": 8, "stagnant": 0} for g, hv in literal(s, "history", d).filter(f"gen >= {a} AND gen < {a + 3}").collect()])
     return s.read.schema("gen int, hv double, n_nd int, evals int, stagnant int").json(path).select("gen", "hv")
 
 
 @query("g24_deadline_replay", f"WITH {literal_sql('silos')}, q AS (SELECT round, quantile_cont(latency, 0.6) m FROM silos GROUP BY round) SELECT round, max(latency) critical_path, count(*) n FROM silos JOIN q USING (round) WHERE latency <= m GROUP BY round")
 def g24(s, d):
-    return scheduling.deadline(literal(s, "silos"), 0.6).groupBy("round").agg(F.max("latency").alias("critical_path"), F.count(F.lit(1)).alias("n"))
+    return scheduling.deadline(literal(s, "silos", d), 0.6).groupBy("round").agg(F.max("latency").alias("critical_path"), F.count(F.lit(1)).alias("n"))
 
 
 @query("a38_release_error")
 def a38_error(s, d):
-    return secure.release_error(literal(s, "parts"), [0.5, 8.0, 1000.0], 20, 1e-5, 3)
+    return secure.release_error(literal(s, "parts", d), [0.5, 8.0, 1000.0], 20, 1e-5, 3)
 
 
 @query("g29_classifiers", A2 + "SELECT 'knn' classifier, round(avg(f1), 6) macro FROM lf")
@@ -268,7 +305,19 @@ def g28(s, d):
 
 @query("g43_interaction")
 def g43(s, d):
-    data = synthetic.generate(600, 24, 4, 3, informative=6, interaction=0.5, seed=2)
-    rows = synthetic.as_rows(s, data)
-    masks = [list(map(int, data["informative"])), list(range(24))]
-    return metrics.macro_f1(knn.batch_counters(rows, masks), ["mask_id"])
+    data = synthetic.generate(1200, 24, 4, 3, informative=6, interaction=0.5, seed=2)
+    rows = synthetic.as_rows(s, data).withColumn("test", F.pmod(F.xxhash64("row_id"), F.lit(4)) == 0)
+    return runner.interaction_check(rows.filter("NOT test").drop("test"), rows.filter("test").drop("test"), 24, list(map(int, data["informative"])), Settings({"search": {"population": 12, "generations": 4}}))
+
+
+@query("g28_ablation")
+def g28_arms(s, d):
+    """The arms of the search, and silos by label skew of three strengths."""
+    out = None
+    for alpha in (0.1, 1.0, 10.0):
+        data = synthetic.generate(900, 20, 4, 4, informative=5, alpha=alpha, seed=4)
+        rows = synthetic.as_rows(s, data).withColumn("test", F.pmod(F.xxhash64("row_id"), F.lit(4)) == 0)
+        t = runner.compared(rows.filter("NOT test").drop("test"), rows.filter("test").drop("test"), 20, ["base", "stable", "portfolio"], [1], Settings({"search": {"population": 8, "generations": 3}}))
+        t = t.withColumn("alpha", F.lit(alpha))
+        out = t if out is None else out.unionByName(t)
+    return out

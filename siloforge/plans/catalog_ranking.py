@@ -25,47 +25,49 @@ def w01(s, d):
 @query("w02_crowding", f"""WITH {literal_sql('solutions')}, g AS (SELECT i, {', '.join(f"max({o}) OVER () - min({o}) OVER () s{o}, lead({o}) OVER (ORDER BY {o}, i) - lag({o}) OVER (ORDER BY {o}, i) g{o}" for o in ('o0', 'o1', 'o2'))} FROM solutions)
 SELECT i, round(go0 / so0 + go1 / so1 + go2 / so2, 6) distance FROM g""")
 def w02(s, d):
-    return pareto.crowding(literal(s, "solutions"), ["o0", "o1", "o2"]).select("i", r6("distance"))
+    return pareto.crowding(literal(s, "solutions", d), ["o0", "o1", "o2"]).select("i", r6("distance"))
 
 
 @query("w03_front_rank", f"""WITH RECURSIVE {literal_sql('solutions')}, e AS (SELECT a.i a, b.i b FROM solutions a JOIN solutions b ON a.o0 <= b.o0 AND a.o1 <= b.o1 AND (a.o0 < b.o0 OR a.o1 < b.o1)),
 p AS (SELECT i, 0 depth FROM solutions UNION SELECT e.b, depth + 1 FROM p JOIN e ON p.i = e.a) SELECT i, CAST(max(depth) AS INT) rank FROM p GROUP BY i""")
 def w03(s, d):
-    return pareto.front_ranks(literal(s, "solutions"), ["o0", "o1"])
+    return pareto.front_ranks(literal(s, "solutions", d), ["o0", "o1"])
 
 
-@query("w04_blended_order")
+@query("w04_blended_order", f"""WITH {literal_sql('solutions')}, {literal_sql('risks')}, g AS (SELECT i, {', '.join(f"max({o}) OVER () - min({o}) OVER () s{o}, lead({o}) OVER (ORDER BY {o}, i) - lag({o}) OVER (ORDER BY {o}, i) g{o}" for o in ('o0', 'o1', 'o2'))} FROM solutions),
+c AS (SELECT i, go0 / so0 + go1 / so1 + go2 / so2 distance, risk FROM g JOIN risks USING (i)), m AS (SELECT max(distance) - min(distance) span, avg(risk) mean, stddev_pop(risk) sd FROM c),
+k AS (SELECT i, distance, round(distance - 0.3::DOUBLE * span * (risk - mean) / sd, 9) key FROM c, m) SELECT i, CAST(row_number() OVER (ORDER BY distance IS NOT NULL, key DESC NULLS LAST, i) AS INT) place FROM k""")
 def w04(s, d):
-    sol = literal(s, "solutions")
-    return pareto.blended_order(pareto.crowding(sol, ["o0", "o1", "o2"]), literal(s, "risks"), 0.3)
+    sol = literal(s, "solutions", d)
+    return pareto.blended_order(pareto.crowding(sol, ["o0", "o1", "o2"]), literal(s, "risks", d), 0.3)
 
 
 @query("w05_quorum", f"WITH {literal_sql('silos')}, {QUORUM} SELECT round, silo, size FROM qu")
 def w05(s, d):
-    return scheduling.quorum(literal(s, "silos"), 0.5).select("round", "silo", "size")
+    return scheduling.quorum(literal(s, "silos", d), 0.5).select("round", "silo", "size")
 
 
 @query("w06_deadline", f"WITH {literal_sql('silos')}, q AS (SELECT round, quantile_cont(latency, 0.6) m FROM silos GROUP BY round) SELECT round, silo FROM silos JOIN q USING (round) WHERE latency <= m")
 def w06(s, d):
-    return scheduling.deadline(literal(s, "silos"), 0.6).select("round", "silo")
+    return scheduling.deadline(literal(s, "silos", d), 0.6).select("round", "silo")
 
 
 @query("w07_early_stop", f"""WITH {literal_sql('history')}, t AS (SELECT gen, row_number() OVER (ORDER BY gen) n, avg(hv) OVER (ORDER BY gen ROWS BETWEEN 2 PRECEDING AND CURRENT ROW) a, avg(hv) OVER (ORDER BY gen ROWS BETWEEN 5 PRECEDING AND 3 PRECEDING) b FROM history),
 f AS (SELECT gen, CAST(n >= 6 AND (a - b) / greatest(abs(b), 1e-12) < 0.01 AS INT) flat FROM t), r AS (SELECT *, sum(1 - flat) OVER (ORDER BY gen) run FROM f),
 c AS (SELECT gen, sum(flat) OVER (PARTITION BY run ORDER BY gen) stagnant FROM r) SELECT gen, CAST(stagnant AS BIGINT) stagnant, stagnant >= 3 stop FROM c""")
 def w07(s, d):
-    return pareto.early_stop(literal(s, "history"), 3, 0.01, 3)
+    return pareto.early_stop(literal(s, "history", d), 3, 0.01, 3)
 
 
 @query("w08_hv2d", f"""WITH {literal_sql('solutions')}, p AS (SELECT *, coalesce(min(o1) OVER (ORDER BY o0, o1 ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 1.0) b FROM solutions WHERE o0 < 1 AND o1 < 1) SELECT round(sum((1 - o0) * greatest(b - o1, 0)), 6) hv FROM p""")
 def w08(s, d):
-    return pareto.hypervolume2(literal(s, "solutions"), "o0", "o1", (1.0, 1.0)).select(r6("hv"))
+    return pareto.hypervolume2(literal(s, "solutions", d), "o0", "o1", (1.0, 1.0)).select(r6("hv"))
 
 
 @query("w09_hv3d", f"""WITH {literal_sql('solutions')}, p AS (SELECT DISTINCT o0, o1, o2 FROM solutions WHERE o0 < 1 AND o1 < 1 AND o2 < 1), c AS (SELECT DISTINCT o0 x FROM p), w AS (SELECT x, lead(x, 1, 1.0) OVER (ORDER BY x) - x width FROM c),
 j AS (SELECT x, width, o1, o2, coalesce(min(o2) OVER (PARTITION BY x ORDER BY o1, o2 ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 1.0) b FROM w JOIN p ON o0 <= x) SELECT round(sum(width * (1 - o1) * greatest(b - o2, 0)), 6) hv FROM j""")
 def w09(s, d):
-    return pareto.hypervolume3(literal(s, "solutions"), "o0", "o1", "o2", (1.0, 1.0, 1.0)).select(r6("hv"))
+    return pareto.hypervolume3(literal(s, "solutions", d), "o0", "o1", "o2", (1.0, 1.0, 1.0)).select(r6("hv"))
 
 
 TOPK = ANOVA + ", k AS (SELECT silo, j, row_number() OVER (PARTITION BY silo ORDER BY round(rel, 9) DESC, j) r FROM f)"
@@ -85,17 +87,17 @@ def w11(s, d):
 k AS (SELECT *, rank() OVER (PARTITION BY dataset ORDER BY round(abs(d), 12)) + (count(*) OVER (PARTITION BY dataset, round(abs(d), 12)) - 1) / 2 r FROM p WHERE round(d, 12) <> 0)
 SELECT dataset, count(*) n, CAST(coalesce(sum(r) FILTER (WHERE d > 0), 0) AS DOUBLE) w_plus, CAST(coalesce(sum(r) FILTER (WHERE d < 0), 0) AS DOUBLE) w_minus FROM k GROUP BY dataset""")
 def w12(s, d):
-    return stats.wilcoxon(stats.paired(literal(s, "runs"), "aware", "base"))
+    return stats.wilcoxon(stats.paired(literal(s, "runs", d), "aware", "base"))
 
 
 @query("w12_wilcoxon_p")
 def w12b(s, d):
-    return stats.wilcoxon_p(stats.paired(literal(s, "runs"), "aware", "base"))
+    return stats.wilcoxon_p(stats.paired(literal(s, "runs", d), "aware", "base"))
 
 
 @query("w13_holm", f"WITH {literal_sql('tests')}, s AS (SELECT *, (count(*) OVER (PARTITION BY family) - row_number() OVER (PARTITION BY family ORDER BY p, test) + 1) * p step FROM tests) SELECT family, test, p, round(least(1.0, max(step) OVER (PARTITION BY family ORDER BY p, test)), 6) adjusted FROM s")
 def w13(s, d):
-    return stats.holm(literal(s, "tests")).select("family", "test", "p", r6("adjusted"))
+    return stats.holm(literal(s, "tests", d)).select("family", "test", "p", r6("adjusted"))
 
 
 GRID = [round(0.05 * i, 2) for i in range(1, 20)]
@@ -110,13 +112,13 @@ def w14(s, d):
 
 @query("w15_tiers", f"WITH {literal_sql('silos')}, s AS (SELECT DISTINCT silo FROM silos) SELECT silo, ['cloud', 'server', 'edge'][CAST((row_number() OVER (ORDER BY silo) - 1) % 3 + 1 AS INT)] tier FROM s")
 def w15(s, d):
-    return scheduling.tiers(literal(s, "silos").select("silo").distinct(), ["cloud", "server", "edge"])
+    return scheduling.tiers(literal(s, "silos", d).select("silo").distinct(), ["cloud", "server", "edge"])
 
 
 @query("w16_fixed_quorum", f"""WITH {literal_sql('replies')}, k AS (SELECT *, row_number() OVER (PARTITION BY round ORDER BY took, silo) r FROM replies WHERE took IS NOT NULL), t AS (SELECT round, count(*) n, max(took) FILTER (WHERE r = 2) q, max(took) f FROM k GROUP BY round)
 SELECT round(avg(q), 6) mean_quorum, round(stddev_samp(q), 6) sd_quorum, round(avg(f), 6) mean_full, round(avg(f / q), 6) speedup FROM t WHERE n = 3""")
 def w16(s, d):
-    t = scheduling.measured_rounds(literal(s, "replies"), 3, 2)
+    t = scheduling.measured_rounds(literal(s, "replies", d), 3, 2)
     return t.select(*(r6(c) for c in t.columns))
 
 
@@ -148,18 +150,18 @@ def t03(s, d):
 
 @query("t04_val_best", CAPPED + " SELECT i, o0, selected FROM k ORDER BY o0, i LIMIT 1")
 def t04(s, d):
-    f = pareto.capped_front(pareto.front(literal(s, "solutions"), ["o0", "o1"]), 6)
+    f = pareto.capped_front(pareto.front(literal(s, "solutions", d), ["o0", "o1"]), 6)
     return f.orderBy("o0", "i").limit(1).select("i", "o0", "selected")
 
 
 @query("t05_budget_best", BUDGET + " SELECT budget, i, o0, selected FROM j WHERE r = 1")
 def t05(s, d):
-    return pareto.best_per_budget(literal(s, "solutions"), literal(s, "budgets"))
+    return pareto.best_per_budget(literal(s, "solutions", d), literal(s, "budgets", d))
 
 
 @query("t07_sorted_silos", f"WITH {literal_sql('parts')} SELECT array_to_string(list_sort(list(DISTINCT silo)), ',') silos FROM parts")
 def t07(s, d):
-    return literal(s, "parts").agg(F.array_join(F.array_sort(F.collect_set("silo")), ",").alias("silos"))
+    return literal(s, "parts", d).agg(F.array_join(F.array_sort(F.collect_set("silo")), ",").alias("silos"))
 
 
 @query("t08_greedy_mask")
@@ -201,14 +203,14 @@ def u02(s, d):
 
 @query("u03_common_seeds", f"WITH {literal_sql('runs')} SELECT dataset, seed FROM runs WHERE method = 'aware' INTERSECT SELECT dataset, seed FROM runs WHERE method = 'base' INTERSECT SELECT dataset, seed FROM runs WHERE method = 'union'")
 def u03(s, d):
-    r = literal(s, "runs")
+    r = literal(s, "runs", d)
     a, b, c = (r.filter(F.col("method") == m).select("dataset", "seed") for m in ("aware", "base", "union"))
     return a.intersect(b).intersect(c)
 
 
 @query("u06_dedupe", f"WITH {literal_sql('masks')}, k AS (SELECT DISTINCT array_to_string(list_sort(string_split(sel, ',')), ',') sel FROM masks WHERE sel <> '') SELECT sel FROM k WHERE sel NOT IN ('0')")
 def u06(s, d):
-    m = literal(s, "masks").filter("sel <> ''").select(F.array_join(F.array_sort(F.split("sel", ",")), ",").alias("sel")).distinct()
+    m = literal(s, "masks", d).filter("sel <> ''").select(F.array_join(F.array_sort(F.split("sel", ",")), ",").alias("sel")).distinct()
     return m.join(s.createDataFrame([("0",)], "sel string"), "sel", "left_anti")
 
 
@@ -244,7 +246,7 @@ def f12(s, d):
 
 @query("f13_latency", f"WITH {literal_sql('silos')}, t AS (SELECT *, ['cloud', 'server', 'edge'][silo % 3 + 1] tier FROM silos) SELECT round, silo, round(0.0::DOUBLE + CASE tier WHEN 'cloud' THEN 1.0 WHEN 'server' THEN 2.0 ELSE 8.0 END * 0.002 * size + 0.05, 6) took FROM t")
 def f13(s, d):
-    t = literal(s, "silos").withColumn("tier", F.element_at(F.array(F.lit("cloud"), F.lit("server"), F.lit("edge")), F.col("silo") % 3 + 1))
+    t = literal(s, "silos", d).withColumn("tier", F.element_at(F.array(F.lit("cloud"), F.lit("server"), F.lit("edge")), F.col("silo") % 3 + 1))
     sec = scheduling.latency(F.col("size"), F.col("tier"), {"cloud": 1.0, "server": 2.0, "edge": 8.0}, 0.002, 0.05)
     return t.select("round", "silo", F.round(sec, 6).alias("took"))
 
@@ -282,17 +284,17 @@ def g18(s, d):
     return partition.rebalanced(skewed, 3, 40)
 
 
-@query("g24_replay", SUBSET + ", " + QUORUM + ", " + f"""fu AS ({F1SQL.format(join='')}), qs AS ({F1SQL.format(join='SEMI JOIN qu USING (round, silo)')}), st AS (SELECT round, max(latency) slow, count(*) m FROM qu GROUP BY round), n AS (SELECT round, count(*) n FROM silos GROUP BY round)
+@query("g24_replay", SUBSET + ", " + QUORUM + ", " + f"""fu AS ({F1SQL.format(join='SEMI JOIN silos USING (round, silo)')}), qs AS ({F1SQL.format(join='SEMI JOIN qu USING (round, silo)')}), st AS (SELECT round, max(latency) slow, count(*) m FROM qu GROUP BY round), n AS (SELECT round, count(*) n FROM silos GROUP BY round)
 SELECT 'quorum' policy, round(avg(abs(qs.macro - fu.macro)), 6) mae, round(avg(m / n), 6) participation, round(sum(slow), 6) critical_path FROM qs JOIN fu USING (round) JOIN st USING (round) JOIN n USING (round)""")
 def g24(s, d):
-    silos = literal(s, "silos")
-    t = scheduling.replay(round_counters(s), silos, {"quorum": scheduling.quorum(silos, 0.5)})
+    silos = literal(s, "silos", d)
+    t = scheduling.replay(round_counters(s, d), silos, {"quorum": scheduling.quorum(silos, 0.5)})
     return t.select("policy", r6("mae"), r6("participation"), r6("critical_path"))
 
 
 @query("g25_uniform_policy", f"WITH {literal_sql('silos')}, q AS (SELECT round, silo, coalesce(sum(size) OVER (PARTITION BY round ORDER BY (((silo * 31 + round) % 1000003) * 2654435761 + 12345) % 4294967296, silo ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) b, sum(size) OVER (PARTITION BY round) a FROM silos) SELECT round, silo FROM q WHERE b < 0.7 * a")
 def g25(s, d):
-    return scheduling.quorum(literal(s, "silos"), 0.7, "uniform").select("round", "silo")
+    return scheduling.quorum(literal(s, "silos", d), 0.7, "uniform").select("round", "silo")
 
 
 @query("g26_centralized", A2.replace("CAST(vec_id % 8 AS INT) silo", "0 silo") + "SELECT CAST(l AS INT) l, tp, fp, fn FROM tot")
@@ -310,24 +312,24 @@ def g27(s, d):
 
 @query("g30_summary_table", f"WITH {literal_sql('runs')} SELECT dataset, method, count(*) n, round(avg(value), 6) mean, round(stddev_pop(value), 6) std, min(value) least, round(median(value), 6) median, max(value) largest FROM runs GROUP BY ROLLUP (dataset, method)")
 def g30(s, d):
-    t = stats.summary(literal(s, "runs"), rollup=True)
+    t = stats.summary(literal(s, "runs", d), rollup=True)
     return t.select("dataset", "method", "n", r6("mean"), r6("std"), "least", r6("median"), "largest")
 
 
 @query("g30_report_pivot", f"WITH {literal_sql('runs')} SELECT dataset, {', '.join(f'round(avg(value) FILTER (WHERE method = {chr(39)}{m}{chr(39)}), 6) {m}' for m in ('aware', 'base'))} FROM runs GROUP BY dataset")
 def g30b(s, d):
-    return stats.report(literal(s, "runs"), ["aware", "base"]).select("dataset", r6("aware"), r6("base"))
+    return stats.report(literal(s, "runs", d), ["aware", "base"]).select("dataset", r6("aware"), r6("base"))
 
 
 @query("s11_resume_anti_join", f"WITH {literal_sql('runs')} SELECT d dataset, CAST(s AS INT) seed FROM (SELECT unnest(['ecg', 'icu', 'sense']) d), (SELECT unnest(range(0, 9)) s) WHERE NOT EXISTS (SELECT 1 FROM runs WHERE dataset = d AND seed = s AND method = 'base')")
 def s11(s, d):
     grid = s.createDataFrame([(x, i) for x in ("ecg", "icu", "sense") for i in range(9)], "dataset string, seed int")
-    return stats.to_do(grid, literal(s, "runs").filter("method = 'base'"), ["dataset", "seed"])
+    return stats.to_do(grid, literal(s, "runs", d).filter("method = 'base'"), ["dataset", "seed"])
 
 
 @query("g01_search")
 def g01(s, d):
-    out = search.run(fx.vectors_multi(s, d), n_features=59, population=8, generations=3, seed=5)
+    out = search.run(fx.vectors_multi(s, d), n_features=59, seed=5)
     return s.createDataFrame(out.front_rows(), "i int, o0 double, o1 double, selected int")
 
 

@@ -1,47 +1,56 @@
-"""Small hand-written tables, the same for Spark and for SQL."""
+"""Tables of solutions, silos, runs and the like, the same for Spark and for SQL: made from the rows of the standard tables, or written by hand where they are parameters."""
 
 from __future__ import annotations
 
+import re
+
 from pyspark.sql import DataFrame, SparkSession
 
+from siloforge.session import table
+
 TABLES: dict[str, tuple[str, list[tuple]]] = {
-    "solutions": (
-        "i int, o0 double, o1 double, o2 double, selected int",
-        [(0, 0.2, 0.7, 0.1, 4), (1, 0.3, 0.5, 0.2, 6), (2, 0.5, 0.5, 0.2, 3), (3, 0.7, 0.2, 0.4, 9), (4, 0.3, 0.5, 0.2, 6), (5, 0.9, 0.9, 0.9, 2), (6, 1.0, 0.1, 0.3, 12), (7, 0.6, 0.4, 0.05, 5), (8, 0.25, 0.65, 0.5, 8)],
-    ),
-    "risks": ("i int, risk double", [(i, r) for i, r in enumerate([0.1, 0.4, 0.2, 0.9, 0.3, 0.5, 0.0, 0.7, 0.6])]),
     "budgets": ("budget int", [(b,) for b in (1, 2, 4, 6, 8, 12)]),
-    "history": ("gen int, hv double", [(g, round(0.5 - 0.4 / (g + 1) + (0.02 if g == 18 else 0.0), 6) if g < 15 or g == 18 else 0.473333) for g in range(25)]),
-    "silos": (
-        "round int, silo int, size int, latency double",
-        [(r, s, size, lat * (1 + 0.25 * ((r * s) % 3))) for r in range(3) for s, (size, lat) in enumerate([(100, 1.0), (200, 1.5), (300, 6.0), (100, 0.5), (200, 4.0), (100, 2.5)])],
-    ),
-    "replies": ("round int, silo int, took double", [(r, s, None if (r, s) == (2, 1) else 0.03 * (1 + (r * 7 + s * 13) % 5) + 0.2 * (s == 2)) for r in range(8) for s in range(3)]),
-    "parts": (
-        "silo int, l int, tp bigint, fp bigint, fn bigint",
-        [(s, k, (7 * s + 3 * k) % 11 + 1, (5 * s + k) % 4, (s + 2 * k) % 5) for s in range(5) for k in range(3)],
-    ),
-    "rounds": ("clients int, n_selected int, n_features int, n_labels int", [(8, 15, 100, 12), (12, 400, 787, 20), (16, 3, 225, 5), (1, 0, 64, 10)]),
-    "tests": ("family string, test string, p double", [("f1", "a", 0.01), ("f1", "b", 0.04), ("f1", "c", 0.03), ("f1", "d", 0.03), ("f2", "a", 0.5), ("f2", "b", 0.9), ("f2", "c", 0.001)]),
-    "runs": (
-        "dataset string, method string, seed int, value double",
-        [(d, m, s, round(0.4 + 0.01 * ((i * 7 + j * 3 + s * 5) % 9) + (0.02 if m == "aware" else 0.0), 4)) for i, d in enumerate(["ecg", "icu"]) for j, m in enumerate(["aware", "base", "union"]) for s in range(8) if (d, m, s) != ("icu", "base", 3)],
-    ),
     "packed": ("i int, bytes array<int>, n_features int", [(0, [160, 1], 16), (1, [255, 128], 9), (2, [0, 0], 12)]),
-    "duplicates": ("row_id int, j int, x double", [(0, 1, 1.0), (0, 1, 2.5), (0, 3, -1.0), (1, 0, 4.0), (1, 0, -4.0), (2, 2, 0.5)]),
-    "masks": ("mask_id int, sel string", [(0, "1,5,9"), (1, ""), (2, "5,9,1"), (3, "1,5,9"), (4, "0")]),
     "manifest": ("shard string, clients string", [("demo", '[{"client_id": 0, "n_train": 119, "n_val": 39}, {"client_id": 1, "n_train": 150, "n_val": 50}]')]),
-    "numbers": ("silo int, x double", [(0, 0.125), (1, -2.5), (2, 3.75), (3, 0.1), (4, 1e-7)]),
+}
+
+#: SQL that Spark and DuckDB read alike, over whole standard tables. Numbers are hashes of keys, counts and whole-number sums, so both get the same.
+DERIVED = {
+    "solutions": """SELECT CAST(s_suppkey AS INT) AS i, CAST(CAST(s_suppkey AS BIGINT) * 7919 % 97 AS DOUBLE) / 97 AS o0, CAST(CAST(s_suppkey AS BIGINT) * 104729 % 89 AS DOUBLE) / 89 AS o1,
+  CAST(CAST(s_suppkey AS BIGINT) * 1299709 % 83 AS DOUBLE) / 83 AS o2, CAST(s_suppkey * 31 % 17 + 1 AS INT) AS selected FROM {supplier}""",
+    "risks": "SELECT CAST(s_suppkey AS INT) AS i, CAST(s_suppkey * 13 % 11 AS DOUBLE) / 10 AS risk FROM {supplier}",
+    "history": """SELECT CAST(s_suppkey AS INT) AS gen, CASE WHEN s_suppkey < 15 OR s_suppkey % 18 = 0 THEN CAST(0.5 AS DOUBLE) - CAST(0.4 AS DOUBLE) / (CAST(s_suppkey AS DOUBLE) + 1) ELSE CAST(0.473333 AS DOUBLE) END AS hv
+  FROM {supplier}""",
+    "silos": """SELECT round, silo, CAST(count(*) AS INT) AS size, CAST((silo * 7 + round * 3) % 11 + 1 AS DOUBLE) / 2 AS latency
+  FROM (SELECT CAST(c_custkey % 3 AS INT) AS round, CAST(c_nationkey AS INT) AS silo FROM {customer}) AS t GROUP BY round, silo""",
+    "replies": """SELECT round, silo, CASE WHEN round = 2 AND silo = 1 THEN NULL ELSE CAST(3 * (1 + (round * 7 + silo * 13) % 5) + count(*) % 3 + CASE WHEN silo = 2 THEN 20 ELSE 0 END AS DOUBLE) / 100 END AS took
+  FROM (SELECT CAST(c_custkey % 8 AS INT) AS round, CAST(c_nationkey % 3 AS INT) AS silo FROM {customer}) AS t GROUP BY round, silo""",
+    "parts": """SELECT silo, l, CAST(sum(CASE WHEN f = 'R' THEN 1 ELSE 0 END) AS BIGINT) AS tp, CAST(sum(CASE WHEN f = 'A' THEN 1 ELSE 0 END) AS BIGINT) AS fp, CAST(sum(CASE WHEN f = 'N' AND s = 'F' THEN 1 ELSE 0 END) AS BIGINT) AS fn
+  FROM (SELECT CAST(l_suppkey % 25 AS INT) AS silo, CAST(l_linenumber % 3 AS INT) AS l, l_returnflag AS f, l_linestatus AS s FROM {lineitem}) AS t GROUP BY silo, l""",
+    "rounds": """SELECT CAST(s_suppkey % 16 + 1 AS INT) AS clients, CAST(s_suppkey * 13 % 400 + 1 AS INT) AS n_selected, CAST(s_suppkey * 29 % 787 + 400 AS INT) AS n_features, CAST(s_suppkey % 20 + 1 AS INT) AS n_labels
+  FROM {supplier}""",
+    "tests": "SELECT CASE WHEN s_suppkey % 2 = 0 THEN 'f1' ELSE 'f2' END AS family, 't' || s_suppkey AS test, CAST(s_suppkey * 37 % 101 AS DOUBLE) / 1010 AS p FROM {supplier}",
+    "runs": """SELECT dataset, method, seed, CAST(sum(v) AS DOUBLE) / CAST(count(*) AS DOUBLE) / 1000 AS value
+  FROM (SELECT CASE WHEN o_custkey % 2 = 0 THEN 'ecg' ELSE 'icu' END AS dataset, CASE o_orderkey % 3 WHEN 0 THEN 'aware' WHEN 1 THEN 'base' ELSE 'union' END AS method, CAST(o_orderkey % 8 AS INT) AS seed, CAST(o_custkey % 1000 AS BIGINT) AS v
+    FROM {orders}) AS t GROUP BY dataset, method, seed HAVING NOT (dataset = 'icu' AND method = 'base' AND seed = 4)""",
+    "duplicates": "SELECT CAST(l_orderkey AS BIGINT) AS row_id, CAST(l_linenumber % 3 AS INT) AS j, CAST(l_quantity AS DOUBLE) AS x FROM {lineitem}",
+    "masks": "SELECT CAST(p_partkey AS INT) AS mask_id, CASE WHEN p_partkey % 11 = 0 THEN '' ELSE (p_partkey % 5) || ',' || (p_partkey * 7 % 13 + 5) END AS sel FROM {part}",
+    "numbers": "SELECT CAST(s_suppkey AS INT) AS silo, CAST(s_suppkey * 7919 % 2003 AS DOUBLE) / 60 - 15 AS x FROM {supplier}",
 }
 
 
-def literal(spark: SparkSession, name: str) -> DataFrame:
+def literal(spark: SparkSession, name: str, sf_dir: str) -> DataFrame:
+    if name in DERIVED:
+        used = set(re.findall(r"\{(\w+)\}", DERIVED[name]))
+        return spark.sql(DERIVED[name], **{t: table(spark, sf_dir, t) for t in used})
     schema, rows = TABLES[name]
     return spark.createDataFrame(rows, schema)
 
 
 def literal_sql(name: str) -> str:
     """The same table as a CTE."""
+    if name in DERIVED:
+        return f"{name} AS ({re.sub(r'[{}]', '', DERIVED[name])})"
 
     def value(x: object) -> str:
         if x is None:

@@ -9,7 +9,7 @@ import uuid
 
 from pyspark.sql import DataFrame, SparkSession
 
-ARROW_BYTES = 16 << 20
+ARROW_BYTES = 2 << 20
 
 
 def build_session(cpus: int | str = "*", shuffle_partitions: int = 8, driver_memory: str = "12g") -> SparkSession:
@@ -28,7 +28,7 @@ def build_session(cpus: int | str = "*", shuffle_partitions: int = 8, driver_mem
 
 
 def arrow_limits(spark: SparkSession) -> None:
-    """Bounds Arrow batches by bytes where the session doesn't, so that whole texts fit a Python worker. Nothing else of the session is changed."""
+    """Bounds Arrow batches by bytes where the session doesn't, or not as tightly, so that whole texts fit a Python worker. Nothing else of the session is changed."""
     key = "spark.sql.execution.arrow.maxBytesPerBatch"
     known = (spark.conf.get(key, None) or "").rstrip("b")
     if known.lstrip("-").isdigit() and not 0 < int(known) <= ARROW_BYTES:

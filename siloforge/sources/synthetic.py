@@ -55,3 +55,14 @@ def scaled_out(spark: SparkSession, rows: int, features: int, labels: int, silos
     t = spark.range(rows).withColumn("x", F.transform(F.sequence(F.lit(0), F.lit(features - 1)), normal))
     y = [F.when(sum((F.col("x")[j] * float(v) for j, v in enumerate(row)), F.lit(0.0)) > 1.0, 1).otherwise(0) for row in w]
     return t.select(F.col("id").alias("row_id"), F.pmod(F.xxhash64(F.lit(seed + 7), "id"), F.lit(silos)).cast("int").alias("silo"), F.when(F.pmod(F.xxhash64(F.lit(seed + 8), "id"), F.lit(4)) == 0, "val").otherwise("train").alias("split"), "x", F.array(*y).alias("y"))
+
+
+def write_prefold(rows: DataFrame, path: str, folds: int) -> None:
+    """Folds of a federation: of fold i the rows with hash i are the test, the others are for training and validation. Written as one folder a fold and part."""
+    own = F.pmod(F.xxhash64("row_id"), F.lit(folds)).cast("int")
+    t = rows.withColumn("own", own).withColumn("fold", F.explode(F.sequence(F.lit(0), F.lit(folds - 1)))).withColumn("part", F.when(F.col("own") == F.col("fold"), "test").otherwise("trainval"))
+    t.drop("own").write.mode("overwrite").partitionBy("fold", "part").parquet(path)
+
+
+def read_prefold(spark: SparkSession, path: str) -> DataFrame:
+    return spark.read.parquet(path)

@@ -15,7 +15,7 @@ from pyspark.sql import functions as F
 from siloforge import session
 from siloforge.functions import columns as C
 from siloforge.operators import knn, metrics, pareto, partition, relevance, secure, stats
-from siloforge.plans import config, fixtures, search
+from siloforge.plans import config, fixtures, runner, search
 from siloforge.plans.literals import literal
 from siloforge.sources import arrays, synthetic
 from siloforge.streaming import rounds
@@ -121,7 +121,7 @@ def test_shards_counters_and_reports(spark, tmp_path, sf_dir):
     some = arrays.read_shards(spark, str(tmp_path / "s"), [1, 2])
     assert some.count() == rows.filter("silo in (1, 2)").count()
     assert "PartitionFilters: [isnotnull" in some._jdf.queryExecution().toString() or "silo" in some._jdf.queryExecution().toString()
-    c = literal(spark, "parts")
+    c = literal(spark, "parts", sf_dir)
     arrays.write_counters(c, str(tmp_path / "c"))
     assert sorted(map(tuple, arrays.read_counters(spark, str(tmp_path / "c")).collect())) == sorted(map(tuple, c.collect()))
     grid = spark.createDataFrame([("a", 1, 0.5), ("b", 2, 0.25)], "k string, seed int, v double")
@@ -220,3 +220,75 @@ def test_a_cluster_needs_a_shared_folder():
     sc = SimpleNamespace(getConf=lambda: conf, master="spark://host:7077", _jsc=SimpleNamespace(sc=lambda: SimpleNamespace(getCheckpointDir=lambda: folder)))
     with pytest.raises(RuntimeError, match="spark.checkpoint.dir"):
         session.shared_dir(SimpleNamespace(sparkContext=sc))
+
+
+@pytest.mark.parametrize("metric", ["cosine", "euclidean"])
+@pytest.mark.parametrize("of", ["train", "val"])
+def test_neighbours_over_tiles(spark, sf_dir, metric, of):
+    rows = knn.projected(fixtures.vectors_multi(spark, sf_dir), [0, 3, 7])
+    whole, tiled = (sorted(map(str, knn.neighbours(rows, 4, of, metric, block).collect())) for block in (4096, 9))
+    assert whole == tiled and whole
+    data = {}
+    for r in rows.collect():
+        data.setdefault(r["silo"], {}).setdefault(r["split"], []).append((r["row_id"], np.array(r["x"])))
+    got = {}
+    for r in knn.neighbours(rows, 4, of, metric, 9).orderBy("rank").collect():
+        got.setdefault(r["row_id"], []).append(r["nbr_id"])
+    for parts in data.values():
+        for i, q in parts[of]:
+            near = lambda x: round(float(q @ x / np.linalg.norm(q) / np.linalg.norm(x)) if metric == "cosine" else -float(((q - x) ** 2).sum()), 9)  # noqa: E731, B023
+            assert got[i] == [j for _, j in sorted((-near(x), j) for j, x in parts["train"] if j != i)[:4]]
+
+
+def test_redundancy_is_the_correlation(spark, sf_dir):
+    rows = fixtures.vectors_multi(spark, sf_dir)
+    x = np.array([r["x"] for r in rows.filter("split = 'train'").collect()])
+    want = np.abs(np.corrcoef(x.T))
+    assert all(abs(want[i, j] - r) < 1e-9 for i, j, r in relevance.redundancy(rows).collect())
+
+
+def test_search_moves_and_risk():
+    rng = np.random.default_rng(3)
+    rows = [SimpleNamespace(**{"l": k, "j": j, "r": float((j + k) % 7)}) for k in range(3) for j in range(20)]
+    g = search.Guide([{"l": r.l, "j": r.j, "r": r.r} for r in rows], 20)
+    m = (1, 5, 9)
+    plain = {search.mutated(m, g, rng, 1.0, 0.0) for _ in range(200)}
+    guided = {search.mutated(m, g, rng, 0.0, 1.0) for _ in range(200)}
+    assert all(len(x) == 3 and len({*x} & {*m}) == 2 for x in plain | guided)
+    assert len({next(iter({*m} - {*x})) for x in guided}) == 1 < len({next(iter({*m} - {*x})) for x in plain})
+    assert {len(search.mutated(m, g, rng, 0.0, 0.0)) for _ in range(50)} != {3}
+    pop = [search.Solution((i,), (i / 10, 1 - i / 10), risk=float(i == 4)) for i in range(11)]
+    order = [x.mask[0] for x in search.ranked(pop, 0.5)]
+    assert order[-1] == 4 and set(order[:2]) == {0, 10}
+    assert len(g.population(10, 0.3, rng, 0.0)) == 10 and g.ranked_mask(4) in g.population(10, 0.2, rng, 0.3, filters=True)
+
+
+def test_objectives_of_the_search(spark, sf_dir):
+    rows = fixtures.vectors_multi(spark, sf_dir)
+    names = ("macro_f1", "micro_f1", "ratio", "hamming", "gmean", "hmean")
+    n_val = rows.filter("split = 'val'").count()
+    for mode in ("global", "local_avg"):
+        got = search.Evaluator(rows, 59, objectives=names, mode=mode).evaluated([tuple(range(16)), ()])
+        counters = knn.batch_counters(rows, [list(range(16))]).drop("mask_id", "n_val")
+        want = metrics.objectives(counters, 16, 59, n_val, mode).first()
+        assert got[0].objectives == pytest.approx(tuple(want))
+        assert got[0].risk == pytest.approx(metrics.dispersion(counters).first()["std_macro"])
+        assert got[1].objectives == (1.0, 1.0, 0.0, 1.0, 1.0, 1.0)
+
+
+def test_an_experiment_writes_its_reports(spark, sf_dir, tmp_path):
+    rows = fixtures.vectors_multi(spark, sf_dir)
+    settings = config.Settings({"method": "portfolio", "objectives": ["micro_f1", "ratio"], "search": {"population": 6, "generations": 2}, "log": str(tmp_path / "run.log")})
+    out = runner.run(lambda: (rows.filter("row_id % 5 <> 4"), rows.filter("row_id % 5 = 4"), 59), settings, str(tmp_path / "out"))
+    front = spark.read.json(str(tmp_path / "out/front")).collect()
+    assert len(front) == out["front"] and all(len(r["objectives"]) == 2 for r in front)
+    assert spark.read.json(str(tmp_path / "out/communication")).first()["messages"] == out["communication"]["messages"] > 0
+    assert spark.read.json(str(tmp_path / "out/budgets")).count() == len(out["budgets"]) and spark.read.json(str(tmp_path / "out/summary")).first()["method"] == "portfolio"
+    assert "generation 1" in (tmp_path / "run.log").read_text()
+
+
+def test_stratified_folds_spread_every_label(spark, sf_dir):
+    t = partition.stratified_folds(fixtures.orders_by_nation(spark, sf_dir), 4).persist()
+    for stratum, counts in ((r["stratum"], r["n"]) for r in t.groupBy("stratum", "fold").count().groupBy("stratum").agg(F.collect_list("count").alias("n")).collect()):
+        assert max(counts) - min(counts) <= 1, stratum
+    t.unpersist()
