@@ -53,6 +53,11 @@ def likeness(q: np.ndarray, x: np.ndarray, metric: str) -> np.ndarray:
     return np.round(out, 9)
 
 
+def spread_out(rows: DataFrame, *by: str) -> DataFrame:
+    """Dealt out by these columns in as many partitions as the session shuffles into: their work is far larger than their bytes, by which adaptive execution would put them together."""
+    return rows.repartition(int(rows.sparkSession.conf.get("spark.sql.shuffle.partitions")), *by)
+
+
 def neighbours(rows: DataFrame, k: int = K, of: str = "train", metric: str = "cosine", block: int = BLOCK) -> DataFrame:
     """(silo, row_id, nbr_id, sim, rank, nbr_y): for each row of a split, its nearest training rows of its silo; k is clamped to the other training rows, at least 1.
 
@@ -86,7 +91,7 @@ def neighbours(rows: DataFrame, k: int = K, of: str = "train", metric: str = "co
         n = t.column("n").slice(0, 1).to_pylist() * len(r)
         return pa.table([pa.array([key[0].as_py()] * len(r), t.schema.field("silo").type), pa.array(own[r]), pa.array(given[c]), y, pa.array(s), pa.array(n, pa.int64())], names=["silo", "row_id", "nbr_id", "nbr_y", "sim", "n"])
 
-    near = wide.groupBy("silo", "q", "t").applyInArrow(tile, f"silo {kind}, row_id long, nbr_id long, nbr_y {rows.schema['y'].dataType.simpleString()}, sim double, n long")
+    near = spread_out(wide, "silo", "q", "t").groupBy("silo", "q", "t").applyInArrow(tile, f"silo {kind}, row_id long, nbr_id long, nbr_y {rows.schema['y'].dataType.simpleString()}, sim double, n long")
     rank = F.row_number().over(W.partitionBy("silo", "row_id").orderBy(F.col("sim").desc(), "nbr_id"))
     return near.withColumn("rank", rank).filter(F.col("rank") <= k).filter(F.col("rank") <= F.greatest(F.lit(1), F.col("n") - 1)).drop("n")
 
@@ -208,7 +213,7 @@ def batch_counters(rows: DataFrame, masks: list[list[int]], k: int = K, smooth:
         return pa.table([pa.array(c, ty) for c, ty in zip(cols, types, strict=True)], names=["mask_id", "silo", "l", "tp", "fp", "fn", "n_val"])
 
     kind = rows.schema["silo"].dataType.simpleString()
-    return spread.groupBy("silo", "part").applyInArrow(run, f"mask_id int, silo {kind}, l int, tp long, fp long, fn long, n_val long")
+    return spread_out(spread, "silo", "part").groupBy("silo", "part").applyInArrow(run, f"mask_id int, silo {kind}, l int, tp long, fp long, fn long, n_val long")
 
 
 def fold_of(rows: DataFrame, folds: int) -> DataFrame:

@@ -292,3 +292,39 @@ def test_stratified_folds_spread_every_label(spark, sf_dir):
     for stratum, counts in ((r["stratum"], r["n"]) for r in t.groupBy("stratum", "fold").count().groupBy("stratum").agg(F.collect_list("count").alias("n")).collect()):
         assert max(counts) - min(counts) <= 1, stratum
     t.unpersist()
+
+
+def test_neighbour_information():
+    rng = np.random.default_rng(8)
+    assert relevance.digamma(np.array([1.0, 2.0, 0.5, 10.0])) == pytest.approx([-0.5772156649015329, 0.42278433509846713, -1.9635100260214235, 2.251752589066721], abs=1e-10)
+    for n, classes in ((2, 1), (9, 3), (60, 2)):
+        x, y = rng.normal(size=n).round(n % 4), rng.integers(0, classes, n)
+        digamma = lambda v: float(relevance.digamma(np.array([v]))[0])
+        terms, some = [], [i for i in range(n) if (y == y[i]).sum() > 1]
+        for i in some:
+            mates = [abs(x[i] - x[j]) for j in range(n) if j != i and y[j] == y[i]]
+            k = min(3, len(mates))
+            r = np.nextafter(sorted(mates)[k - 1], 0)
+            terms.append((digamma(k), digamma(len(mates) + 1), digamma(max(1, sum(abs(x[i] - x[j]) <= r for j in some)))))
+        want = max(0.0, digamma(len(some)) + np.mean([a - b - c for a, b, c in terms])) if some else 0.0
+        assert relevance.information(x, y) == pytest.approx(want, abs=1e-9)
+    strong = relevance.information(np.concatenate([rng.normal(size=300), rng.normal(5, 1, 300)]), np.repeat([0, 1], 300))
+    assert strong == pytest.approx(np.log(2), abs=0.06) and relevance.information(rng.normal(size=600), rng.integers(0, 2, 600)) < 0.06
+
+
+def test_a_stopped_sweep_goes_on(spark, tmp_path):
+    grid, ran = [{"method": m, "seed": i} for m in ("a", "b") for i in range(3)], []
+
+    def one(p):
+        if len(ran) == 4:
+            raise KeyboardInterrupt
+        ran.append((p["method"], p["seed"]))
+        return {"value": p["seed"] / 2}
+
+    path, schema = str(tmp_path / "r"), "method string,seed int,value double"
+    with pytest.raises(KeyboardInterrupt):
+        runner.resumed(spark, grid, one, path, schema)
+    ran.clear()
+    assert runner.resumed(spark, grid, one, path, schema) == 2 and ran == [("b", 1), ("b", 2)]
+    assert runner.resumed(spark, grid, one, path, schema) == 0
+    assert runner.known_report(spark, path, schema).count() == 6
