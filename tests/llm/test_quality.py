@@ -47,6 +47,50 @@ def test_scores_do_not_depend_on_neighbours_in_the_batch(spark, documents):
         assert (whole[0][i] == one[0][0]).all() and np.allclose(whole[1][i], one[1][0])
 
 
+def test_votes_against_brute_force(spark, documents):
+    """Frequencies, weights, cosines and votes, one text and one voter at a time; the projection is taken as given."""
+    r = random.Random(5)
+    rows = [(i, good(r) if i % 3 else "BUY!! NOW!! " * r.randrange(1, 9) + good(r)[:30]) for i in range(90)] + [(200, "xy"), (201, None)]
+    docs = documents(rows)
+    labels = {i: int(i % 3 > 0) for i in range(90)}
+    model = quality.fit(docs, spark.createDataFrame([(i, q, 0) for i, q in labels.items()], "doc_id long, quality int, toxic int"))
+    learnt = sorted(i for i in labels if zlib.crc32(str(i).encode()) % 4 != 2)
+
+    def terms(text):
+        b, out = (text or "").encode(), {}
+        for x, y, z in zip(b, b[1:], b[2:], strict=False):
+            h = ((x * 0x9E3779B1 + y * 0x85EBCA6B + z * 0xC2B2AE35) % 2**32) >> 20
+            out[h] = out.get(h, 0) + 1
+        return out
+
+    df = {}
+    for _, t in rows:
+        for h in terms(t):
+            df[h] = df.get(h, 0) + 1
+
+    def vector(text):
+        c, b = terms(text), (text or "").encode()
+        x = np.zeros(quality.TERMS + quality.SHAPES)
+        for h, n in c.items():
+            x[h] = np.log1p(n) * (np.log((len(rows) + 1) / (df[h] + 1)) + 1)
+        x /= max(np.linalg.norm(x), 1e-9)
+        kinds = [sum(map(f, map(chr, b))) / max(len(b), 1) for f in (str.isupper, lambda ch: 32 < ord(ch) < 127 and not ch.isalnum(), str.isdigit)]
+        n = sum(c.values())
+        x[quality.TERMS :] = [1.5 * (1 - np.log1p(len(c)) / np.log1p(max(n, 1))) if n else 0, *kinds]
+        x[quality.TERMS :] /= quality.SHAPE_WEIGHT
+        x = x @ model.projection
+        return x / max(np.linalg.norm(x), 1e-9)
+
+    voters = {i: vector(rows[i][1]) for i in learnt}
+    share = {c: np.mean([labels[i] == c for i in learnt]) / sum(labels[i] == c for i in learnt) for c in (0, 1)}
+    got = {x["doc_id"]: x["score"] for x in quality.scored(docs, model, ["doc_id"]).collect()}
+    for i, t in rows:
+        near = sorted(((float(vector(t) @ v), j) for j, v in voters.items()), reverse=True)[: quality.K]
+        votes = [(max(s, 1e-6) ** quality.SHARPNESS * share[labels[j]], labels[j]) for s, j in near]
+        want = sum(v * q for v, q in votes) / sum(v for v, _ in votes) if terms(t) else 0.0
+        assert got[i] == pytest.approx(want, abs=2e-3), i
+
+
 def test_packed_counts_are_the_counts():
     texts = __import__("pyarrow").array(["aaa" * 70000 + " The thing", "", "ab", "abc ABC"])
     counts, shape = quality.term_counts(*quality.utf8(texts))
