@@ -17,7 +17,9 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from siloforge.session import cut, table
+from siloforge.llm.rows import named
+from siloforge.llm.sharding import numbered
+from siloforge.session import cut, discard, table
 
 WEIGHTS, SHARE, MOST = (3, 1, 2), 1.5, 2
 BITS, LEVELS = 12, 5
@@ -34,50 +36,60 @@ def mix_hash() -> Column:
 def targets(sizes: DataFrame, weights: tuple[int, ...] = WEIGHTS, share: float = SHARE, most: int = MOST) -> DataFrame:
     """sizes: (source, source_size), one row a source. Adds target: the budget's shares by weight, where no source gets over most times its size and the rest of it goes to the others.
 
-    Sources fill up in the order of their size for their weight. The level (budget for a unit of weight) that the first source which doesn't fill up sees holds for all after it.
+    Sources that their share would fill are closed at most times their size, and what they leave is shared anew among the open ones, until none closes any more. A round is one sum over the sources; nothing but the round's sums comes to the driver.
     """
-    cyc = F.element_at(F.array(*map(F.lit, weights)), (F.col("nth") % len(weights) + 1).cast("int")).cast("long")
-    df = sizes.withColumn("nth", F.row_number().over(W.orderBy(F.col("source").asc_nulls_last())) - 1).withColumn("weight", cyc)
-    df = df.withColumn("cap", F.col("source_size") * most)
-    by = W.orderBy((F.col("cap") / F.col("weight")).asc(), "nth")
-    before = by.rowsBetween(W.unboundedPreceding, -1)
-    left = F.sum("source_size").over(W.rowsBetween(W.unboundedPreceding, W.unboundedFollowing)) * share - F.coalesce(F.sum("cap").over(before), F.lit(0))
-    df = df.withColumn("left", left).withColumn("rest", F.sum("weight").over(by.rowsBetween(W.currentRow, W.unboundedFollowing)))
-    df = df.withColumn("full", F.col("cap") * F.col("rest") <= F.col("left") * F.col("weight"))
-    df = df.withColumn("first", F.min(F.when(~F.col("full"), F.row_number().over(by))).over(W.rowsBetween(W.unboundedPreceding, W.unboundedFollowing))).withColumn("at", F.row_number().over(by))
-    level = W.rowsBetween(W.unboundedPreceding, W.unboundedFollowing)
-    df = df.withColumn("l0", F.max(F.when(F.col("at") == F.col("first"), F.col("left"))).over(level)).withColumn("r0", F.max(F.when(F.col("at") == F.col("first"), F.col("rest"))).over(level))
-    open_ = F.col("first").isNotNull() & (F.col("at") >= F.col("first"))
-    return df.select("source", "source_size", F.when(open_, F.col("l0") * F.col("weight") / F.col("r0")).otherwise(F.col("cap").cast("double")).alias("target"))
+    rows, _ = numbered(sizes, [F.col("source").isNull(), F.col("source")])
+    weight = F.element_at(F.array(*map(F.lit, weights)), (F.col("__sf_row") % len(weights) + 1).cast("int")).cast("long")
+    df = rows.select("source", "source_size", weight.alias("weight"), (F.col("source_size") * most).alias("cap"))
+    whole = df.agg(F.sum("source_size"), F.sum("weight")).first()
+    budget, left, rest, closed = (whole[0] or 0) * share, (whole[0] or 0) * share, whole[1] or 0, 0
+    while True:
+        full = F.col("cap") * float(rest) <= F.lit(left) * F.col("weight")
+        n, taken, open_ = df.agg(F.count_if(full), F.sum(F.when(full, F.col("cap"))), F.sum(F.when(~full, F.col("weight")))).first()
+        if n == closed:
+            break
+        closed, left, rest = n, budget - (taken or 0), open_ or 0
+    return df.select("source", "source_size", F.when(full, F.col("cap").cast("double")).otherwise(F.lit(left) * F.col("weight") / float(rest or 1)).alias("target"))
+
+
+def of_source(edges: DataFrame, *columns: Column) -> tuple[DataFrame, Column]:
+    """edges with the source as s and these columns, to broadcast (a row a source), and the condition that joins them."""
+    return edges.select(F.col("source").alias("s"), *columns), F.col("source").eqNullSafe(F.col("s"))
 
 
 def thresholds(sized: DataFrame, goal: DataFrame, bits: int = BITS, levels: int = LEVELS) -> DataFrame:
-    """(source, rounds, threshold): documents with a hash below the threshold are taken rounds + 1 times, the others rounds times."""
+    """(source, rounds, threshold): documents with a hash below the threshold are taken rounds + 1 times, the others rounds times. Each level's boundary buckets are written; from the second level on only the documents of the first level's boundary buckets are read, which are written too."""
     goal = goal.withColumn("rounds", F.when(F.col("source_size") > 0, F.floor(F.col("target") / F.col("source_size"))).otherwise(0).cast("int"))
-    edge = goal.select("source", "rounds", (F.col("target") - F.col("rounds") * F.col("source_size")).alias("budget"), F.lit(0).cast("long").alias("prefix"))
+    edge = goal.select("source", (F.col("target") - F.col("rounds") * F.col("source_size")).alias("budget"))
     inside = sized.select("source", "hash", "size").filter("size > 0")
     for n in range(levels):
         shift = bits * (levels - 1 - n)
-        own = inside.withColumn("bucket", F.shiftright("hash", shift))
+        own = inside
         if n:
-            own = own.join(edge.select(F.col("source").alias("s"), F.col("prefix").alias("p")), F.col("source").eqNullSafe(F.col("s")) & (F.shiftright("hash", shift + bits) == F.col("p")), "left_semi")
-        sums = own.groupBy("source", "bucket").agg(F.sum("size").alias("size"))
-        run = F.sum("size").over(W.partitionBy("source").orderBy("bucket").rowsBetween(W.unboundedPreceding, W.currentRow))
-        sums = sums.withColumn("run", run)
-        e = edge.withColumnRenamed("source", "s")
-        at = sums.join(e, F.col("source").eqNullSafe(F.col("s"))).filter((F.col("run") > F.col("budget")) & (F.col("run") - F.col("size") <= F.col("budget")))
-        edge = at.select("source", "rounds", (F.col("budget") - (F.col("run") - F.col("size"))).alias("budget"), F.col("bucket").alias("prefix"), F.col("size").alias("last"))
+            e, same = of_source(edge, F.col("prefix").alias("p"))
+            own = inside.join(e, same & (F.shiftright("hash", shift + bits) == F.col("p")), "left_semi")
+            if n == 1:
+                own = inside = cut(own, "boundary")
+        sums = own.groupBy("source", F.shiftright("hash", shift).alias("bucket")).agg(F.sum("size").alias("size"))
+        run = F.sum("size").over(W.partitionBy("source").orderBy("bucket").rowsBetween(W.unboundedPreceding, W.currentRow))  # at most 2 ** bits rows a source
+        e, same = of_source(edge, F.col("budget").alias("budget"))
+        at = sums.withColumn("run", run).join(e, same).filter((F.col("run") > F.col("budget")) & (F.col("run") - F.col("size") <= F.col("budget")))
+        edge = cut(at.select("source", (F.col("budget") - (F.col("run") - F.col("size"))).alias("budget"), F.col("bucket").alias("prefix"), F.col("size").alias("last")), "edges")
     whole = F.when(F.col("last") - F.col("budget") < F.col("budget"), F.col("prefix") + 1).otherwise(F.col("prefix"))
-    edge = edge.select(F.col("source").alias("s"), whole.alias("threshold"))
+    e, same = of_source(edge, whole.alias("threshold"))
     # where no bucket crosses the budget, it is the size of the whole source at most: nothing is left to take
-    return goal.join(edge, F.col("source").eqNullSafe(F.col("s")), "left").select("source", "source_size", "target", "rounds", F.coalesce("threshold", F.lit(0).cast("long")).alias("threshold"))
+    return goal.join(e, same, "left").select("source", "source_size", "target", "rounds", F.coalesce("threshold", F.lit(0).cast("long")).alias("threshold"))
 
 
 def plan(docs: DataFrame, weights: tuple[int, ...] = WEIGHTS, share: float = SHARE, most: int = MOST) -> tuple[DataFrame, DataFrame]:
     """(doc_id, source, hash, size) of every document, written once; and the sources' thresholds."""
     sized = cut(docs.select("doc_id", "source", mix_hash().alias("hash"), n_words(F.col("text")).alias("size")), "sizes")
-    goal = targets(sized.groupBy("source").agg(F.sum("size").alias("source_size")), weights, share, most)
-    return sized, cut(thresholds(sized, cut(goal, "targets")), "thresholds")
+    sources = cut(sized.groupBy("source").agg(F.sum("size").alias("source_size")), "sources")
+    goal = cut(targets(sources, weights, share, most), "targets")
+    edges = cut(thresholds(sized, goal), "thresholds")
+    for x in (sources, goal):
+        discard(x)
+    return sized, edges
 
 
 def times() -> Column:
@@ -93,11 +105,12 @@ def mixture(docs: DataFrame, weights: tuple[int, ...] = WEIGHTS, share: float =
 
 def mix(docs: DataFrame, weights: tuple[int, ...] = WEIGHTS, share: float = SHARE, most: int = MOST) -> DataFrame:
     """The documents with all their columns, each as often as the mix takes it."""
-    _, edges = plan(docs, weights, share, most)
+    sized, edges = plan(docs, weights, share, most)
+    discard(sized)
     e = edges.select(F.col("source").alias("__sf_s"), F.col("rounds").alias("__sf_r"), F.col("threshold").alias("__sf_t"))
     n = F.col("__sf_r") + F.when(mix_hash() < F.col("__sf_t"), 1).otherwise(0)
     both = docs.join(e, docs["source"].eqNullSafe(F.col("__sf_s"))).withColumn("__sf_n", n).filter("__sf_n > 0")
-    return both.select(*[docs[c] for c in docs.columns], F.explode(F.sequence(F.lit(1), F.col("__sf_n"))).alias("__sf_i")).drop("__sf_i")
+    return both.select(*map(named, docs.columns), F.explode(F.sequence(F.lit(1), F.col("__sf_n"))).alias("__sf_i")).drop("__sf_i")
 
 
 def op7(spark: SparkSession, sf_dir: str) -> DataFrame:
