@@ -19,15 +19,17 @@ ROUNDS = 100
 
 
 def components(edges: DataFrame) -> DataFrame:
-    """edges: (a, b) longs. Returns (node, component) for every node of an edge between two nodes; a component is named by its smallest node. Repeated and looping edges don't matter."""
+    """edges: (a, b) longs. Returns (node, component) for every node of an edge between two nodes; a component is named by its smallest node. Repeated and looping edges don't matter. The result is a table of its own, which discard() deletes."""
     edges = cut(edges.filter("a <> b").select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b")).distinct(), "links")
     now = edges.select(F.xxhash64("a").alias("a"), F.xxhash64("b").alias("b"))
     label = edges.select(F.col("a").alias("node")).union(edges.select("b")).distinct().withColumn("label", F.xxhash64("node"))
+    used = [edges]
     for _ in range(ROUNDS):
         if now.isEmpty():
             break
         both = now.union(now.select("b", "a"))
         hooks = cut(both.groupBy(F.col("a").alias("n")).agg(F.min("b").alias("low")).select("n", F.least("n", "low").alias("to")), "hooks")
+        used.append(hooks)
         label = label.join(hooks, F.col("label") == F.col("n"), "left").select("node", F.coalesce("to", "label").alias("label"))
         moved = now.join(hooks, F.col("a") == F.col("n")).select(F.col("to").alias("x"), "b").join(hooks, F.col("b") == F.col("n")).select("x", F.col("to").alias("y"))
         new = cut(moved.filter("x <> y").select(F.greatest("x", "y").alias("a"), F.least("x", "y").alias("b")).distinct(), "links")
@@ -36,6 +38,8 @@ def components(edges: DataFrame) -> DataFrame:
     else:
         raise RuntimeError("components: edges are left after the rounds allowed")
     label = cut(label, "labels")
-    discard(edges)
     names = label.groupBy("label").agg(F.min("node").alias("component"))
-    return label.join(names, "label").select("node", "component")
+    out = cut(label.join(names, "label").select("node", "component"), "components")
+    for x in (*used, now, label):
+        discard(x)
+    return out

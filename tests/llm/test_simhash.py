@@ -8,8 +8,9 @@ import numpy as np
 import pytest
 import xxhash
 
-from siloforge.llm import simhash
+from siloforge.llm import simhash, xxh64
 from siloforge.llm.components import components
+from siloforge.session import table
 
 
 def fingerprint(text):
@@ -18,6 +19,37 @@ def fingerprint(text):
     return sum(1 << b for b in range(64) if sum(x >> b & 1 for x in h) * 2 > len(h))
 
 
+def test_hashes_are_xxh64():
+    r = random.Random(8)
+    data = bytes(r.randrange(256) for _ in range(5000))
+    spans = [(a, a + n) for n in [*range(140), 511, 512, 513, 600, 2000] for a in (0, 1, 7, 5000 - n)]
+    got = xxh64.hashes(data, np.array([a for a, _ in spans]), np.array([b for _, b in spans]), 42)
+    assert got.tolist() == [xxhash.xxh64_intdigest(data[a:b], 42) for a, b in spans]
+
+
+@pytest.mark.parametrize("piece", [1 << 19, 1000, 90])
+@pytest.mark.parametrize("shingle", [1, 3, 5])
+def test_sketches_whole_and_in_pieces(monkeypatch, piece, shingle):
+    monkeypatch.setattr(simhash, "PIECE", piece)
+    monkeypatch.setattr(simhash, "CHUNK", 50)
+    r = random.Random(9)
+    texts = ["", " \n", "one", "two words", "é Ü 東京 x", "A b " * 300, "w" * 5000, " " * 400 + "x" + " " * 400 + "y z", *(" ".join(str(r.randrange(50)) for _ in range(r.randrange(100))) for _ in range(8))]
+    raw = [t.encode() for t in texts]
+    wanted = []
+    for t in texts:
+        w = re.findall(r"[^\x20\x09-\x0D]+", "".join(c.lower() if "A" <= c <= "Z" else c for c in t))
+        wanted.append([xxhash.xxh64_intdigest(" ".join(w[i : i + shingle]).encode(), 42) for i in range(max(1, len(w) - shingle + 1))] if w else [])
+    mixed = lambda h, k: simhash.mix(np.array([(x + k * simhash.ODD) % (1 << 64) for x in h], np.uint64)).tolist() if k and h else h
+    sign = lambda h, k: sum(1 << b for b in range(64) if sum(x >> b & 1 for x in mixed(h, k)) * 2 > len(h))
+    with np.errstate(over="ignore"):
+        for repeats in (True, False):
+            sigs, sets = simhash.sketches(raw, shingle, 2, repeats)
+            for i, h in enumerate(wanted):
+                h = h if repeats else sorted(set(h))
+                assert [int(x) & (1 << 64) - 1 for x in sigs[i]] == [sign(h, 0), sign(h, 1)]
+                assert repeats or sets[i].tolist() == h
+
+
 def joined(n, links):
     top = list(range(n))
 
@@ -77,7 +109,14 @@ def test_thresholds_keep_the_principle(tau):
     bits = (rng.random((500, 64)) < 0.5).astype(float)
     bits[:, 10:20] = bits[:, :10]
     both = bits.T @ bits
-    plan = simhash.allotted(500, both, tau, simhash.partitions_for(tau))
+    plans = [simhash.planned(500, both, tau), *(simhash.allotted(500, both, tau, parts)[1] for parts in range(max(1, tau // 2), tau + 2))]
+    for plan in plans:
+        keeps(plan, tau, rng)
+    sizes = [max(len(b) for b, _ in simhash.planned(n, both * (n / 500), tau)) for n in (10**3, 10**6, 10**9, 10**12)]
+    assert sizes == sorted(sizes) and (tau == 0 or sizes[0] < sizes[-1])
+
+
+def keeps(plan, tau, rng):
     used = [b for part, _ in plan for b in part]
     assert len(used) == len(set(used))
     for _ in range(300):
@@ -91,7 +130,7 @@ def test_all_links_within_tau_are_found(spark):
     sig = [int(b) ^ sum(1 << int(k) for k in rng.choice(63, rng.integers(0, 9), replace=False)) for b in base for _ in range(6)]
     sig = sorted(set(sig))
     df = spark.createDataFrame([(x, x) for x in sig], "node long, w0 long")
-    got = components(simhash.links(df, 1, 1, 6, 6))
+    got = components(simhash.links(df, 1, 6, 6))
     found = {r["node"]: r["component"] for r in got.collect()}
     comp = joined(len(sig), [(i, j) for i, j in itertools.combinations(range(len(sig)), 2) if ((sig[i] ^ sig[j]) & (1 << 64) - 1).bit_count() <= 6])
     assert [found.get(x, x) for x in sig] == [sig[c] for c in comp]
@@ -116,7 +155,9 @@ def test_spanning_connects_the_same():
     assert len(simhash.spanning(chain[:-1], chain[1:])[0]) == 499
 
 
-def test_dedup_keeps_one_of_each_group(spark, documents):
+@pytest.mark.parametrize("keys", [0, 10**6])
+def test_dedup_keeps_one_of_each_group(spark, documents, monkeypatch, keys):
+    monkeypatch.setattr(simhash, "BROADCAST_KEYS", keys)
     r = random.Random(7)
     vocabulary = ["".join(r.choice("abcdefghij") for _ in range(5)) for _ in range(500)]
     base = [[r.choice(vocabulary) for _ in range(300)] for _ in range(12)]
@@ -160,6 +201,18 @@ def test_dedup_links_by_exact_similarity(spark, documents, monkeypatch, sets):
     assert sorted(kept) == sorted({rows[c][0] for c in comp}) and len(kept) > 120
 
 
+@pytest.mark.parametrize("sides", [1, 2])
+def test_similar_against_all_pairs(sides):
+    rng = np.random.default_rng(12)
+    for n in (2, 30, 120):
+        base = [rng.choice(400, rng.integers(1, 40), replace=False) for _ in range(n // 5 + 1)]
+        sets = [np.unique(np.where(rng.random(len(b)) < 0.06, rng.integers(0, 400, len(b)), b)).astype(np.uint64) for b in (base[rng.integers(len(base))] for _ in range(n))]
+        side = rng.integers(0, sides, n)
+        two = side.min() != side.max()
+        want = [(i, j) for i, j in itertools.combinations(range(n), 2) if (not two or side[i] != side[j]) and 10 * len(np.intersect1d(sets[i], sets[j])) >= 8 * len(np.union1d(sets[i], sets[j]))]
+        assert joined(n, simhash.similar(sets, side, 0.8)) == joined(n, want)
+
+
 def test_similar_takes_the_bound_itself():
     four, five = np.arange(4, dtype=np.uint64), np.arange(5, dtype=np.uint64)
     assert simhash.similar([four, five], np.zeros(2, int), 0.8) == [(0, 1)]
@@ -171,3 +224,16 @@ def test_similar_takes_the_bound_itself():
 def test_empty(spark, documents):
     assert simhash.near_duplicates(documents([])).count() == 0
     assert simhash.dedup(documents([])).count() == 0
+
+
+def test_dedup_against_brute_force_on_documents(spark, sf_dir):
+    docs = table(spark, sf_dir.replace("sf0.001", "sf0.01"), "documents")
+    rows = [(r["doc_id"], r["text"] or "") for r in docs.collect()]
+    sets = [shingles(t) if t.split() else set() for _, t in rows]
+    comp = joined(len(rows), [(i, j) for i, j in itertools.combinations(range(len(rows)), 2) if (5 * len(sets[i] & sets[j]) >= 4 * len(sets[i] | sets[j]))])
+    low = {}
+    for (doc, _), c in zip(rows, comp, strict=True):
+        low[c] = min(low.get(c, doc), doc)
+    kept = {r["doc_id"] for r in simhash.dedup(docs).collect()}
+    assert set(low.values()) <= kept  # nothing that stands alone goes
+    assert len(kept) - len(low) <= 0.1 * (len(rows) - len(low))
