@@ -1,10 +1,10 @@
 """Line dedup over levelled sorted runs of line hashes.
 
-A run is a table of (hash, documents) sorted by hash. Each batch of documents is reduced to its distinct keys, each
-with its number of documents; it is merge-anti-joined with the keys that the runs have already settled (found in
-at least MIN_DOCUMENTS), and what is left becomes a run of its own on level 0. When FANOUT runs are on a level they
-are merged into one of the next level. At the end a key's documents are summed over the runs. The index grows with
-the distinct keys; a settled key takes no more space, however often it comes.
+A run is a table of (hash, documents), bucketed and sorted by hash. Each batch of documents is reduced to its distinct keys, each
+with its number of documents; it is merge-anti-joined with the keys that the runs have settled already (found in at least
+MIN_DOCUMENTS), merge-joined with the counts of the runs, which decide what is settled now, and becomes a run of its own on
+level 0, with the newly settled keys apart. When FANOUT runs are on a level they are compacted into one of the next level. The index
+grows with the distinct keys; a settled key takes no more space, however often it comes.
 
 A line's key is the line without white space ([\\x20\\x09-\\x0D]) at both ends and with A-Z lower-cased; empty keys are
 kept out. Keys are compared by their MD5. A null or empty text is one empty line. Repeated rows are documents of
@@ -13,14 +13,20 @@ their own. Other columns are ignored. An empty table gives an empty result.
 
 from __future__ import annotations
 
+import hashlib
+from collections.abc import Callable, Iterator
+from functools import reduce
+
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from siloforge.session import cut, discard, table
+from siloforge.session import arrow_limits, cut, discard, fresh_path, remove, table
 
 WHITE = " \t\n\x0b\x0c\r"
 UPPER, LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
 MIN_DOCUMENTS, MIN_CHARS, BATCHES, FANOUT = 10, 1, 4, 3
+BROADCAST_KEYS = 200_000
 
 
 def lines(text: Column) -> Column:
@@ -38,46 +44,60 @@ def key_hash(line: Column, min_chars: int) -> Column:
 
 
 class LineRuns:
-    """The levelled runs. add() takes a batch of (hash, documents), one row a hash; counts() gives the totals."""
+    """The levelled runs. add() takes a batch of (hash, documents), one row a hash; frequent() gives the settled hashes, each once.
+
+    A run is a table in the shared folder, bucketed and sorted by hash in as many buckets as a shuffle has partitions, so a batch, which is
+    dealt out by hash as it is counted, is merged with the runs in place: runs are never shuffled but when they are compacted.
+    """
 
     def __init__(self, spark: SparkSession, min_documents: int = MIN_DOCUMENTS, fanout: int = FANOUT) -> None:
         self.spark, self.min_documents, self.fanout = spark, min_documents, fanout
-        self.levels: list[list[DataFrame]] = [[]]
-
-    def runs(self) -> DataFrame | None:
-        own = [run for level in self.levels for run in level]
-        if not own:
-            return None
-        out = own[0]
-        for run in own[1:]:
-            out = out.unionByName(run)
-        return out
-
-    @staticmethod
-    def merged(runs: DataFrame) -> DataFrame:
-        return runs.groupBy("hash").agg(F.sum("documents").alias("documents"))
-
-    def settled(self) -> DataFrame | None:
-        runs = self.runs()
-        return None if runs is None else self.merged(runs).filter(F.col("documents") >= self.min_documents).select("hash")
+        self.buckets = int(spark.conf.get("spark.sql.shuffle.partitions"))
+        self.levels: list[list[str]] = [[]]
+
+    def write(self, rows: DataFrame) -> str:
+        """Writes (hash, documents, settled) as a run; its name."""
+        path = fresh_path(self.spark, "run")
+        name = path.rsplit("/", 1)[1].replace("-", "_")
+        rows.write.format("parquet").partitionBy("settled").bucketBy(self.buckets, "hash").sortBy("hash").option("path", path).saveAsTable(name)
+        return name
+
+    def drop(self, name: str) -> None:
+        path = self.spark.sql(f"DESCRIBE FORMATTED {name}").filter("col_name = 'Location'").first()["data_type"]
+        self.spark.sql(f"DROP TABLE {name}")
+        remove(self.spark, path)
+
+    def runs(self) -> list[str]:
+        return [run for level in self.levels for run in level]
+
+    def known(self, run: str, settled: bool) -> DataFrame:
+        return self.spark.table(run).filter(F.col("settled") == settled).select("hash", "documents")
+
+    def merged(self, batch: DataFrame) -> DataFrame:
+        """(hash, documents, settled): the batch without what is settled already. A hash is settled when batch and runs together have it often enough."""
+        total = F.col("documents")
+        for run in self.runs():
+            batch = batch.join(self.known(run, True).select("hash").hint("merge"), "hash", "left_anti")
+        for i, run in enumerate(self.runs()):
+            batch = batch.join(self.known(run, False).withColumnRenamed("documents", f"d{i}").hint("merge"), "hash", "left")
+            total = total + F.coalesce(f"d{i}", F.lit(0))
+        return batch.select("hash", "documents", (total >= self.min_documents).alias("settled"))
 
     def add(self, batch: DataFrame) -> None:
-        known = self.settled()
-        if known is not None:
-            batch = batch.join(known.hint("merge"), "hash", "left_anti")
-        self.levels[0].append(cut(batch.sortWithinPartitions("hash"), "run"))
+        self.levels[0].append(self.write(self.merged(batch)))
         self.compact()
 
     def compact(self) -> None:
+        """Merges the runs of a full level into one of the next. What is settled leaves the counts."""
         for n, level in enumerate(self.levels):
             if len(level) < self.fanout:
                 break
-            whole = level[0]
-            for run in level[1:]:
-                whole = whole.unionByName(run)
-            whole = cut(self.merged(whole).sortWithinPartitions("hash"), "run")
+            counts = reduce(DataFrame.unionByName, (self.known(run, False) for run in level)).groupBy("hash").agg(F.sum("documents").alias("documents"))
+            counts = counts.join(self.frequent(), "hash", "left_anti")
+            settled = reduce(DataFrame.unionByName, (self.known(run, True) for run in level))
+            whole = self.write(counts.withColumn("settled", F.lit(False)).unionByName(settled.withColumn("settled", F.lit(True))).repartition(self.buckets, "hash"))
             for run in level:
-                discard(run)
+                self.drop(run)
             level.clear()
             if n + 1 == len(self.levels):
                 self.levels.append([])
@@ -85,12 +105,17 @@ class LineRuns:
 
     def frequent(self) -> DataFrame:
         """Hashes found in at least min_documents documents."""
-        return self.settled()
+        return reduce(DataFrame.unionByName, (self.known(run, True).select("hash") for run in self.runs()))
+
+    def close(self) -> None:
+        for run in self.runs():
+            self.drop(run)
+        self.levels = [[]]
 
 
 def who() -> Column:
-    """Names a document by its id and text; equal rows are named alike."""
-    return F.xxhash64(F.struct("doc_id", F.xxhash64("text")))
+    """Names a document by its id and text, in 128 bits; equal rows are named alike."""
+    return F.unhex(F.md5(F.concat_ws(":", F.coalesce(F.col("doc_id").cast("string"), F.lit("")), F.coalesce("text", F.lit("")))))
 
 
 def keys_of(docs: DataFrame, min_chars: int = MIN_CHARS) -> DataFrame:
@@ -99,23 +124,49 @@ def keys_of(docs: DataFrame, min_chars: int = MIN_CHARS) -> DataFrame:
     return docs.select(who().alias("who"), F.explode(hashes).alias("hash"))
 
 
-def frequent_keys(keys: DataFrame, min_documents: int = MIN_DOCUMENTS, batches: int = BATCHES, fanout: int = FANOUT) -> DataFrame:
-    """Hashes of the keys in at least min_documents documents, which come as so many batches by their name's hash."""
-    batch = F.pmod(F.xxhash64("who"), F.lit(batches)).cast("int")
-    found = keys.groupBy(batch.alias("batch"), "hash").agg(F.count(F.lit(1)).alias("documents"))
-    found = cut(found, "lines", ["batch"])
+def frequent_keys(keys: DataFrame, min_documents: int = MIN_DOCUMENTS, fanout: int = FANOUT) -> DataFrame:
+    """keys: (who, hash, batch). Hashes in at least min_documents documents, written as a table; the batches are fed one by one."""
     runs = LineRuns(keys.sparkSession, min_documents, fanout)
-    for n in range(batches):
-        runs.add(found.filter(F.col("batch") == n).select("hash", "documents"))
-    discard(found)
-    return runs.frequent()
+    for n in sorted(r[0] for r in keys.select("batch").distinct().collect()):  # a row a batch
+        runs.add(keys.filter(F.col("batch") == n).groupBy("hash").agg(F.count(F.lit(1)).alias("documents")))
+    out = cut(runs.frequent() if runs.runs() else keys.select("hash").limit(0), "frequent")
+    runs.close()
+    return out
+
+
+def without(frequent: set[bytes], min_chars: int) -> Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]:
+    """Drops the lines of these keys."""
+    white = WHITE.encode()
+
+    def kept(line: bytes) -> bool:
+        key = line.strip(white).lower()  # of bytes: A-Z only
+        return not (key and (min_chars < 2 or len(key.decode()) >= min_chars) and hashlib.md5(key).digest() in frequent)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            texts, before, after = [], [], []
+            for x in batch.column("text").cast(pa.large_binary()):
+                own = (x.as_py() or b"").split(b"\n")
+                left = list(filter(kept, own))
+                texts.append(b"\n".join(left))
+                before.append(len(own))
+                after.append(len(own) - len(left))
+            yield pa.RecordBatch.from_arrays([batch.column("doc_id"), pa.array(texts, pa.binary()).cast(pa.string()), pa.array(before, pa.int64()), pa.array(after, pa.int64())], names=["doc_id", "text", "n_lines", "n_dropped"])
+
+    return run
 
 
-def dedup_lines(docs: DataFrame, min_documents: int = MIN_DOCUMENTS, min_chars: int = MIN_CHARS, batches: int = BATCHES, fanout: int = FANOUT) -> DataFrame:
-    """Per document: doc_id, text without the lines of frequent keys, n_lines before, n_dropped."""
+def dedup_lines(docs: DataFrame, min_documents: int = MIN_DOCUMENTS, min_chars: int = MIN_CHARS, batches: int = BATCHES, fanout: int = FANOUT, broadcast_keys: int = BROADCAST_KEYS) -> DataFrame:
+    """Per document: doc_id, text without the lines of frequent keys, n_lines before, n_dropped. While there are at most broadcast_keys frequent keys they are broadcast and no text is shuffled; beyond that each document's own frequent keys are joined to it."""
     docs = docs.select("doc_id", "text")
-    keys = cut(keys_of(docs, min_chars), "keys")
-    frequent = cut(frequent_keys(keys, min_documents, batches, fanout), "frequent")  # so that a very common key's side of the join can be split
+    keys = cut(keys_of(docs, min_chars).withColumn("batch", F.pmod(F.xxhash64("who"), F.lit(batches)).cast("int")), "keys", ["batch"])
+    frequent = frequent_keys(keys, min_documents, fanout)
+    if (known := frequent.count()) <= broadcast_keys and min_chars > 0:
+        discard(keys)
+        arrow_limits(docs.sparkSession)
+        held = docs.sparkSession.sparkContext.broadcast({bytes(r[0]) for r in frequent.collect()} if known else set())  # at most broadcast_keys
+        schema = f"doc_id {docs.schema['doc_id'].dataType.simpleString()}, text string, n_lines long, n_dropped long"
+        return docs.mapInArrow(lambda parts: without(held.value, min_chars)(parts), schema)
     hit = keys.join(frequent, "hash", "left_semi").groupBy("who").agg(F.collect_set("hash").alias("drop"))
     both = docs.withColumn("who", who()).join(hit, "who", "left").withColumn("lines", lines(F.col("text")))
     kept = F.when(F.col("drop").isNull(), F.col("lines")).otherwise(

@@ -62,8 +62,27 @@ def test_line_runs_compact(spark):
     runs = linededup.LineRuns(spark, 5, fanout=2)
     for n in range(5):
         runs.add(spark.createDataFrame([(b"a", 2), (b"b", 1), (bytes([n]), 9 - n)], "hash binary, documents long"))
-    assert sorted(r[0] for r in runs.frequent().collect()) == sorted(map(bytes, [b"a", b"b", b"\x00", b"\x01", b"\x02", b"\x03", b"\x04"]))
+    assert sorted(bytes(r[0]) for r in runs.frequent().collect()) == [b"\x00", b"\x01", b"\x02", b"\x03", b"\x04", b"a", b"b"]
     assert len(runs.levels) > 2 and all(len(x) < 2 for x in runs.levels)
+    runs.close()
+    assert not [t for t in spark.catalog.listTables() if "run" in t.name]
+
+
+def test_a_batch_is_merged_with_the_runs_in_place(spark):
+    runs = linededup.LineRuns(spark, 5, fanout=9)
+    rows = lambda n: spark.range(n * 300, n * 300 + 900).selectExpr("unhex(md5(cast(id as string))) AS hash").groupBy("hash").count().withColumnRenamed("count", "documents")
+    for n in range(3):
+        runs.add(rows(n))
+    plan = runs.merged(rows(3))._jdf.queryExecution().executedPlan().toString()
+    assert plan.count("Exchange hashpartitioning") == 1 and plan.count("SortMergeJoin") == 6 and "BroadcastExchange" not in plan
+    runs.close()
+
+
+@pytest.mark.parametrize("most", [0, 10**6])
+def test_line_dedup_with_and_without_broadcast(spark, documents, tmp_path, most):
+    con, where = files(tmp_path, spark, documents=documents(AWKWARD).repartition(3))
+    out = linededup.dedup_lines(spark.read.parquet(f"{where}/documents.parquet"), broadcast_keys=most).selectExpr("doc_id", "n_lines", "n_dropped", "sha2(text, 256) AS kept_sha256")
+    assert spark_table(out) == duck_table(con, linededup.ORACLE)
 
 
 def test_mix_repeats_rows(spark, documents):
