@@ -25,9 +25,9 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from siloforge.session import arrow_limits, fresh_path, table
+from siloforge.session import arrow_limits, cut, fresh_path, table
 
-REVISIT_BYTES, ARCHIVE_BYTES, LEVEL = 100, 8 << 20, 6
+REVISIT_BYTES, ARCHIVE_BYTES, LEVEL, BROADCAST_DIGESTS = 100, 8 << 20, 6, 100_000
 REVISIT = "http://netpreserve.org/warc/1.1/revisit/identical-payload-digest"
 END = "\r\n\r\n"
 DATE = "2024-01-01T00:00:00Z"
@@ -68,8 +68,8 @@ def zipped(data: bytes) -> bytes:
     return z.compress(data) + z.flush()
 
 
-def members(pages: DataFrame, revisit_bytes: int = REVISIT_BYTES) -> DataFrame:
-    """(member): each page's record as a gzip member. Pages are compressed before they are shuffled to find their first copy; those that turn out to be revisits get another record then."""
+def members(pages: DataFrame, revisit_bytes: int = REVISIT_BYTES, broadcast_digests: int = BROADCAST_DIGESTS) -> DataFrame:
+    """(member): each page's record as a gzip member. Pages are compressed before they meet the first copy of their payload; those that turn out to be revisits get another record then. While at most BROADCAST_DIGESTS payloads repeat, their digests are broadcast and no page is shuffled; beyond that pages are joined with them by a shuffle, whose hot digests can be split."""
 
     def compress(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -84,6 +84,8 @@ def members(pages: DataFrame, revisit_bytes: int = REVISIT_BYTES) -> DataFrame:
 
     p = digested(pages)
     first = p.filter(F.col("n") >= revisit_bytes).groupBy(F.col("digest").alias("d")).agg(F.min("page_id").alias("first"), F.count(F.lit(1)).alias("same")).filter("same > 1").drop("same")
+    first = cut(first, "digests")
+    first = F.broadcast(first) if first.count() <= broadcast_digests else first.hint("merge")
     p = p.mapInArrow(compress, "page_id long, url string, n long, digest string, member binary")
     return p.join(first, F.col("digest") == F.col("d"), "left").drop("d").mapInArrow(settle, "member binary")
 

@@ -123,3 +123,9 @@ def test_a_page_with_a_very_long_url(spark, wide, tmp_path):
     rows = [(1, "http://a/" + "b" * (2 << 20), "x"), (2, "http://a/", "x")]
     wide(rows, "page_id long, url string, html string").write.parquet(str(tmp_path / "pages.parquet"))
     assert sorted(r["page_id"] for r in warc.op10(spark, str(tmp_path)).collect()) == [1, 2]
+
+
+def test_revisits_with_and_without_broadcast(spark, wide):
+    pages = wide([(i, f"http://h/{i}", "x" * (200 + i % 5)) for i in range(40)], "page_id long, url string, html string")
+    both = [sorted(bytes(r[0]) for r in warc.members(pages, broadcast_digests=most).collect()) for most in (0, 100)]
+    assert both[0] == both[1] and sum(b"revisit" in gzip.decompress(m) for m in both[0]) == 35
