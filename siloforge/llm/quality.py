@@ -28,7 +28,7 @@ from siloforge.session import arrow_limits, cut, discard, table
 
 TERMS, SHAPES, DIMENSIONS, PER_CLASS, K = 4096, 4, 64, 1500, 15
 SHAPE_WEIGHT, SHARPNESS, ACCEPT = 0.35, 8, 0.7
-PIECE, ROWS = 1 << 21, 512
+PIECE, ROWS = 1 << 20, 256
 
 
 def kinds() -> np.ndarray:

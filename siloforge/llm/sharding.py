@@ -15,7 +15,7 @@ have the name of one it adds. Empty tables give empty results.
 from __future__ import annotations
 
 import numpy as np
-import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -106,9 +106,9 @@ def keys(docs: DataFrame) -> dict[str, Column]:
 def placed(rows: DataFrame, n: int, shards: int, seed: int) -> DataFrame:
     """rows with shard and slot in place of __sf_row."""
 
-    @F.pandas_udf("long")
-    def place(row: pd.Series) -> pd.Series:
-        return pd.Series(permuted(row.to_numpy(np.int64), n, seed))
+    @F.arrow_udf("long")
+    def place(row: pa.Array) -> pa.Array:
+        return pa.array(permuted(row.to_numpy(zero_copy_only=False).astype(np.int64), n, seed))
 
     rows = rows.withColumn("__sf_place", place("__sf_row"))
     at = F.col("__sf_place")

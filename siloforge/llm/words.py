@@ -9,7 +9,7 @@ import pyarrow as pa
 
 U = np.uint64
 ODD = 0x9E3779B97F4A7C15
-SLICE_BYTES = 1 << 21
+SLICE_BYTES = 1 << 20
 
 
 def mix(h: np.ndarray) -> np.ndarray:
