@@ -4,6 +4,8 @@ from __future__ import annotations
 
 import math
 
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
@@ -11,20 +13,66 @@ from pyspark.sql import functions as F
 from siloforge.functions.columns import arithmetic_hash, fixed_point
 from siloforge.operators.metrics import macro_f1
 
-RING = "18446744073709551616"
+RING, BLOCK = "18446744073709551616", 4096
 
 
 def ring(x: Column) -> Column:
     return F.pmod(x.cast("decimal(38,0)"), F.lit(RING).cast("decimal(38,0)"))
 
 
-def masked(values: DataFrame, seed: int) -> DataFrame:
-    """(silo, pos, v): each silo's values plus a mask for every other silo, modulo 2^64. A pair's mask comes from both sides' common seed, added by the smaller and taken off by the larger."""
-    other = values.select(F.col("silo").alias("other")).distinct()
-    j = values.join(other, F.col("silo") != F.col("other"), "left")
-    mask = F.xxhash64(F.lit(seed), F.least("silo", "other"), F.greatest("silo", "other"), "pos").cast("decimal(38,0)")
-    signed = F.when(F.col("other").isNull(), F.lit(0).cast("decimal(38,0)")).when(F.col("silo") < F.col("other"), mask).otherwise(-mask)
-    return j.groupBy("silo", "pos").agg(ring(F.first("v").cast("decimal(38,0)") + F.sum(signed)).alias("v"))
+def scrambled(a: np.ndarray) -> np.ndarray:
+    """XXH64's last mixing of 64 bits, in place."""
+    t = a >> np.uint64(33)
+    a ^= t
+    a *= np.uint64(0xC2B2AE3D27D4EB4F)
+    np.right_shift(a, np.uint64(29), out=t)
+    a ^= t
+    a *= np.uint64(0x165667B19E3779F9)
+    np.right_shift(a, np.uint64(32), out=t)
+    a ^= t
+    return a
+
+
+def pair_masks(first: np.ndarray, second: np.ndarray, same: bool, size: int = 1 << 15) -> tuple[np.ndarray, np.ndarray]:
+    """Modulo 2^64: for each of first the sum of its masks with all of second, and for each of second that with all of first, taken off. A pair's mask is its two keys, mixed. same: both are of the same silos, and the pairs are those of an earlier and a later one."""
+    plus, minus = np.zeros(len(first), np.uint64), np.zeros(len(second), np.uint64)
+    step = max(1, size // max(len(second), 1))
+    for i in range(0, len(first), step):
+        m = scrambled(first[i : i + step, None] ^ second[None, i * same :])
+        if same:
+            m[np.tri(*m.shape, dtype=bool)] = 0
+        plus[i : i + step] += m.sum(1, dtype=np.uint64)
+        minus[i * same :] -= m.sum(0, dtype=np.uint64)
+    return plus, minus
+
+
+def masked(values: DataFrame, seed: int, block: int = BLOCK) -> DataFrame:
+    """(silo, pos, v): each silo's values plus a mask for every other silo that has the position, modulo 2^64. A pair's mask comes from both sides' keys, added by the earlier and taken off by the later.
+
+    The masks number as the square of the silos. A position's silos are dealt out in blocks; a task makes the masks of two blocks as arrays and gives each silo's sum of them, so no pairs are joined or shuffled.
+    """
+    kinds = [values.schema[c].dataType.simpleString() for c in ("silo", "pos")]
+    v = values.groupBy("silo", "pos").agg(F.sum(F.col("v").cast("decimal(38,0)")).alias("v"))
+    blocks = v.groupBy("pos").agg(F.greatest(F.lit(1), F.ceil(F.count("silo") / block)).cast("int").alias("blocks"))
+    key = lambda side: F.xxhash64(F.lit(seed), F.lit(side), "silo", "pos")
+    own = v.filter("silo IS NOT NULL").join(blocks, "pos").select("silo", "pos", key(0).alias("first"), key(1).alias("second"), F.pmod(F.xxhash64("silo"), "blocks").cast("int").alias("own"), "blocks")
+    dealt = own.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1))).select("silo", "pos", "first", "second", "own", F.least("own", "other").alias("lo"), F.greatest("own", "other").alias("hi"))
+
+    def tile(k: tuple, t: pa.Table) -> pa.Table:
+        pos, lo, hi = (x.as_py() for x in k)
+        t = t.sort_by([("first", "ascending"), ("second", "ascending")])
+        at, first, second = (t.column(c).to_numpy() for c in ("own", "first", "second"))
+        a, b = np.flatnonzero(at == lo), np.flatnonzero(at == hi)
+        sums = np.zeros(len(at), np.uint64)
+        plus, minus = pair_masks(first[a].view(np.uint64), second[b].view(np.uint64), lo == hi)
+        sums[a] += plus
+        sums[b] += minus
+        return pa.table([t.column("silo"), t.column("pos"), pa.array(sums.view(np.int64))], names=["silo", "pos", "m"])
+
+    tiles = int(values.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    sums = dealt.repartition(tiles, "pos", "lo", "hi").groupBy("pos", "lo", "hi").applyInArrow(tile, f"silo {kinds[0]}, pos {kinds[1]}, m long")
+    m = sums.groupBy("silo", "pos").agg(F.sum(F.col("m").cast("decimal(38,0)")).alias("m"))
+    return v.join(m, ["silo", "pos"], "left").select("silo", "pos", ring(F.col("v") + F.coalesce("m", F.lit(0).cast("decimal(38,0)"))).alias("v"))
 
 
 def secure_sum(values: DataFrame, seed: int = 2024) -> DataFrame:
@@ -38,7 +86,7 @@ def secure_moments(values: DataFrame, bits: int = 20) -> DataFrame:
     """(mean, std) of one number a silo, from secure sums of it and its square in fixed point. values: (silo, x)."""
     x = F.col("x")
     both = values.select("silo", F.lit(0).alias("pos"), fixed_point(x, bits).alias("v")).unionByName(values.select("silo", F.lit(1).alias("pos"), fixed_point(x * x, bits).alias("v")))
-    k = values.agg(F.count(F.lit(1)).alias("k"))
+    k = values.agg(F.count("x").alias("k"))
     s = secure_sum(both).groupBy().agg(*(F.sum(F.when(F.col("pos") == p, F.col("total"))).alias(f"s{p}") for p in (0, 1))).crossJoin(k)  # one row each
     m = F.col("s0") / float(1 << bits) / F.col("k")
     return s.select(m.alias("mean"), F.sqrt(F.greatest(F.col("s1") / float(1 << bits) / F.col("k") - m * m, F.lit(0.0))).alias("std"))

@@ -352,3 +352,30 @@ print("rows", catalog.QUERIES["j04_knn_euclidean"](build_session(2, 2, "1g"), "{
 """
     said = subprocess.run([sys.executable, "-c", code], cwd=os.path.dirname(os.path.dirname(os.path.abspath(__file__))), capture_output=True, text=True, timeout=300)
     assert said.returncode == 0 and "rows " in said.stdout, said.stderr[-800:]
+
+
+def test_secure_sum_over_blocks(spark):
+    rows = [(s, p, (s * 37 + p) * (-1) ** s) for s in range(60) for p in range(3) if (s + p) % 7] + [(5, 1, 11)]
+    v = spark.createDataFrame(rows, "silo long, pos int, v long")
+    want = {p: sum(x for _, q, x in rows if q == p) for p in range(3)}
+    for block in (7, 4096):
+        m = secure.masked(v, 9, block).collect()
+        assert len(m) == len({(s, p) for s, p, _ in rows}) and len({r["v"] for r in m}) == len(m)
+        assert {p: (sum(int(r["v"]) for r in m if r["pos"] == p) - want[p]) % 2**64 for p in range(3)} == dict.fromkeys(range(3), 0)
+    assert dict(map(tuple, secure.secure_sum(v).collect())) == want
+
+
+def test_pair_masks_are_those_of_pairs():
+    a, b = (np.random.default_rng(i).integers(0, 2**64, 50, np.uint64) for i in (0, 1))
+    one = secure.scrambled(a[:, None] ^ b[None, :]).astype(object)
+    for same, size in ((False, 64), (False, 1 << 15), (True, 64), (True, 150), (True, 1 << 15)):
+        m = np.triu(one, 1) if same else one
+        plus, minus = secure.pair_masks(a, b, same, size)
+        assert plus.tolist() == [x % 2**64 for x in m.sum(1)] and minus.tolist() == [-x % 2**64 for x in m.sum(0)]
+
+
+def test_secure_moments_of_many_silos(spark):
+    n = 20000  # 4 * 10^8 pairs of silos
+    got = secure.secure_moments(spark.range(n).select(F.col("id").alias("silo"), (F.col("id") % 7).cast("double").alias("x"))).first()
+    x = np.arange(n) % 7
+    assert got["mean"] == pytest.approx(x.mean(), abs=1e-5) and got["std"] == pytest.approx(x.std(), abs=1e-5)
