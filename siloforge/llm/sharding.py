@@ -1,8 +1,9 @@
 """Sharding by a Feistel permutation of global row numbers.
 
-Rows are numbered from 0 in the order of (doc_id, CRC-32 and hash of the text): a range partitioning that is written
-once gives each row its place in its partition, and the partitions' counts give their first numbers, so nothing
-is ordered in one task. An alternating Feistel network over Z_a x Z_b, the least such product that holds all rows
+Rows are numbered from 0 in the order of (doc_id, CRC-32 and hash of the text): a range partitioning gives each row its
+place in its partition, and the partitions' counts give their first numbers, so nothing is ordered in one task. assign()
+writes the partitioned keys once. shard() fixes the ranges' bounds and counts their rows beforehand, from the keys alone, and
+then shuffles the whole rows once, without writing them. An alternating Feistel network over Z_a x Z_b, the least such product that holds all rows
 (a the rounded-up root of their count), permutes the numbers; results beyond the count walk their cycle on. The
 permuted number mod the shard count is the shard, and the quotient the slot: both follow from the row number, the
 row count and the seed, the law is `rows`, and shard sizes are at most one apart.
@@ -14,13 +15,18 @@ have the name of one it adds. Empty tables give empty results.
 
 from __future__ import annotations
 
+import json
+import math
+from collections.abc import Callable
+
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from siloforge.llm.rows import named
-from siloforge.session import cut, table
+from siloforge.session import cut, discard, table
 
 SHARDS, SEED, ROUNDS = 24, 20240229, 6
 PRIME = 2147483647
@@ -124,13 +130,56 @@ def assign(docs: DataFrame, shards: int = SHARDS, seed: int = SEED) -> DataFrame
     return placed(rows, n, shards, seed).select("doc_id", "size", "text_crc32", "shard", "slot")
 
 
+def bounds_of(short: DataFrame, n: int, each: int = 64) -> list[tuple]:
+    """Keys that cut the rows into up to n ranges of about equal counts: every so many of a sorted draw of keys. They decide only how evenly the work is spread, not the rows' numbers."""
+    total, few = short.count(), each * n
+    line = (short.sample(few / total, SEED) if total > few else short).distinct().collect()  # some 64 rows a range
+    keys = sorted(comparable(*r) for r in line)
+    return keys[:: max(1, -(-len(keys) // n))][1:]
+
+
+def comparable(doc: int | None, crc: int, text: int) -> tuple:
+    return doc is not None, doc or 0, crc, text
+
+
+def range_of(bounds: list[tuple]) -> Callable[..., Column]:
+    """A column function of the three keys: how many of the bounds are not above them. Bounds are in groups, of which one is searched. No Python worker is needed beside whole texts."""
+    if not bounds:
+        return lambda doc, crc, text: F.lit(0)
+    step = math.isqrt(len(bounds) - 1) + 1
+    kind = "struct<known:boolean,doc:bigint,crc:bigint,text:bigint>"
+    told = [dict(zip(("known", "doc", "crc", "text"), b, strict=True)) for b in bounds]
+    groups = F.from_json(F.lit(json.dumps([told[i : i + step] for i in range(0, len(told), step)])), f"array<array<{kind}>>")
+    firsts = F.from_json(F.lit(json.dumps(told[::step])), f"array<{kind}>")
+
+    def at(doc: str, crc: str, text: str) -> Column:
+        here = F.struct(F.col(doc).isNotNull().alias("known"), F.coalesce(doc, F.lit(0)).cast("long").alias("doc"), F.col(crc).cast("long").alias("crc"), F.col(text).cast("long").alias("text"))
+        below = lambda line: F.size(F.filter(line, lambda b: b <= here))
+        group = below(firsts)
+        return F.when(group == 0, 0).otherwise((group - 1) * step + below(F.element_at(groups, group))).cast("int")
+
+    return at
+
+
 def shard(docs: DataFrame, shards: int = SHARDS, seed: int = SEED) -> DataFrame:
-    """The documents with all their columns, and size, text_crc32, shard, slot, as assign() gives them."""
-    added, own = ("size", "text_crc32", "shard", "slot"), keys(docs)
+    """The documents with all their columns, and size, text_crc32, shard, slot, as assign() gives them. The documents are read twice, so they must be the same each time, as a table's rows are."""
+    spark, added, own = docs.sparkSession, ("size", "text_crc32", "shard", "slot"), keys(docs)
     kept = [c for c in docs.columns if c.lower() not in added]
-    whole = docs.select(*map(named, kept), *(own[c].alias(c) for c in ("size", "text_crc32", "__sf_hash")))
-    rows, n = numbered(whole, [F.col(c) for c in ORDER])
-    return placed(rows, n, shards, seed).select(*map(named, kept), *added)
+    short = cut(docs.select(*(own[c].alias(c) for c in ORDER)), "keys")
+    at = range_of(bounds_of(short, 4 * int(spark.conf.get("spark.sql.shuffle.partitions"))))
+    counts = {r[0]: r[1] for r in short.groupBy(at(*ORDER).alias("part")).count().collect()}  # one row a range
+    discard(short)
+    first, n = [], 0
+    for k in sorted(counts):
+        first.append((k, n))
+        n += counts[k]
+    starts = spark.createDataFrame(first, "__sf_p int, __sf_start long")
+    tie = F.xxhash64(*(named(c) for c in kept if "map<" not in docs.schema[c].dataType.simpleString()))  # rows equal in all three keys have the same place each time
+    whole = docs.select(*map(named, kept), own["size"].alias("size"), own["text_crc32"].alias("text_crc32"), own["doc_id"].alias("__sf_id"), own["__sf_hash"].alias("__sf_hash"), tie.alias("__sf_tie"))
+    line = ["__sf_id", "text_crc32", "__sf_hash"]
+    place = F.row_number().over(W.partitionBy("__sf_part").orderBy(*line, "__sf_tie"))
+    rows = whole.withColumn("__sf_part", at(*line)).withColumn("__sf_at", place).join(F.broadcast(starts), F.col("__sf_part") == F.col("__sf_p"))
+    return placed(rows.withColumn("__sf_row", F.col("__sf_start") + F.col("__sf_at") - 1), n, shards, seed).select(*map(named, kept), *added)
 
 
 def op8(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -6,6 +6,7 @@ import numpy as np
 import pytest
 
 from siloforge.llm import sharding
+from siloforge.session import cut
 
 
 @pytest.mark.parametrize("n", [1, 2, 3, 5, 24, 97, 1000, 4097])
@@ -50,3 +51,16 @@ def test_reruns_and_other_layouts_agree(spark, documents):
 
 def test_empty(spark, documents):
     assert sharding.assign(documents([])).count() == 0
+
+
+def test_whole_rows_are_not_written_and_agree(spark, documents, monkeypatch):
+    written = []
+    monkeypatch.setattr(sharding, "cut", lambda df, *a: written.append(df.columns) or cut(df, *a))
+    rows = [(i * 7 % 101, f"text {i}") for i in range(700)] + [(5, f"same id {i % 40}") for i in range(400)] + [(None, None), (None, ""), (None, "a"), (3, "é" * 9), (3, "é" * 9)]
+    docs = documents(rows).repartition(5)
+    own = lambda df: sorted(map(tuple, df.select("doc_id", "size", "text_crc32", "shard", "slot").collect()), key=str)
+    got = sharding.shard(docs)
+    assert all("text" not in c for c in written) and written
+    assert own(got) == own(sharding.assign(docs))
+    assert sorted(((r["doc_id"], r["text"]) for r in got.collect()), key=str) == sorted(rows, key=str)
+    assert sharding.shard(documents([])).count() == 0
