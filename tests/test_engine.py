@@ -379,3 +379,15 @@ def test_secure_moments_of_many_silos(spark):
     got = secure.secure_moments(spark.range(n).select(F.col("id").alias("silo"), (F.col("id") % 7).cast("double").alias("x"))).first()
     x = np.arange(n) % 7
     assert got["mean"] == pytest.approx(x.mean(), abs=1e-5) and got["std"] == pytest.approx(x.std(), abs=1e-5)
+
+
+@pytest.mark.parametrize("metric", ["cosine", "euclidean"])
+def test_nearest_among_copies(metric):
+    rng = np.random.default_rng(4)
+    x = rng.normal(size=(9, 5))[rng.integers(0, 9, 400)]
+    for n, k in ((1, 5), (31, 5), (33, 40), (400, 7)):
+        own = np.where(np.arange(n) % 2, np.arange(n), -1)
+        sim = np.round(x[:n] @ x[:n].T if metric == "cosine" else -((x[:n, None] - x[None, :n]) ** 2).sum(2), 9)
+        sim[own >= 0, own[own >= 0]] = -np.inf
+        got = np.concatenate([top for _, top, _ in knn.nearest(x[:n], x[:n], k, own, metric)])
+        assert np.array_equal(got, np.argsort(-sim, axis=1, kind="stable")[:, :k])
