@@ -407,3 +407,9 @@ def test_places_by_single_precision_are_the_nearest(d, kind):
             q = x[:n] if own is not None else knn.unit(x[::-1] + 0.1)
             want = np.concatenate([top for _, top, _ in knn.nearest(q, x[:n], k, own)])
             assert np.array_equal(np.sort(knn.nearest_places(q, x[:n], k, own), 1), np.sort(want, 1))
+
+
+def test_tasks_of_a_batch_are_even(spark, sf_dir):
+    c = knn.batch_counters(fixtures.vectors_multi(spark, sf_dir), [[i, i + 1] for i in range(12)])
+    of = c.select("silo", "mask_id", F.spark_partition_id().alias("p")).distinct().groupBy("p").agg(F.countDistinct("silo").alias("silos"), F.count(F.lit(1)).alias("n")).collect()
+    assert len(of) == 16 and {r["silos"] for r in of} == {1} and {r["n"] for r in of} == {6}
