@@ -413,3 +413,12 @@ def test_tasks_of_a_batch_are_even(spark, sf_dir):
     c = knn.batch_counters(fixtures.vectors_multi(spark, sf_dir), [[i, i + 1] for i in range(12)])
     of = c.select("silo", "mask_id", F.spark_partition_id().alias("p")).distinct().groupBy("p").agg(F.countDistinct("silo").alias("silos"), F.count(F.lit(1)).alias("n")).collect()
     assert len(of) == 16 and {r["silos"] for r in of} == {1} and {r["n"] for r in of} == {6}
+
+
+def test_large_and_many_silos_are_dealt(spark):
+    uneven = spark.range(900).select(F.col("id").alias("row_id"), F.when(F.col("id") < 800, 7).when(F.col("id") < 890, 1).alias("silo"), F.lit("train").alias("split"), F.array(F.lit(1.0)).alias("x"), F.array(F.lit(1)).alias("y"))
+    got = {tuple(r) for r in knn.deal(uneven).rows.groupBy("silo", "copies").agg(F.countDistinct("copy").alias("c"), F.count(F.lit(1)).alias("n")).collect()}
+    assert got == {(7, 16, 16, 800 * 16), (1, 1, 1, 90), (None, 1, 1, 10)}
+    many = knn.deal(uneven.withColumn("silo", F.col("row_id")))
+    of = many.rows.groupBy(F.spark_partition_id()).count().collect()
+    assert many.rows.count() == 900 and len(of) == 64 and {r["count"] for r in of} <= {14, 15}
