@@ -45,9 +45,9 @@ def quoted(url: str) -> str:
 
 
 def digested(pages: DataFrame) -> DataFrame:
-    """(page_id, url, html, n, digest)."""
-    html = F.coalesce("html", F.lit(""))
-    return pages.select(F.col("page_id").cast("long").alias("page_id"), F.col("url").cast("string").alias("url"), html.alias("html"), F.octet_length(html).cast("long").alias("n"), F.sha2(F.encode(html, "UTF-8"), 256).alias("digest"))
+    """(page_id, url, html in UTF-8, n, digest)."""
+    html = F.coalesce("html", F.lit("")).cast("binary")
+    return pages.select(F.col("page_id").cast("long").alias("page_id"), F.col("url").cast("string").alias("url"), html.alias("html"), F.octet_length(html).cast("long").alias("n"), F.sha2(html, 256).alias("digest"))
 
 
 def record(page: int | None, url: str | None, html: bytes, n: int, digest: str, first: int | None = None) -> bytes:
@@ -68,45 +68,61 @@ def zipped(data: bytes) -> bytes:
     return z.compress(data) + z.flush()
 
 
-def members(pages: DataFrame, revisit_bytes: int = REVISIT_BYTES, broadcast_digests: int = BROADCAST_DIGESTS) -> DataFrame:
-    """(member): each page's record as a gzip member. Pages are compressed before they meet the first copy of their payload; those that turn out to be revisits get another record then. While at most BROADCAST_DIGESTS payloads repeat, their digests are broadcast and no page is shuffled; beyond that pages are joined with them by a shuffle, whose hot digests can be split."""
+def compress(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    for batch in batches:
+        rows = zip(*(batch.column(c).to_pylist() for c in ("page_id", "url", "html", "n", "digest")), strict=True)
+        packed = [zipped(record(*row)) for row in rows]
+        yield pa.RecordBatch.from_arrays([*(batch.column(c) for c in ("page_id", "url", "n", "digest")), pa.array(packed, pa.binary())], names=["page_id", "url", "n", "digest", "member"])
 
-    def compress(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            rows = zip(*(batch.column(c).to_pylist() for c in ("page_id", "url", "html", "n", "digest")), strict=True)
-            packed = [zipped(record(i, u, h.encode(), n, d)) for i, u, h, n, d in rows]
-            yield pa.RecordBatch.from_arrays([*(batch.column(c) for c in ("page_id", "url", "n", "digest")), pa.array(packed, pa.binary())], names=["page_id", "url", "n", "digest", "member"])
 
-    def settle(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            rows = zip(*(batch.column(c).to_pylist() for c in ("page_id", "url", "n", "digest", "member", "first")), strict=True)
-            yield pa.RecordBatch.from_arrays([pa.array([m if f is None or f == i else zipped(record(i, u, b"", n, d, f)) for i, u, n, d, m, f in rows], pa.binary())], names=["member"])
+def settle(batches: Iterator[pa.RecordBatch]) -> Iterator[bytes]:
+    """Each page's member: the one it has, or else its record, compressed now."""
+    for batch in batches:
+        for i, u, html, n, d, m, f in zip(*(batch.column(c).to_pylist() for c in ("page_id", "url", "html", "n", "digest", "member", "first")), strict=True):
+            if f is not None and f != i:
+                yield zipped(record(i, u, b"", n, d, f))
+            else:
+                yield zipped(record(i, u, html, n, d)) if m is None else m
 
+
+def settling(pages: DataFrame, revisit_bytes: int, broadcast_digests: int) -> DataFrame:
+    """What settle() takes. While at most broadcast_digests payloads repeat, their digests are broadcast and no page is shuffled; the payloads of revisits stay behind. Beyond that pages are compressed first and joined with the digests by a shuffle, whose hot digests can be split; those that turn out to be revisits get another record then. Either way a task has one Python worker at a time: each takes memory of its own."""
     p = digested(pages)
     first = p.filter(F.col("n") >= revisit_bytes).groupBy(F.col("digest").alias("d")).agg(F.min("page_id").alias("first"), F.count(F.lit(1)).alias("same")).filter("same > 1").drop("same")
     first = cut(first, "digests")
-    first = F.broadcast(first) if first.count() <= broadcast_digests else first.hint("merge")
+    if first.count() <= broadcast_digests:
+        p = p.join(F.broadcast(first), F.col("digest") == F.col("d"), "left")
+        return p.withColumns({"html": F.when(F.col("first").isNull() | F.col("first").eqNullSafe(F.col("page_id")), F.col("html")), "member": F.lit(None).cast("binary")}).drop("d")
     p = p.mapInArrow(compress, "page_id long, url string, n long, digest string, member binary")
-    return p.join(first, F.col("digest") == F.col("d"), "left").drop("d").mapInArrow(settle, "member binary")
+    return p.join(first.hint("merge"), F.col("digest") == F.col("d"), "left").withColumn("html", F.lit(None).cast("binary")).drop("d")
+
+
+def members(pages: DataFrame, revisit_bytes: int = REVISIT_BYTES, broadcast_digests: int = BROADCAST_DIGESTS) -> DataFrame:
+    """(member): each page's record as a gzip member."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            yield pa.RecordBatch.from_arrays([pa.array(settle(iter([batch])), pa.binary())], names=["member"])
+
+    return settling(pages, revisit_bytes, broadcast_digests).mapInArrow(run, "member binary")
 
 
-def write(pages: DataFrame, path: str, revisit_bytes: int = REVISIT_BYTES, archive_bytes: int = ARCHIVE_BYTES) -> None:
+def write(pages: DataFrame, path: str, revisit_bytes: int = REVISIT_BYTES, archive_bytes: int = ARCHIVE_BYTES, broadcast_digests: int = BROADCAST_DIGESTS) -> None:
     """Archives of about archive_bytes: a task's members are put together in memory up to that size, a row an archive, and Spark's text writer writes a file a row; what it writes after each row is an empty gzip member, which ends the file."""
     arrow_limits(pages.sparkSession)
 
     def bundle(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         held, size = [], 0
-        for batch in batches:
-            for m in batch.column("member"):
-                held.append(m.as_py())
-                size += len(held[-1])
-                if size >= archive_bytes:
-                    yield pa.RecordBatch.from_arrays([pa.array([b"".join(held)], pa.binary())], names=["archive"])
-                    held, size = [], 0
+        for m in settle(batches):
+            held.append(m)
+            size += len(m)
+            if size >= archive_bytes:
+                yield pa.RecordBatch.from_arrays([pa.array([b"".join(held)], pa.binary())], names=["archive"])
+                held, size = [], 0
         if held:
             yield pa.RecordBatch.from_arrays([pa.array([b"".join(held)], pa.binary())], names=["archive"])
 
-    out = members(pages, revisit_bytes).mapInArrow(bundle, "archive binary").select(F.col("archive").cast("string").alias("value"))
+    out = settling(pages, revisit_bytes, broadcast_digests).mapInArrow(bundle, "archive binary").select(F.col("archive").cast("string").alias("value"))
     out.write.mode("overwrite").option("encoding", "ISO-8859-1").option("lineSep", zipped(b"").decode("latin-1")).option("maxRecordsPerFile", 1).text(path)
 
 
@@ -242,6 +258,7 @@ def read(spark: SparkSession, path: str) -> DataFrame:
                 cols = list(zip(*rows, strict=True)) or [()] * len(types)
                 yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(cols, types, strict=True)], names=["archive", "offset", "length", "status", "reason", *FIELDS])
 
+    arrow_limits(spark)
     files = spark.read.format("binaryFile").load(path)
     return files.select("path", "content").mapInArrow(run, ROWS)
 

@@ -4,6 +4,7 @@ import hashlib
 import gzip
 import os
 import random
+import re
 
 from siloforge.llm import warc
 
@@ -129,3 +130,27 @@ def test_revisits_with_and_without_broadcast(spark, wide):
     pages = wide([(i, f"http://h/{i}", "x" * (200 + i % 5)) for i in range(40)], "page_id long, url string, html string")
     both = [sorted(bytes(r[0]) for r in warc.members(pages, broadcast_digests=most).collect()) for most in (0, 100)]
     assert both[0] == both[1] and sum(b"revisit" in gzip.decompress(m) for m in both[0]) == 35
+
+
+def test_a_task_has_one_python_worker(spark, wide, tmp_path, monkeypatch):
+    pages = wide([(i, f"http://h/{i}", "x" * (200 + i % 5)) for i in range(40)], "page_id long, url string, html string")
+    plans, real = [], type(pages).mapInArrow
+
+    def noted(*args, **options):
+        out = real(*args, **options)
+        plans.append(out._jdf.queryExecution().executedPlan().toString())
+        return out
+
+    monkeypatch.setattr(type(pages), "mapInArrow", noted)
+    for n, how in enumerate(({}, {"broadcast_digests": 0})):
+        warc.write(pages, str(tmp_path / f"{n}"), **how)
+        assert all(stage.count("MapInArrow") <= 1 for stage in re.split(r"\bExchange\b", plans[-1]))
+        got = warc.read(spark, str(tmp_path / f"{n}")).select("page_id", "url", "payload_bytes", "record_type", "refers_to", "status").collect()
+        assert sorted(map(tuple, got)) == [(i, f"http://h/{i}", 200 + i % 5, "revisit" if i > 4 else "response", i % 5 if i > 4 else None, "ok") for i in range(40)]
+
+
+def test_payloads_are_kept_byte_for_byte(spark, tmp_path):
+    html = b"\xff<p>" + b"x" * 200
+    pages = spark.sql(f"SELECT id page_id, 'http://h/' url, CAST(X'{html.hex()}' AS STRING) html FROM range(3)")
+    warc.write(pages, str(tmp_path / "w"))
+    assert {(r["payload_bytes"], r["payload_digest"], r["refers_to"]) for r in warc.read(spark, str(tmp_path / "w")).collect()} == {(204, hashlib.sha256(html).hexdigest(), f) for f in (None, 0)}
